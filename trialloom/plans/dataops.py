@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trialloom.operators.drift import canonical_fields, field_changes, leaf_rows, path_types, typed_table
 from trialloom.operators.intervals import cover_and_gaps
 from trialloom.operators.spikes import suspect_readings
 from trialloom.plans.tables import table
@@ -30,7 +31,30 @@ def p3_found(spark: SparkSession, sf: str) -> DataFrame:
     return cover_and_gaps(trials.unionByName(ranges), ["origin", "recording_id", "store"], "lo", "hi")
 
 
-QUERIES = {"p1_found": p1_found, "p3_found": p3_found}
+def _extension():
+    return F.regexp_extract("filename", r"\.([^.]*)$", 1)
+
+
+def p5_found(spark: SparkSession, sf: str) -> DataFrame:
+    changes = field_changes(table(spark, sf, "raw_info"), "file_id", [F.col("rig"), _extension()], "written_at", "payload")
+    return changes.withColumnRenamed("key", "file_id")
+
+
+def _p5_typed(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    info, series = table(spark, sf, "raw_info"), [F.col("rig"), _extension()]
+    rows = leaf_rows(info, "file_id", series, "written_at", "payload")
+    return typed_table(rows, canonical_fields(field_changes(info, "file_id", series, "written_at", "payload"), path_types(rows)))
+
+
+def p5_table(spark: SparkSession, sf: str) -> DataFrame:
+    return _p5_typed(spark, sf)[0].withColumnRenamed("key", "file_id")
+
+
+def p5_failed_casts(spark: SparkSession, sf: str) -> DataFrame:
+    return _p5_typed(spark, sf)[1].withColumnRenamed("key", "file_id")
+
+
+QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p5_found": p5_found, "p5_table": p5_table, "p5_failed_casts": p5_failed_casts}
 
 P3_SQL = """
 WITH iv AS (
