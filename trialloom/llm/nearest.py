@@ -42,9 +42,9 @@ def nearest_in_time(left: DataFrame, right: DataFrame, tolerance: float) -> Data
     near = times.select("entity", "time", "hit", F.explode(F.sequence(bucket - 1, bucket + 1)).alias("bucket"))
 
     at = F.when(F.col("hit").isNotNull(), F.struct("time", "hit"))
-    order = W.partitionBy("entity", "bucket").orderBy("time")
-    before = F.last(at, ignorenulls=True).over(order.rangeBetween(W.unboundedPreceding, W.currentRow))
-    after = F.first(at, ignorenulls=True).over(order.rangeBetween(W.currentRow, W.unboundedFollowing))
+    upto = W.partitionBy("entity", "bucket").rangeBetween(W.unboundedPreceding, W.currentRow)
+    before = F.last(at, ignorenulls=True).over(upto.orderBy("time"))
+    after = F.last(at, ignorenulls=True).over(upto.orderBy(F.desc("time")))
     both = asked.unionByName(near).select("entity", "time", "hit", before.alias("b"), after.alias("a")).where("hit IS NULL")
     db, da = F.col("time") - F.col("b.time"), F.col("a.time") - F.col("time")
     back = F.col("b").isNotNull() & (F.col("a").isNull() | (db <= da))

@@ -6,7 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trialloom.llm.language import label_documents, mislabelled
+from trialloom.llm.mixing import mix, shares
 from trialloom.llm.nearest import nearest_in_time
+from trialloom.llm.packing import fill, pack
+from trialloom.llm.percentiles import combine, multi_select, summaries, value_blocks
+from trialloom.llm.tokens import with_tokens
 from trialloom.plans.tables import table
 
 
@@ -37,5 +41,54 @@ pair AS (
 SELECT trig_id, pdio_id FROM pair WHERE place = 1
 """
 
-QUERIES = {"p2_found": p2_found, "p8_found": p8_found, "p8_labels": p8_labels}
-SQL = {"p2_found": P2_SQL}
+
+
+SHARES = [0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99]
+
+
+def _blocks(spark: SparkSession, sf: str) -> DataFrame:
+    return value_blocks(table(spark, sf, "analog_long"), table(spark, sf, "recording"))
+
+
+def p4_percentiles(spark: SparkSession, sf: str) -> DataFrame:
+    """Exact percentiles of each channel, over everything and per day; the rank error is 0."""
+    blocks = _blocks(spark, sf).persist()
+    every = multi_select(blocks, ["channel_id"], SHARES).select(F.lit("all").alias("scope"), F.lit("").alias("day"), "channel_id", "q", "n", "value")
+    daily = multi_select(blocks, ["day", "channel_id"], SHARES).select(F.lit("day").alias("scope"), F.coalesce(F.date_from_unix_date("day").cast("string"), F.lit("unknown")).alias("day"), "channel_id", "q", "n", "value")
+    blocks.unpersist()
+    return every.unionByName(daily)
+
+
+def p4_combined(spark: SparkSession, sf: str) -> DataFrame:
+    """Percentiles of each channel from the summaries of its days, with the bound of the rank error."""
+    return combine(summaries(_blocks(spark, sf)), ["channel_id"], SHARES)
+
+
+P4_SQL = """
+WITH d AS (SELECT DISTINCT recording_id, channel_id, sample, value FROM analog_long WHERE value IS NOT NULL AND NOT isnan(value)),
+r AS (SELECT a.channel_id, coalesce(CAST(CAST(timezone('UTC', g.utc_start_time) AS DATE) AS VARCHAR), 'unknown') AS day, a.value FROM d a LEFT JOIN recording g USING (recording_id)),
+dual AS (SELECT 'all' AS scope, '' AS day, channel_id, value FROM r UNION ALL SELECT 'day', day, channel_id, value FROM r),
+n AS (SELECT *, row_number() OVER (PARTITION BY scope, day, channel_id ORDER BY value) - 1 AS place, count(*) OVER (PARTITION BY scope, day, channel_id) AS n FROM dual),
+q AS (SELECT unnest([0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99]::DOUBLE[]) AS q)
+SELECT scope, day, channel_id, q, n, value FROM n, q WHERE place = floor(q * (n - 1))
+"""
+
+
+def p6_packing(spark: SparkSession, sf: str) -> DataFrame:
+    return pack(with_tokens(table(spark, sf, "documents"), ["doc_id"]), table(spark, sf, "pack_budget"))
+
+
+def p6_fill(spark: SparkSession, sf: str) -> DataFrame:
+    return fill(p6_packing(spark, sf), table(spark, sf, "pack_budget"))
+
+
+def p7_mix(spark: SparkSession, sf: str) -> DataFrame:
+    return mix(with_tokens(table(spark, sf, "documents"), ["doc_id", "source"]), table(spark, sf, "mix_target"))
+
+
+def p7_shares(spark: SparkSession, sf: str) -> DataFrame:
+    return shares(p7_mix(spark, sf), table(spark, sf, "mix_target"))
+
+
+QUERIES = {"p2_found": p2_found, "p4_percentiles": p4_percentiles, "p4_combined": p4_combined, "p6_packing": p6_packing, "p6_fill": p6_fill, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_labels": p8_labels}
+SQL = {"p2_found": P2_SQL, "p4_percentiles": P4_SQL}
