@@ -45,23 +45,26 @@ def salt_of(key: Column | str, salts: int) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(salts)).cast("int")
 
 
-def salted_rank(df: DataFrame, group: list[str], order: list[str], rank: str, salts: int = 64) -> DataFrame:
+def salted_rank(df: DataFrame, group: list[str], order: list[str], rank: str, salts: int = 64, weight: str | None = None) -> DataFrame:
     """Add a gap-free 0-based ``rank`` within ``group`` without one task per group.
 
     The order of ranks is (salt of ``order``, ``order``): a fixed shuffle of the
     group.  Rows are numbered inside (group, salt), and the counts of the salts
     give each its start, so a group that holds a third of all rows is spread
     over ``salts`` tasks.  ``order`` must identify a row within its group; rows
-    alike in it get ranks in an unspecified order.
+    alike in it get ranks in an unspecified order.  With ``weight``, the rank is
+    the sum of that column over the rows before.
     """
     from pyspark.sql import Window as W
 
     s, n, at, local = f"__{rank}_salt", f"__{rank}_n", f"__{rank}_at", f"__{rank}_local"
     salted = df.withColumn(s, F.pmod(F.xxhash64(*order), F.lit(salts)).cast("int"))
-    sizes = salted.groupBy(*group, s).agg(F.count(F.lit(1)).alias(n))
+    one = F.lit(1) if weight is None else F.col(weight)
+    sizes = salted.groupBy(*group, s).agg(F.sum(one).alias(n))
     before = W.partitionBy(*group).orderBy(s).rowsBetween(W.unboundedPreceding, -1)
     starts = sizes.select(*group, s, F.coalesce(F.sum(n).over(before), F.lit(0)).alias(at))
-    numbered = salted.withColumn(local, F.row_number().over(W.partitionBy(*group, s).orderBy(*order)) - 1)
+    inner = W.partitionBy(*group, s).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+    numbered = salted.withColumn(local, F.coalesce(F.sum(one).over(inner), F.lit(0)))
     # null-safe: a null group key is a group like any other
     a, b = numbered.alias("a"), starts.alias("b")
     on = F.lit(True)
