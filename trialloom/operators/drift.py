@@ -18,6 +18,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from trialloom.plans.tables import materialise
+
 ROWS_PER_CHUNK = 20_000
 
 LEAVES = "array<struct<path:string,type:string,value:string>>"
@@ -162,7 +164,10 @@ def field_changes(records: DataFrame, key: str, series: list[Column], at: str, p
     says nothing about a field's type, which stays as last seen under that
     path.  Extra columns are ignored; an empty table gives an empty result.
     """
-    numbered = _chunked(leaf_rows(records, key, series, at, payload), per_chunk)
+    # every later step reads the parsed leaves several times: they are written once, values as hashes
+    slim = F.transform("leaves", lambda x: F.struct(x["path"].alias("path"), x["type"].alias("type"), F.when(x["value"].isNotNull(), F.xxhash64(x["value"])).alias("value")))
+    rows = materialise(leaf_rows(records, key, series, at, payload).withColumn("leaves", slim))
+    numbered = materialise(_chunked(rows, per_chunk))
     leaves = numbered.select("series", "chunk", "no", "n", "key", F.explode("leaves").alias("l")).select("series", "chunk", "no", "n", "key", "l.path", "l.type", "l.value")
     # what was last seen under each path: within the chunk, else in an earlier one
     seen = W.partitionBy("series", "path", "chunk").orderBy("no").rowsBetween(W.unboundedPreceding, 0)
@@ -174,6 +179,7 @@ def field_changes(records: DataFrame, key: str, series: list[Column], at: str, p
     known = in_chunk.join(carry, (F.col("series") == F.col("s_")) & (F.col("path") == F.col("p_")) & (F.col("chunk") == F.col("c_"))).select(
         "series", "no", "n", "key", "path", "type", "value", F.coalesce("type1", "type0").alias("kind"), F.coalesce("value1", "value0").alias("held")
     )
+    known = materialise(known)
     now = known.select("series", "no", "path", "key", "type", "value", "kind", F.lit(True).alias("is_now"))
     then = known.where("no + 1 < n").select("series", (F.col("no") + 1).alias("no"), "path", F.col("kind").alias("kind0"), F.col("held").alias("held0"), F.lit(True).alias("was"))
     both = now.join(then, ["series", "no", "path"], "full")
