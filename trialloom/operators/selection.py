@@ -135,7 +135,7 @@ def _ordered(data: Trials, name: str, at: list[int], n: int):
     old = F.array(*[F.lit(i) for i in at])
     hits = F.filter(new, lambda i: F.element_at(old, i + 1) == F.col(col))
     others = [c for c in facts.columns if c != col]
-    facts = facts.select(*others, F.explode(hits).cast("int").alias(col)).select(*data.facts.columns)
+    facts = facts.select(*others, F.explode(hits).alias(col)).select(*data.facts.columns)
     return facts, picked
 
 

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from trialloom.plans import dataops
+from trialloom.plans import dataops, reference
 
-FLAGSHIP = "p3_found"
+FLAGSHIP = "ref_trial_mean_var"
 
 
 def queries() -> dict:
-    return {**dataops.QUERIES}
+    return {**reference.QUERIES, **dataops.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {**dataops.SQL}
+    return {**reference.SQL, **dataops.SQL}
