@@ -458,7 +458,7 @@ def f7_rectified(spark, sf):
     return _series(pp.rectified(recordings(spark, sf).facts))
 
 
-@query("SELECT DISTINCT recording_id AS trial_id FROM analog_long WHERE isnan(value)")
+@query("SELECT recording_id AS trial_id FROM analog_long GROUP BY recording_id HAVING bool_or(isnan(value))")
 def f9_nan_trials(spark, sf):
     x = recordings(spark, sf).having(facts=table(spark, sf, "analog_long").select(F.col("recording_id").alias("trial_id"), "sample", "channel_id", "value"))
     return pp.nan_trials(x)
