@@ -25,7 +25,7 @@ def complex_op(op: str, a: tuple[Column, Column], b: tuple[Column, Column]) -> t
         return x * u - y * v, x * v + y * u
     if op == "/":
         n = u * u + v * v
-        return (x * u + y * v) / n, (y * u - x * v) / n
+        return F.try_divide(x * u + y * v, n), F.try_divide(y * u - x * v, n)
     log_r, arg = F.log(F.hypot(x, y)), F.atan2(y, x)
     size, turn = F.exp(u * log_r - v * arg), v * log_r + u * arg
     zero = (x == 0) & (y == 0)

@@ -31,7 +31,7 @@ def detrended(facts: DataFrame, keys: list[str], order: int, sample: str = "samp
     out = v - F.avg(v).over(w)
     if order == 1:
         mt = F.avg(t).over(w)
-        slope = F.covar_pop(t, v).over(w) / F.var_pop(t).over(w)
+        slope = F.try_divide(F.covar_pop(t, v).over(w), F.var_pop(t).over(w))
         out = out - F.coalesce(slope, F.lit(0.0)) * (t - mt)
     return facts.withColumn(value, out)
 

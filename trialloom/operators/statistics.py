@@ -106,13 +106,13 @@ def median(data: Trials, dim: str = "time", keeptrials: bool = True) -> Trials:
 
 @frontend
 def itc(data: Trials) -> Trials:
-    """Inter-trial coherence: length of the mean phase vector over trials, averaged over tapers first."""
+    """Inter-trial coherence: length of the mean phase vector over trials and tapers; a zero has no phase and is skipped."""
     if data.kind != "spectral" or "im" not in data.values:
         raise DataError("inter-trial coherence needs complex spectra")
     check_equal_shapes(data)
     r = F.hypot("re", "im")
     axes = ["time_idx", "freq_id", "channel_id"]
-    facts = data.facts.groupBy(*axes).agg(F.hypot(F.avg(F.col("re") / r), F.avg(F.col("im") / r)).alias("re"))
+    facts = data.facts.groupBy(*axes).agg(F.hypot(F.avg(F.try_divide("re", r)), F.avg(F.try_divide("im", r))).alias("re"))
     facts = facts.select(F.lit(0).alias("trial_id"), "time_idx", F.lit(0).alias("taper_id"), "freq_id", "channel_id", "re")
     trials = data.trials.where(F.col("trial_id") == 0)
     return data.having("inter-trial coherence", facts=facts, trials=trials, labels={**data.labels, "taper": ["itc"]})
@@ -124,7 +124,7 @@ def covariance(facts: DataFrame, keys: list[str], ddof: int = 1) -> DataFrame:
     b = facts.select(*keys, "sample", F.col("channel_id").alias("channel_j"), F.col("value").alias("y"))
     met = a.join(b, [*keys, "sample"]).where("channel_i <= channel_j")
     n = F.count(F.lit(1))
-    half = met.groupBy(*keys, "channel_i", "channel_j").agg((F.covar_pop("x", "y") * n / (n - ddof)).alias("cov"))
+    half = met.groupBy(*keys, "channel_i", "channel_j").agg(F.try_divide(F.covar_pop("x", "y") * n, n - ddof).alias("cov"))
     return half.unionByName(half.where("channel_i < channel_j").select(*keys, F.col("channel_j").alias("channel_i"), F.col("channel_i").alias("channel_j"), "cov"))
 
 
