@@ -125,4 +125,4 @@ def shares(drawn: DataFrame, targets: DataFrame) -> DataFrame:
     goal = targets.where("mix_id IS NOT NULL AND source IS NOT NULL").groupBy("mix_id", "source").agg(F.sum("weight").alias("weight"))
     both = goal.join(got, ["mix_id", "source"], "left").fillna(0, ["n_tokens", "documents", "repeats"])
     of = W.partitionBy("mix_id")
-    return both.select("mix_id", "source", (F.col("weight") / F.sum("weight").over(of)).alias("wanted"), (F.col("n_tokens") / F.sum("n_tokens").over(of)).alias("reached"), "n_tokens", "documents", "repeats")
+    return both.select("mix_id", "source", F.try_divide("weight", F.sum("weight").over(of)).alias("wanted"), F.try_divide("n_tokens", F.sum("n_tokens").over(of)).alias("reached"), "n_tokens", "documents", "repeats")
