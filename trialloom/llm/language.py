@@ -192,6 +192,8 @@ def phrases(root: dict, text: str) -> int:
 
 def fit(sample: list[tuple[str, str]], how: Fit) -> dict[str, str]:
     """Clean text per language from (language, message words by line) of labelled documents."""
+    if not sample:
+        return {}
     langs = sorted({lang for lang, _ in sample})
     lines = [(langs.index(lang), line) for lang, text in sample for line in text.split("\n")]
     index: dict[str, int] = {}
@@ -302,7 +304,7 @@ def _label(texts: tuple[tuple[str, str], ...], how: Fit):
         for batch in batches:
             cols: list[list] = [[] for _ in range(8)]
             for doc, text, declared in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                found = segments_of(text, langs, roots, how, memo) if text else []
+                found = segments_of(text, langs, roots, how, memo) if text and langs else []
                 label = canonical_label(declared)
                 for s, (a, b, lang, conf) in enumerate(found or [(None, None, None, None)]):
                     for c, x in zip(cols, (doc, label, len(found), s if found else None, a, b, lang, conf)):
