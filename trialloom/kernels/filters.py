@@ -167,17 +167,28 @@ def sos_filter(sos: np.ndarray, x: np.ndarray, start: np.ndarray | None = None)
 
 def butter_filter(x: np.ndarray, sos: np.ndarray, direction: str = "twopass") -> np.ndarray:
     """Forward, or forward and backward over odd-mirrored ends, so without a phase shift."""
-    if direction == "onepass":
-        return sos_filter(sos, x)
-    n = x.shape[-1]
+    flat = x.reshape(-1, x.shape[-1])
+    return np.stack(butter_series(list(flat), sos, direction)).reshape(x.shape)
+
+
+def butter_series(rows: list[np.ndarray], sos: np.ndarray, direction: str = "twopass") -> list[np.ndarray]:
+    """The same for series of any lengths, which go through the recursion side by side."""
     taps = 2 * len(sos) + 1 - min((sos[:, 2] == 0).sum(), (sos[:, 5] == 0).sum())
-    edge = min(3 * taps, n - 1)
-    ext = np.concatenate([2 * x[..., :1] - x[..., edge:0:-1], x, 2 * x[..., -1:] - x[..., -2 : -edge - 2 : -1]], axis=-1)
-    for _ in range(2):
-        first = ext[..., 0]
-        start = [[s * first for s in pair] for pair in _section_start(sos)]
-        ext = sos_filter(sos, ext, start)[..., ::-1]
-    return ext[..., edge : edge + n]
+    edges = [min(3 * taps, len(r) - 1) if direction == "twopass" else 0 for r in rows]
+    longer = [np.concatenate([2 * r[:1] - r[e:0:-1], r, 2 * r[-1:] - r[-2 : -e - 2 : -1]]) if e > 0 else r for r, e in zip(rows, edges)]
+    n = np.array([len(r) for r in longer])
+    x = np.zeros((len(rows), n.max()))
+    for i, r in enumerate(longer):
+        x[i, : len(r)] = r
+    if direction == "onepass":
+        y = sos_filter(sos, x)
+    else:
+        back = np.maximum(n[:, None] - 1 - np.arange(n.max()), 0)  # each series from its own end
+        y = x
+        for _ in range(2):
+            start = [[s * y[:, 0] for s in pair] for pair in _section_start(sos)]
+            y = np.take_along_axis(sos_filter(sos, y, start), back, 1)
+    return [y[i, e : e + len(r)] for i, (r, e) in enumerate(zip(rows, edges))]
 
 
 # --- analytic signal, resampling -----------------------------------------------------------------------------------

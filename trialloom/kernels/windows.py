@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import math
 
 import numpy as np
@@ -138,68 +139,68 @@ def dpss(n: int, nw: float, k: int) -> np.ndarray:
     """The first ``k`` Slepian sequences (k x n), orthonormal.
 
     They are eigenvectors of a symmetric tridiagonal matrix that commutes with
-    the concentration kernel.  Even orders have a positive sum, odd ones begin
-    positive.  Above 1500 values the sequences are found on a coarser grid,
-    interpolated, and refined by inverse iteration.
+    the concentration kernel; for long series the matrix is projected onto as many
+    orthonormal polynomials as represent them to rounding.  Even orders have a
+    positive sum, odd ones begin positive.
     """
     k = min(k, n)
     i = np.arange(n)
     main = ((n - 1 - 2 * i) / 2.0) ** 2 * math.cos(2 * math.pi * nw / n)
     side = i[1:] * (n - i[1:]) / 2.0
-    if n <= 1500:
-        values, vectors = np.linalg.eigh(np.diag(main) + np.diag(side, 1) + np.diag(side, -1))
-        v = vectors[:, ::-1][:, :k].T.copy()
+    size = int(1.6 * math.pi * nw) + k + 40  # polynomials that represent them
+    if size > n // 2 or n < 200:
+        v = _mirrored_eigenvectors(main, side, k)
     else:
-        coarse = dpss(1200, nw, k)
-        grid = np.linspace(0, 1, 1200)
-        v = np.stack([np.interp(np.linspace(0, 1, n), grid, c) for c in coarse])
-        for j in range(k):
-            x = v[j] / np.linalg.norm(v[j])
-            for _ in range(4):
-                shift = x @ (main * x) + 2 * np.sum(side * x[1:] * x[:-1])
-                x = _solve_tridiagonal(main - shift - 1e-9 * abs(shift), side, x)
-                x -= v[:j].T @ (v[:j] @ x)
-                x /= np.linalg.norm(x)
-            v[j] = x
+        basis = np.linalg.qr(np.polynomial.legendre.legvander(np.linspace(-1, 1, n), size - 1))[0]
+        moved = main[:, None] * basis
+        moved[:-1] += side[:, None] * basis[1:]
+        moved[1:] += side[:, None] * basis[:-1]
+        v = (basis @ np.linalg.eigh(basis.T @ moved)[1][:, ::-1][:, :k]).T.copy()
     for j in range(k):
         if (j % 2 == 0 and v[j].sum() < 0) or (j % 2 == 1 and v[j][np.argmax(np.abs(v[j]) > 1e-7 * np.abs(v[j]).max())] < 0):
             v[j] = -v[j]
     return v
 
 
-def _solve_tridiagonal(main: np.ndarray, side: np.ndarray, rhs: np.ndarray) -> np.ndarray:
-    """Symmetric tridiagonal system by elimination with row exchanges."""
+def _mirrored_eigenvectors(main: np.ndarray, side: np.ndarray, k: int) -> np.ndarray:
+    """Eigenvectors of the largest eigenvalues of a tridiagonal matrix that equals its mirror image.
+
+    They are even and odd by turns, so two problems of half the size give them.
+    """
     n = len(main)
-    d, u, u2, b = main.astype(float).copy(), np.r_[side, 0.0], np.zeros(n), rhs.astype(float).copy()
-    low = side.astype(float).copy()
-    for i in range(n - 1):
-        if abs(low[i]) > abs(d[i]):
-            f = d[i] / low[i]
-            d[i], u_next = low[i], d[i + 1]
-            old_u = u[i]
-            u[i], u2[i] = u_next, u[i + 1]
-            d[i + 1] = old_u - f * u_next
-            u[i + 1] = -f * u[i + 1]
-            b[i], b[i + 1] = b[i + 1], b[i] - f * b[i + 1]
-        else:
-            f = low[i] / d[i] if d[i] else 0.0
-            d[i + 1] -= f * u[i]
-            b[i + 1] -= f * b[i]
-    x = np.empty(n)
-    tiny = 1e-300
-    for i in range(n - 1, -1, -1):
-        s = b[i]
-        if i + 1 < n:
-            s -= u[i] * x[i + 1]
-        if i + 2 < n:
-            s -= u2[i] * x[i + 2]
-        x[i] = s / (d[i] or tiny)
-    return x
+    h = n // 2
+    half = np.diag(main[:h]) + np.diag(side[: h - 1], 1) + np.diag(side[: h - 1], -1) if h else np.zeros((0, 0))
+    out = np.zeros((k, n))
+    if n % 2:
+        even = np.zeros((h + 1, h + 1))
+        even[:h, :h] = half
+        even[h, h] = main[h]
+        if h:
+            even[h - 1, h] = even[h, h - 1] = math.sqrt(2) * side[h - 1]
+        odd = half
+    else:
+        even, odd = half.copy(), half.copy()
+        even[h - 1, h - 1] += side[h - 1]
+        odd[h - 1, h - 1] -= side[h - 1]
+    u = np.linalg.eigh(even)[1][:, ::-1]
+    w = np.linalg.eigh(odd)[1][:, ::-1] if h else np.zeros((0, 0))
+    for j in range(k):
+        x, sign = (u[:, j // 2], 1) if j % 2 == 0 else (w[:, j // 2], -1)
+        out[j, :h] = x[:h] / math.sqrt(2)
+        out[j, n - h :] = sign * x[:h][::-1] / math.sqrt(2)
+        if n % 2 and sign == 1:
+            out[j, h] = x[h]
+    return out
 
 
 def tapers(name: str | None, n: int, total: int, options: dict | None = None) -> np.ndarray:
     """Tapers (k x n) scaled so that power spreads over the window's response; ``total`` is the padded length."""
-    options = dict(options or {})
+    return _tapers(name, n, total, tuple(sorted((k, tuple(v) if isinstance(v, (list, np.ndarray)) else v) for k, v in (options or {}).items())))
+
+
+@functools.lru_cache(maxsize=64)
+def _tapers(name: str | None, n: int, total: int, items: tuple) -> np.ndarray:
+    options = dict(items)
     if name is None:
         name = "boxcar"
     if name == "dpss":

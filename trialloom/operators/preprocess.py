@@ -57,16 +57,21 @@ def nan_trials(data: Trials) -> DataFrame:
     return data.facts.groupBy("trial_id").agg(F.max(F.isnan("value")).alias("n")).where("n").select("trial_id")
 
 
-def map_series(data: Trials, kernel, values: tuple[str, ...] = ("value",)) -> DataFrame:
+def map_series(data: Trials, kernel, values: tuple[str, ...] = ("value",), ragged: bool = False) -> DataFrame:
     """A NumPy function of (series x time) arrays applied to block rows; series of equal length go together.
 
-    It returns an array, or a tuple of them for ``values``.
+    It returns an array, or a tuple of them for ``values``; a ``ragged`` kernel
+    takes and returns a list of series of any lengths.
     """
     blocks = to_blocks(data.facts, SERIES, "sample", "value")
     fields = ", ".join(f"{v} array<double>" for v in values)
 
     def run(batches):
         for pdf in batches:
+            if ragged:
+                rows = kernel([np.asarray(x, float) for x in pdf["samples"]]) if len(pdf) else []
+                yield pd.DataFrame({"trial_id": pdf["trial_id"], "channel_id": pdf["channel_id"], values[0]: rows})
+                continue
             n = pdf["samples"].map(len)
             for _, g in pdf.groupby(n, sort=False):
                 x = np.stack(g["samples"].to_numpy()).astype(float)
@@ -113,7 +118,7 @@ def preprocessing(data: Trials, filter_class: str | None = "but", filter_type: s
         if filter_class == "but":
             choice(direction, "direction", ("twopass", "onepass"))
             sos = filters.butterworth(int(scalar(order or 4, "order", 1, 20, True)), cut, filter_type, data.samplerate)
-            out = out.having(facts=map_series(out, lambda x: filters.butter_filter(x, sos, direction)))
+            out = out.having(facts=map_series(out, lambda rows: filters.butter_series(rows, sos, direction), ragged=True))
         else:
             choice(direction, "direction", ("twopass", "onepass", "onepass-minphase"))
             if order is None:

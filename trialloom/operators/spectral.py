@@ -41,25 +41,42 @@ def dft(facts: DataFrame, keys: list[str], n: int, sample: str, value: str, bins
     return each.groupBy(*keys, "freq_id").agg((F.sum(F.col(value) * F.cos(phase)) * scale).alias("re"), (-F.sum(F.col(value) * F.sin(phase)) * scale).alias("im"))
 
 
-def _map_blocks(data: Trials, kernel) -> DataFrame:
-    """``kernel`` takes (series x time) and each series' trial start, and gives complex (series, time, taper, frequency)."""
+AS_REAL = {
+    "pow": lambda z: z.real**2 + z.imag**2, "abs": np.abs, "real": np.real, "imag": np.imag, "angle": np.angle, "absreal": lambda z: np.abs(z.real), "absimag": lambda z: np.abs(z.imag),
+}
+
+
+def _map_blocks(data: Trials, kernel, output: str, average: bool) -> DataFrame:
+    """``kernel`` takes (series x time) and each series' trial start, and gives complex (series, time, taper, frequency).
+
+    The output is made and tapers are averaged in the worker, before values become rows.
+    """
     t0 = data.trials.select("trial_id", F.col("t0").alias("t0_"))
     blocks = to_blocks(data.facts, ["trial_id", "channel_id"], "sample", "value").join(t0, "trial_id")
+    parts = ("re",) if output in AS_REAL else ("re", "im")
 
     def run(batches):
         for pdf in batches:
             pdf = pdf.assign(n=pdf["samples"].map(len))
             for (_, start), g in pdf.groupby(["n", "t0_"], sort=False):
                 z = kernel(np.stack(g["samples"].to_numpy()).astype(float), float(start))
+                if output in AS_REAL:
+                    z = AS_REAL[output](z)
+                    z = z.mean(axis=2, keepdims=True) if average else z
                 s, t, k, f = z.shape
                 flat = z.reshape(s, -1)
-                yield pd.DataFrame({"trial_id": g["trial_id"], "channel_id": g["channel_id"], "nt": t, "nk": k, "nf": f, "re": list(flat.real), "im": list(flat.imag)})
+                yield pd.DataFrame({"trial_id": g["trial_id"], "channel_id": g["channel_id"], "nk": k, "nf": f, "re": list(flat.real), **({"im": list(flat.imag)} if len(parts) > 1 else {})})
 
-    z = blocks.mapInPandas(run, "trial_id int, channel_id int, nt int, nk int, nf int, re array<double>, im array<double>")
-    long = z.select("trial_id", "channel_id", "nk", "nf", F.posexplode(F.arrays_zip("re", "im")).alias("p", "z"))
+    z = blocks.mapInPandas(run, "trial_id int, channel_id int, nk int, nf int, " + ", ".join(f"{c} array<double>" for c in parts))
+    if len(parts) == 1:
+        long = z.select("trial_id", "channel_id", "nk", "nf", F.posexplode("re").alias("p", "re"))
+        values = ["re"]
+    else:
+        long = z.select("trial_id", "channel_id", "nk", "nf", F.posexplode(F.arrays_zip("re", "im")).alias("p", "z"))
+        values = [F.col("z.re").alias("re"), F.col("z.im").alias("im")]
     return long.select(
         "trial_id", F.expr("p div (nk * nf)").cast("int").alias("time_idx"), F.expr("(p div nf) % nk").cast("int").alias("taper_id"), (F.col("p") % F.col("nf")).cast("int").alias("freq_id"),
-        "channel_id", F.col("z.re").alias("re"), F.col("z.im").alias("im"),
+        "channel_id", *values,
     )
 
 
@@ -189,14 +206,8 @@ def freqanalysis(data: Trials, method: str = "mtmfft", output: str = "pow", keep
             return np.swapaxes(z, -1, -2)[:, np.asarray(centres(x.shape[-1], start))][:, :, None, :]
 
         times_per_trial = centres
-    facts = _map_blocks(data, kernel)
+    facts = _map_blocks(data, kernel, output, not keeptapers)
     n_tapers = len(spectra.tapers(name, nper if method == "mtmconvol" else longest, longest, opts)) if method in ("mtmfft", "mtmconvol") else 1
-    if output in ("fourier", "complex"):
-        facts = facts.select("trial_id", "time_idx", "taper_id", "freq_id", "channel_id", "re", "im")
-    else:
-        facts = facts.select("trial_id", "time_idx", "taper_id", "freq_id", "channel_id", converted(F.col("re"), F.col("im"), output).alias("re"))
-        if not keeptapers and n_tapers > 1:
-            facts = facts.groupBy("trial_id", "time_idx", "freq_id", "channel_id").agg(F.avg("re").alias("re")).select("trial_id", "time_idx", F.lit(0).alias("taper_id"), "freq_id", "channel_id", "re")
     names = [f"taper{i + 1}" for i in range(n_tapers if keeptapers or output in ("fourier", "complex") else 1)]
     trials, new_rate = _spectral_trials(data, times_per_trial, rate, toi)
     labels = {"channel": data.labels.get("channel", []), "freq": [float(f) for f in out_freqs], "taper": names}
