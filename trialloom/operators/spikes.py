@@ -35,6 +35,7 @@ BLOCK = 8192  # samples of a block
 HALO = 512  # samples it sees beyond either border
 HALF = 15  # half width of the running median, readings
 GAMMA = 1.08  # ratio of neighbouring sketch buckets: 4 % error of a quantile
+RATE_GAMMA = 1.3  # the same for changes, whose fence is wide
 UNIT = 1e-6  # lower border of the sketch's first bucket
 
 RESIDUAL, CHANGE, RUN, STRETCH = 0, 1, 2, 3  # sketches
@@ -125,9 +126,9 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush()
 
 
-def _bucket(x: np.ndarray) -> np.ndarray:
+def _bucket(x: np.ndarray, gamma: float = GAMMA) -> np.ndarray:
     """Signed logarithmic bucket; 0 holds what is below the unit."""
-    m = np.ceil(np.log(np.maximum(np.abs(x) / UNIT, 1.0)) / np.log(GAMMA)).astype(np.int64)
+    m = np.ceil(np.log(np.maximum(np.abs(x) / UNIT, 1.0)) / np.log(gamma)).astype(np.int64)
     return np.where(x < 0, -m, m)
 
 
@@ -209,10 +210,10 @@ def _measure_blocks(g, rec, ch, block, lo, hi, start, fs, smp, val, rule):
     most[:-1] = np.maximum(most[:-1], change[1:])
     emit_counts(g[own], hour[own], RESIDUAL, _bucket(res[own]))
     w = own & ~first
-    emit_counts(g[w], hour[w], CHANGE, _bucket(change[w]))
+    emit_counts(g[w], hour[w], CHANGE, _bucket(change[w], RATE_GAMMA))
     far = np.maximum(rule.inner * np.maximum(spread, base), rule.some * base)[seg]
     w = own & (np.abs(res) > far)
-    emit(g[w], hour[w], SPIKE, smp[w], _bucket(most[w]), res[w])
+    emit(g[w], hour[w], SPIKE, smp[w], _bucket(most[w], RATE_GAMMA), res[w])
     # stretches at one value, and within one step: either parity of the lower level
     safe = np.where(st > 0, st, 1.0)
     level = np.rint((val - val[at][seg]) / safe).astype(np.int64)
@@ -307,13 +308,13 @@ def suspect_readings(analog: DataFrame, recording: DataFrame, label: DataFrame,
     def at_least(kind: int, share: float):
         return F.min(F.when((F.col("kind") == kind) & (F.col("upto") >= share * F.col("n")), F.col("bucket")))
 
-    def middle(b):  # the value in the middle of a bucket
-        return F.when(b == 0, F.lit(0.0)).otherwise(F.signum(b) * UNIT * F.pow(F.lit(GAMMA), F.abs(b) - 0.5))
+    def middle(b, gamma=GAMMA):  # the value in the middle of a bucket
+        return F.when(b == 0, F.lit(0.0)).otherwise(F.signum(b) * UNIT * F.pow(F.lit(gamma), F.abs(b) - 0.5))
 
     fences = ranked.groupBy(*source, "context").agg(
         F.max(F.when(F.col("kind") == RESIDUAL, F.col("n"))).alias("n"), F.max("measure").alias("least_range"),
         middle(at_least(RESIDUAL, 0.25)).alias("q1"), middle(at_least(RESIDUAL, 0.75)).alias("q3"),
-        middle(at_least(CHANGE, 0.25)).alias("c1"), middle(at_least(CHANGE, 0.75)).alias("c3"),
+        middle(at_least(CHANGE, 0.25), RATE_GAMMA).alias("c1"), middle(at_least(CHANGE, 0.75), RATE_GAMMA).alias("c3"),
         at_least(RUN, rule.usual).alias("run"), at_least(STRETCH, rule.usual).alias("stretch"),
     )
     fences = fences.withColumn("iqr", F.greatest(F.col("q3") - F.col("q1"), F.col("least_range")))
@@ -329,7 +330,7 @@ def suspect_readings(analog: DataFrame, recording: DataFrame, label: DataFrame,
     )
     f = {c: F.coalesce(f"h_{c}", f"a_{c}") for c in ("q1", "q3", "iqr", "c1", "c3")}
     beyond = F.greatest(F.col("measure") - f["q3"], f["q1"] - F.col("measure"))
-    jump = middle(F.col("cnt")) > f["c3"] + rule.rate * F.greatest(f["c3"] - f["c1"], f["iqr"])
+    jump = middle(F.col("cnt"), RATE_GAMMA) > f["c3"] + rule.rate * F.greatest(f["c3"] - f["c1"], f["iqr"])
     known = F.col("a_n") >= rule.least
     reason = (
         F.when(F.col("kind") == IMPOSSIBLE, F.lit("impossible"))
