@@ -212,3 +212,24 @@ def test_streaming(spark, tmp_path):
         q.processAllAvailable()
         q.stop()
     assert {tuple(r) for r in spark.table("trials").collect()} == {("a", 1, 9), ("a", 12, 20)}
+
+
+def test_user_kernels(ramp):
+    from trialloom.functions import kernels
+
+    half = kernels.register(kernels.TrialKernel("every_second", lambda x, step=2: x[::step], trials=lambda d: preprocess.resampled_trials(d.trials, 0.5)))
+    assert np.array_equal(selection.show(half(ramp))[0][:, 0], [1, 3, 5])
+    total = kernels.TrialKernel("total", lambda x: x.sum(axis=1, keepdims=True), channelwise=False, labels=lambda d: {"channel": ["sum"]})
+    assert selection.show(total(ramp, keeptrials=False)).tolist() == [10 * (i + 1) + 15 * 45 + 1000 for i in range(5)]
+    with pytest.raises(ParameterError):
+        kernels.register(half)
+
+
+def test_running_total(spark):
+    from pyspark.sql import functions as F
+
+    from trialloom.plans.tables import running_total
+
+    df = spark.range(1000).select((F.col("id") * 7 % 1000).alias("k"), F.lit(2).alias("v"))
+    got = running_total(df, "k", "v", "upto", 64).toPandas().sort_values("k")
+    assert got.upto.tolist() == list(range(0, 2000, 2))

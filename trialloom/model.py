@@ -23,10 +23,10 @@ import copy as _copy
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from trialloom.errors import DataError
+from trialloom.plans.tables import running_total
 
 AXES = {
     "analog": ("sample", "channel_id"),
@@ -214,6 +214,6 @@ def concat_trials(parts: list[Trials]) -> Trials:
 
 def restack(trials: DataFrame, length: str = "n") -> DataFrame:
     """New starts and stops of trials put one after another in the order of their ids (P16)."""
-    before = W.orderBy("trial_id").rowsBetween(W.unboundedPreceding, -1)
-    start = F.coalesce(F.sum(length).over(before), F.lit(0))
-    return trials.withColumn("start", start).withColumn("stop", F.col("start") + F.col(length))
+    placed = running_total(trials.drop("start", "stop"), "trial_id", length, "start").withColumn("stop", F.col("start") + F.col(length))
+    rest = [c for c in placed.columns if c not in ("trial_id", "start", "stop")]
+    return placed.select("trial_id", "start", "stop", *rest)

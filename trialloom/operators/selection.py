@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from trialloom.errors import DataError, ParameterError, ParameterTypeError
 from trialloom.frontend import frontend
 from trialloom.model import Trials, restack
+from trialloom.plans.tables import running_total
 
 KEYS = {
     "analog": {"trials", "latency", "channel"}, "timelock": {"trials", "latency", "channel"},
@@ -200,9 +201,7 @@ def cut(data: Trials, window: tuple[float, float], discard: bool = True) -> Tria
     spans = kept.select("trial_id", "t0", "info", first.alias("a"), last.alias("b")).where("a <= b")
     if spans.isEmpty():
         raise DataError("no trial has a sample in the latency window")
-    from pyspark.sql import Window as W
-
-    spans = spans.withColumn("place", (F.row_number().over(W.orderBy("trial_id")) - 1).cast("int"))
+    spans = running_total(spans, "trial_id", F.lit(1), "place").withColumn("place", F.col("place").cast("int"))
     axis = data.axes[0]
     s = spans.select(F.col("trial_id").alias("old"), "a", "b", "place")
     facts = data.facts.join(s, F.col("trial_id") == F.col("old")).where(F.col(axis).between(F.col("a"), F.col("b")))

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from trialloom.errors import DataError, ParameterError
 from trialloom.frontend import frontend
-from trialloom.model import TRIAL_SCHEMA, Trials, restack, trial_table
+from trialloom.model import Trials, trial_table
+from trialloom.plans.tables import running_total
 
 
 def range_join(points: DataFrame, at: str, spans: DataFrame, lo: str = "start", hi: str = "stop", keys: list[str] | None = None, width: int | None = None) -> DataFrame:
@@ -85,7 +86,7 @@ def definetrial(data: Trials, trialdefinition=None, pre=None, post=None, start=N
         raise ParameterError("trials of continuous data from events need the events")
     if clip_edges:
         table = clip(table, n_samples if n_samples is not None else _length(data))
-    return data.having(f"trials defined", trials=table)
+    return data.having("trials defined", trials=table)
 
 
 def _length(data: Trials) -> int:
@@ -114,7 +115,8 @@ def trials_around(events: DataFrame, code: int, pre: float, post: float, sampler
     """One trial around every event of a code: a projection, for matching by trigger alone."""
     a, b = int(round(pre * samplerate)), int(round(post * samplerate))
     hit = events.where(F.col("eventid") == code)
-    numbered = hit.select((F.row_number().over(W.orderBy("sample")) - 1).cast("int").alias("trial_id"), (F.col("sample") - a).cast("long").alias("start"), (F.col("sample") + b).cast("long").alias("stop"))
+    hit = running_total(hit.select("sample"), "sample", F.lit(1), "place", 1 << 22)
+    numbered = hit.select(F.col("place").cast("int").alias("trial_id"), (F.col("sample") - a).cast("long").alias("start"), (F.col("sample") + b).cast("long").alias("stop"))
     return numbered.select("trial_id", "start", "stop", F.lit(float(-a)).alias("t0"), F.array(F.lit(float(code))).alias("info"))
 
 
@@ -180,9 +182,11 @@ def match_events(events: DataFrame, rate: float, target: float, pre=None, post=N
 
     kind = dict(slim.dtypes)[key]
     found = slim.groupBy(key).applyInPandas(run, f"{key} {kind}, start long, stop long, t0 double, info array<double>")
-    order = W.partitionBy(key).orderBy("start", "stop") if recording else W.orderBy("start", "stop")
-    numbered = found.select(*([recording] if recording else []), (F.row_number().over(order) - 1).cast("int").alias("trial_id"), "start", "stop", "t0", "info")
-    return numbered
+    if recording:
+        order = W.partitionBy(key).orderBy("start", "stop")
+        return found.select(recording, (F.row_number().over(order) - 1).cast("int").alias("trial_id"), "start", "stop", "t0", "info")
+    found = running_total(found.drop(key), "start", F.lit(1), "place", 1 << 22)
+    return found.select(F.col("place").cast("int").alias("trial_id"), "start", "stop", "t0", "info")
 
 
 @frontend

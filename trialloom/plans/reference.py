@@ -252,7 +252,7 @@ def t3_trials_at_other_rate(spark, sf):
 
 
 @query("""WITH ev AS (SELECT trig_id, min(recording_id) AS recording_id, min(trigger_sample) AS sample, min(trigger_code) AS code FROM trigger_mark WHERE trigger_code IS NOT NULL AND trigger_sample IS NOT NULL GROUP BY trig_id)
-SELECT recording_id, sample - 20 AS start, sample + 40 AS stop, -20.0 AS t0, trig_id FROM ev WHERE code = 90""")
+SELECT recording_id, sample - 20 AS start, sample + 40 AS stop, CAST(-20 AS DOUBLE) AS t0, trig_id FROM ev WHERE code = 90""")
 def t4_trials_around_triggers(spark, sf):
     ev = table(spark, sf, "trigger_mark").where("trigger_code = 90 AND trigger_sample IS NOT NULL").dropDuplicates(["trig_id"])
     return ev.select("recording_id", (F.col("trigger_sample") - 20).alias("start"), (F.col("trigger_sample") + 40).alias("stop"), F.lit(-20.0).alias("t0"), "trig_id")
@@ -284,7 +284,7 @@ def t7_redefined(spark, sf):
     return x.facts.select("trial_id", "sample", r("value", 6).alias("value"))
 
 
-@query(f"WITH {SPANS} SELECT trial_id, start, stop, -4.0 AS t0 FROM sp WHERE stop - start >= 50")
+@query(f"WITH {SPANS} SELECT trial_id, start, stop, CAST(-4 AS DOUBLE) AS t0 FROM sp WHERE stop - start >= 50")
 def t7_minlength_offset(spark, sf):
     return tr.redefinetrial.plain(spikes(spark, sf), minlength=1.25, offset=-4).trials.select("trial_id", "start", "stop", "t0")
 

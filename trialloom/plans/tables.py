@@ -71,3 +71,23 @@ def salted_rank(df: DataFrame, group: list[str], order: list[str], rank: str, sa
     for c in (*group, s):
         on = on & F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}"))
     return a.join(b, on).select(*[F.col(f"a.{c}") for c in df.columns], (F.col(f"b.{at}") + F.col(f"a.{local}")).cast("long").alias(rank))
+
+
+CHUNK = 65_536
+
+
+def running_total(df: DataFrame, order: str, value: Column | str, name: str, width: int = CHUNK) -> DataFrame:
+    """Add ``name``: the sum of ``value`` over the rows before, by the whole number ``order`` (null first).
+
+    Rows are cut into chunks of ``width`` orders; only the chunks' totals meet
+    in one place.  Rows of equal order follow one another in an unspecified way.
+    """
+    from pyspark.sql import Window as W
+
+    value = F.col(value) if isinstance(value, str) else value
+    cut = df.withColumn("__chunk", F.coalesce(F.floor(F.col(order) / width), F.lit(-(2**62)))).withColumn("__value", value)
+    totals = cut.groupBy(F.col("__chunk").alias("__c")).agg(F.sum("__value").alias("__t"))
+    before = totals.select("__c", F.coalesce(F.sum("__t").over(W.orderBy("__c").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__from"))
+    inner = W.partitionBy("__chunk").orderBy(order).rowsBetween(W.unboundedPreceding, -1)
+    local = cut.withColumn("__local", F.coalesce(F.sum("__value").over(inner), F.lit(0)))
+    return local.join(before, F.col("__chunk") == F.col("__c")).select(*df.columns, (F.col("__from") + F.col("__local")).cast("long").alias(name))
