@@ -35,6 +35,7 @@ BLOCK = 8192  # samples of a block
 HALO = 512  # samples it sees beyond either border
 HALF = 15  # half width of the running median, readings
 GAMMA = 1.08  # ratio of neighbouring sketch buckets: 4 % error of a quantile
+WIDTH = 3  # readings of a spike whose steps count for all of them
 RATE_GAMMA = 1.3  # the same for changes, whose fence is wide
 UNIT = 1e-6  # lower border of the sketch's first bucket
 
@@ -50,7 +51,7 @@ class SpikeRule:
     """Fences as multiples of the interquartile range, lengths in readings."""
 
     far: float = 10.0  # beyond the quartile: flagged
-    some: float = 7.0  # flagged if the rate of change is implausible, too
+    some: float = 6.4  # flagged if the rate of change is implausible, too
     rate: float = 4.0  # fence of the absolute step-to-step change, beyond its upper quartile
     floor: float = 0.8  # least interquartile range, in steps of the source's resolution
     inner: float = 1.5  # a reading within so many of its own block's ranges is never a spike
@@ -206,8 +207,13 @@ def _measure_blocks(g, rec, ch, block, lo, hi, start, fs, smp, val, rule):
     base = rule.floor * step
     change = np.zeros(len(g))
     change[1:] = np.where(first[1:], 0.0, np.abs(val[1:] - val[:-1]))
+    # the largest step near a reading: readings inside a spike share the steps at its ends
     most = change.copy()
-    most[:-1] = np.maximum(most[:-1], change[1:])
+    for k in range(1, WIDTH + 1):
+        same = seg[k:] == seg[:-k]
+        most[:-k] = np.maximum(most[:-k], np.where(same, change[k:], 0.0))
+        if k < WIDTH:
+            most[k:] = np.maximum(most[k:], np.where(same, change[:-k], 0.0))
     emit_counts(g[own], hour[own], RESIDUAL, _bucket(res[own]))
     w = own & ~first
     emit_counts(g[w], hour[w], CHANGE, _bucket(change[w], RATE_GAMMA))
