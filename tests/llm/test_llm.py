@@ -225,6 +225,7 @@ def test_messages_of_all_layouts():
     for neither in ("Signed-off-by: A <a@b>", "(cherry picked from commit abc)", "----", "    >>> f(1)", "Refs: #12", "v1.2.3", ""):
         assert language.words_of(neither) == ""
     assert language.words_of("[PATCH 2/3] fix(io): Über foo_bar() > x") == "uber x"
+    assert language.words_of("差は百万分の604より小さい foo_barです") == "差は百万分の より小さい てす"
 
 
 TEXT = {

@@ -40,7 +40,7 @@ TRAILER = re.compile(r"^(?:[A-Z][A-Za-z]*(?:-[A-Za-z]+)+: ?\S|(?:refs|fixes|clos
 PICKED = re.compile(r"^\(cherry[- ]picked from commit\b", re.I)
 PREFIX = re.compile(r"^(?:\s*(?:\[[^\]]*\]|#\d+:?|wip\b:?|re:|(?:fix|feat|chore|docs?|refactor|tests?|ci|build|perf|style|revert)(?:\([^)]*\))?!?:))+", re.I)
 CODE = re.compile(r"^(?:>>> |\.\.\. |\$ |#include\b|diff --git )|^[\w.\[\]]+\s*=\s*\S|[;{}]\s*$|^[\w.]+\([^)]*\);?$")
-NAME = re.compile(r"\S*[_/\\@=<>{}|\d]\S*|'[^' ]*'|\"[^\" ]*\"|`[^`]*`|\S+\(\)\S*|\S+\.\w\S*")
+NAME = re.compile(r"[!-~]*[_/\\@=<>{}|0-9][!-~]*|'[^' ]*'|\"[^\" ]*\"|`[^`]*`|[!-~]+\(\)[!-~]*|[!-~]+\.[A-Za-z0-9][!-~]*")  # of ASCII only: some scripts do not separate words
 LAYOUT_LOG = re.compile(r"^commit [0-9a-f]{7,64}\b")
 LAYOUT_MAIL = re.compile(r"^From [0-9a-f]{7,64} ")
 
