@@ -11,36 +11,47 @@ import math
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from trialloom.errors import DataError, ParameterError, choice, scalar
 from trialloom.frontend import frontend
 from trialloom.kernels import filters, spectra
 from trialloom.model import Trials, to_blocks, to_long
-from trialloom.operators.statistics import known
 
 SERIES = ["trial_id", "channel_id"]
 
 
 def detrended(facts: DataFrame, keys: list[str], order: int, sample: str = "sample", value: str = "value") -> DataFrame:
-    """Mean (0) or least-squares line (1) of each series taken away; a NaN makes its series NaN."""
+    """Mean (0) or least-squares line (1) of each series taken away; a NaN makes its series NaN.
+
+    The sums are combined before the shuffle and joined back, so a long series
+    needs no task of its own.
+    """
     choice(order, "polyremoval", (0, 1))
-    w = W.partitionBy(*keys)
     v, t = F.col(value), F.col(sample).cast("double")
-    out = v - F.avg(v).over(w)
+    sums = [F.avg(v).alias("mv_")]
     if order == 1:
-        mt = F.avg(t).over(w)
-        slope = F.try_divide(F.covar_pop(t, v).over(w), F.var_pop(t).over(w))
-        out = out - F.coalesce(slope, F.lit(0.0)) * (t - mt)
-    return facts.withColumn(value, out)
+        sums += [F.avg(t).alias("mt_"), F.coalesce(F.try_divide(F.covar_pop(t, v), F.var_pop(t)), F.lit(0.0)).alias("slope_")]
+    line = F.col("mv_") + (F.col("slope_") * (t - F.col("mt_")) if order == 1 else 0.0)
+    return _with_stats(facts, keys, sums).withColumn(value, v - line).select(*facts.columns)
+
+
+def _with_stats(facts: DataFrame, keys: list[str], stats: list) -> DataFrame:
+    """Facts with statistics of their series; a null key is a key like others."""
+    table = facts.groupBy(*keys).agg(*stats)
+    names = [c for c in table.columns if c not in keys]
+    a, b = facts.alias("a"), table.alias("b")
+    on = F.lit(True)
+    for k in keys:
+        on = on & F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}"))
+    return a.join(b, on).select("a.*", *[F.col(f"b.{c}") for c in names])
 
 
 def standardised(facts: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
     """(v - mean) / population standard deviation of each series; a constant series gives NaN."""
-    w = W.partitionBy(*keys)
-    v = F.col(value)
-    return facts.withColumn(value, F.coalesce(F.try_divide(v - F.avg(v).over(w), F.stddev_pop(v).over(w)), F.lit(float("nan"))))
+    met = _with_stats(facts, keys, [F.avg(value).alias("mv_"), F.stddev_pop(value).alias("sd_")])
+    scaled = F.coalesce(F.try_divide(F.col(value) - F.col("mv_"), F.col("sd_")), F.lit(float("nan")))
+    return met.withColumn(value, scaled).select(*facts.columns)
 
 
 def rectified(facts: DataFrame, value: str = "value") -> DataFrame:
