@@ -145,6 +145,16 @@ def test_redefinition(ramp):
         tr.definetrial(ramp, [[3, 1, 0]])
 
 
+def test_trials_cut_to_their_own_recordings(spark, tmp_path):
+    from trialloom.plans import catalog
+
+    rows = [(0, 1, -5, 20, -2.0), (1, 1, 90, 130, 0.0), (2, 2, 90, 130, 0.0), (3, 30, 10, 20, 1.0), (4, 30, 5, 5, 0.0)]
+    spark.createDataFrame(rows + rows[:1], "trial_id int, recording_id int, start long, stop long, t0 double").write.parquet(f"{tmp_path}/trial.parquet")
+    spark.createDataFrame([(1, 100), (2, 200), (30, 15)], "recording_id int, n_samples long").write.parquet(f"{tmp_path}/recording.parquet")
+    got = {tuple(r) for r in catalog.queries()["ref_t5_clipped_recordings"](spark, str(tmp_path)).collect()}
+    assert got == {(0, 1, 0, 20, 3.0), (1, 1, 90, 100, 0.0), (2, 2, 90, 130, 0.0), (3, 30, 10, 15, 1.0)}
+
+
 def test_save_and_load(ramp, tmp_path):
     x = ramp.register("note", ramp.trials)
     folder = container.save(x, str(tmp_path), "one")

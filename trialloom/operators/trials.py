@@ -103,9 +103,11 @@ def _whole(data: Trials) -> DataFrame:
     return span.where("start IS NOT NULL").select(F.lit(0).alias("trial_id"), F.col("start").cast("long"), F.col("stop").cast("long"), F.lit(0.0).alias("t0"), F.array().cast("array<double>").alias("info"))
 
 
-def clip(table: DataFrame, n_samples: int) -> DataFrame:
-    """Trials cut to the recording; an empty one is an error."""
-    out = table.select("trial_id", F.greatest("start", F.lit(0)).alias("a"), F.least("stop", F.lit(n_samples)).alias("b"), "start", "t0", "info")
+def clip(table: DataFrame, n_samples: int | str) -> DataFrame:
+    """Trials cut to the recording, ``n_samples`` long or as the column of that name says; an empty one is an error."""
+    length = F.col(n_samples) if isinstance(n_samples, str) else F.lit(n_samples)
+    # least() leaves nulls out: a recording of unknown length cuts nothing
+    out = table.select("trial_id", F.greatest("start", F.lit(0)).alias("a"), F.least("stop", length).alias("b"), "start", "t0", "info")
     if not out.where("a >= b").isEmpty():
         raise DataError("a trial lies outside the recording")
     return out.select("trial_id", F.col("a").alias("start"), F.col("b").alias("stop"), (F.col("t0") + F.col("a") - F.col("start")).alias("t0"), "info")

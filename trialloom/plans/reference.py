@@ -272,6 +272,15 @@ def t5_clipped(spark, sf):
     return tr.clip(shifted, 180000).select("trial_id", (F.col("start") + 20000).alias("start"), (F.col("stop") + 20000).alias("stop"))
 
 
+@query(f"""WITH {TRIALS}, len AS (SELECT recording_id, max(n_samples) AS n FROM recording GROUP BY recording_id)
+SELECT trial_id, t.recording_id, greatest(start, 0) AS start, least(stop, n) AS stop, t0 + greatest(start, 0) - start AS t0 FROM trials t LEFT JOIN len l ON l.recording_id = t.recording_id""")
+def t5_clipped_recordings(spark, sf):
+    """Every trial cut to its own recording; ``t5_clipped`` keeps to its SQL's window of ids."""
+    lengths = table(spark, sf, "recording").groupBy("recording_id").agg(F.max("n_samples").alias("n"))
+    t = spans(spark, sf).join(lengths, "recording_id", "left").withColumn("info", F.array(F.col("recording_id").cast("double")))
+    return tr.clip(t, "n").select("trial_id", F.col("info")[0].cast("int").alias("recording_id"), "start", "stop", "t0")
+
+
 @query(f"""WITH {SPIKES}, {SPANS} SELECT k.sample, k.channel, k.unit, coalesce(max(t.trial_id), -1) AS trial_id
 FROM spk k LEFT JOIN sp t ON k.sample >= t.start AND k.sample < t.stop GROUP BY k.sample, k.channel, k.unit""")
 def t6_spikes_in_trials(spark, sf):
