@@ -105,6 +105,16 @@ def test_stretches_over_block_borders(spark, monkeypatch):
     assert set(range(1000, 1040)) <= found and found <= set(range(999, 1041))
 
 
+def test_block_of_two_readings_sets_no_floor(spark):
+    rng = np.random.default_rng(5)
+    v = np.round(rng.normal(size=5000) / 0.125) * 0.125
+    v[[700, 1500, 3000]] = 20.0
+    rows = [(1, i, 0, float(x)) for i, x in enumerate(v)] + [(1, 9000, 0, 0.0), (1, 9001, 0, 4.0)]  # a gap, then two readings in the next block
+    df = spark.createDataFrame(rows, "recording_id int, sample int, channel_id int, value double")
+    got = {r["sample"] for r in suspect_readings(df, *meta(spark)).where("reason = 'spike'").collect()}
+    assert got == {700, 1500, 3000}
+
+
 def sidecar(**info):
     return json.dumps({"data_dtype": info.pop("dt", "float32"), "info": info})
 

@@ -10,6 +10,9 @@ distance only if its rate of change is implausible, too), if it belongs to a
 stretch of zero variance far longer than the source's stretches elsewhere, or
 if the amplifier or quantity cannot deliver it.
 
+The resolution of a source is the smallest step between values of any of its
+blocks, so a block with few readings cannot raise it.
+
 Only packed blocks and sketches are shuffled.  A source is split into blocks
 of ``BLOCK`` samples, so a source with a third of all rows is many tasks.
 """
@@ -37,6 +40,7 @@ HALF = 15  # half width of the running median, readings
 GAMMA = 1.08  # ratio of neighbouring sketch buckets: 4 % error of a quantile
 WIDTH = 3  # readings of a spike whose steps count for all of them
 RATE_GAMMA = 1.3  # the same for changes, whose fence is wide
+DISTINCT = 8  # values a block needs for its smallest step to count, if another block has as many
 UNIT = 1e-6  # lower border of the sketch's first bucket
 
 RESIDUAL, CHANGE, RUN, STRETCH = 0, 1, 2, 3  # sketches
@@ -133,6 +137,64 @@ def _bucket(x: np.ndarray, gamma: float = GAMMA) -> np.ndarray:
     return np.where(x < 0, -m, m)
 
 
+def _resolution(val: np.ndarray) -> tuple[float, int]:
+    """Smallest difference of the values (0 without one), and how many values differ."""
+    v = np.sort(val)
+    d = np.diff(v)
+    d = d[d > 1e-9 * max(abs(v[0]), abs(v[-1]))]
+    return (float(d.min()), len(d) + 1) if len(d) else (0.0, 1)
+
+
+def _impossible(val, lo, hi) -> np.ndarray:
+    return ~((val > lo) & (val < hi)) | np.isinf(val)
+
+
+def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pieces to blocks, with what the source's resolution is derived from; blocks without own readings are left out."""
+    schema = pa.schema([
+        ("recording_id", pa.int32()), ("channel_id", pa.int32()), ("block", pa.int32()), ("blobs", pa.list_(pa.binary())), ("lo", pa.float64()), ("hi", pa.float64()),
+        ("start", pa.float64()), ("fs", pa.float64()), ("step", pa.float64()), ("fine", pa.float64()), ("anchor", pa.float64()),
+    ])
+    out: list[tuple] = []
+    rows = 0
+
+    def close(key: tuple, blobs: list[bytes], rest: tuple) -> None:
+        nonlocal rows
+        smp, val = (np.concatenate(x) for x in zip(*map(unpack_readings, blobs)))
+        own = (smp >= key[2] * BLOCK) & (smp < (key[2] + 1) * BLOCK) & ~np.isnan(val)
+        if not own.any():
+            return
+        smp, val = smp[own], val[own]
+        good = ~_impossible(val, rest[0], rest[1])
+        step = fine = anchor = None
+        if good.any():
+            step, n = _resolution(val[good])
+            step = step or None
+            fine = step if n >= DISTINCT else None
+            anchor = float(val[good][np.argmin(smp[good])])
+        out.append((*key, blobs, *rest, step, fine, anchor))
+        rows += len(smp)
+
+    def flush() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out), schema)], schema=schema)
+
+    at, blobs, rest = None, [], ()
+    for batch in batches:
+        for rec, ch, block, blob, *more in zip(*(batch.column(i).to_pylist() for i in range(8))):
+            if (rec, ch, block) != at:
+                if at is not None:
+                    close(at, blobs, rest)
+                if rows > 400_000:
+                    yield flush()
+                    out, rows = [], 0
+                at, blobs, rest = (rec, ch, block), [], tuple(more)
+            blobs.append(blob)
+    if at is not None:
+        close(at, blobs, rest)
+    if out:
+        yield flush()
+
+
 def _runs(key: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Run number of each reading and the runs' lengths; a run ends where the key changes or a block begins."""
     new = np.ones(len(key), bool)
@@ -141,8 +203,12 @@ def _runs(key: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return run, np.bincount(run)
 
 
-def _measure_blocks(g, rec, ch, block, lo, hi, start, fs, smp, val, rule):
-    """Candidates and sketches of many blocks at once; arrays are per reading for g, smp, val and per block else."""
+def _measure_blocks(g, rec, ch, block, lo, hi, start, fs, smp, val, rule, source=None):
+    """Candidates and sketches of many blocks at once; arrays are per reading for g, smp, val and per block else.
+
+    ``source`` is the step and a value of each block's source; without it, a
+    block is a source of its own.
+    """
     cols: list[list[np.ndarray]] = [[] for _ in range(6)]  # block index, hour, kind, bucket, count, measure
 
     def emit(gi, hour, kind, bucket, cnt, measure=None):
@@ -167,7 +233,7 @@ def _measure_blocks(g, rec, ch, block, lo, hi, start, fs, smp, val, rule):
     g, smp, val = g[keep], smp[keep], val[keep]
     own = (smp >= block[g] * BLOCK) & (smp < (block[g] + 1) * BLOCK)
     hour = np.floor((start[g] + smp / fs[g]) / 3600.0).astype(np.int64)
-    bad = ~((val > lo[g]) & (val < hi[g])) | np.isinf(val)
+    bad = _impossible(val, lo[g], hi[g])
     w = bad & own
     emit(g[w], hour[w], IMPOSSIBLE, smp[w], np.ones(w.sum(), np.int64))
     g, smp, val, own, hour = g[~bad], smp[~bad], val[~bad], own[~bad], hour[~bad]
@@ -193,13 +259,13 @@ def _measure_blocks(g, rec, ch, block, lo, hi, start, fs, smp, val, rule):
     for a in range(0, len(g), 60_000):
         course[a : a + 60_000] = np.partition(windows[centre[a : a + 60_000]], HALF, axis=1)[:, HALF]
     res = val - course
-    # step of the resolution and spread of each block
-    step, spread = np.zeros(len(at)), np.zeros(len(at))
+    # step of the source's resolution and spread of each block
+    if source is None:
+        step, anchor = np.array([_resolution(val[a:b])[0] for a, b in zip(at, ends)]), val[at]
+    else:
+        step, anchor = (x[g[at]] for x in source)
+    spread = np.zeros(len(at))
     for i, (a, b) in enumerate(zip(at, ends)):
-        v = np.sort(val[a:b])
-        d = np.diff(v)
-        d = d[d > 1e-9 * max(abs(v[0]), abs(v[-1]))]
-        step[i] = d.min() if len(d) else 0.0
         n = b - a
         q = np.partition(res[a:b], (n // 4, (3 * n) // 4))
         spread[i] = q[(3 * n) // 4] - q[n // 4]
@@ -222,7 +288,7 @@ def _measure_blocks(g, rec, ch, block, lo, hi, start, fs, smp, val, rule):
     emit(g[w], hour[w], SPIKE, smp[w], _bucket(most[w], RATE_GAMMA), res[w])
     # stretches at one value, and within one step: either parity of the lower level
     safe = np.where(st > 0, st, 1.0)
-    level = np.rint((val - val[at][seg]) / safe).astype(np.int64)
+    level = np.rint((val - anchor[seg]) / safe).astype(np.int64)
     for kind, stuck, key in ((RUN, STUCK, level), (STRETCH, STUCK_STEP, level >> 1), (STRETCH, STUCK_STEP, (level - 1) >> 1)):
         run, count = _runs(key, first)
         starts = np.flatnonzero(np.diff(run, prepend=-1))
@@ -245,8 +311,8 @@ def _measure(rule: SpikeRule):
         rows = 0
 
         def flush():
-            rec, ch, block, lo, hi, start, fs = (np.array(x) for x in zip(*meta))
-            cols = _measure_blocks(np.concatenate(of), rec, ch, block, lo, hi, start, fs, np.concatenate(smp), np.concatenate(val), rule)
+            rec, ch, block, lo, hi, start, fs, *source = (np.array(x) for x in zip(*meta))
+            cols = _measure_blocks(np.concatenate(of), rec, ch, block, lo, hi, start, fs, np.concatenate(smp), np.concatenate(val), rule, source)
             gi, hour, kind, bucket, cnt, measure = (np.concatenate(c) if c else np.zeros(0) for c in cols)
             gi = gi.astype(np.int64)
             return pa.RecordBatch.from_arrays(
@@ -255,18 +321,17 @@ def _measure(rule: SpikeRule):
             )
 
         for batch in batches:
-            for rec, ch, block, blob, lo, hi, start, fs in zip(*(batch.column(i).to_pylist() for i in range(8))):
-                key = (rec, ch, block)
-                if not meta or meta[-1][:3] != key:
-                    if rows > 400_000:
-                        yield flush()
-                        meta, smp, val, of, rows = [], [], [], [], 0
-                    meta.append((rec, ch, block, lo, hi, start, fs))
-                s, v = unpack_readings(blob)
-                smp.append(s)
-                val.append(v)
-                of.append(np.full(len(s), len(meta) - 1))
-                rows += len(s)
+            for rec, ch, block, blobs, *rest in zip(*(batch.column(i).to_pylist() for i in range(batch.num_columns))):
+                if rows > 400_000:
+                    yield flush()
+                    meta, smp, val, of, rows = [], [], [], [], 0
+                meta.append((rec, ch, block, *rest))
+                for blob in blobs:
+                    s, v = unpack_readings(blob)
+                    smp.append(s)
+                    val.append(v)
+                    of.append(np.full(len(s), len(meta) - 1))
+                    rows += len(s)
         if meta:
             yield flush()
 
@@ -300,8 +365,17 @@ def suspect_readings(analog: DataFrame, recording: DataFrame, label: DataFrame,
         .select("recording_id", "channel_id", "block", "blob", lo.alias("lo"), hi.alias("hi"), F.coalesce("start", F.lit(0.0)).alias("start"), F.coalesce(F.when(F.col("fs") > 0, F.col("fs")), F.lit(1e12)).alias("fs"))
         .repartition("recording_id", "channel_id", "block")
         .sortWithinPartitions("recording_id", "channel_id", "block")
+        .mapInArrow(_whole, "recording_id int, channel_id int, block int, blobs array<binary>, lo double, hi double, start double, fs double, step double, fine double, anchor double")
+        .persist()
     )
-    measured = blocks.mapInArrow(_measure(rule), "recording_id int, channel_id int, hour long, kind int, bucket long, cnt long, measure double").persist()
+    # one step and one anchor of levels for all blocks of a source; only these small rows are shuffled by source
+    of = W.partitionBy("recording_id", "channel_id")
+    known = blocks.select(
+        "recording_id", "channel_id", "block", F.coalesce(F.min("fine").over(of), F.min("step").over(of), F.lit(0.0)).alias("s_step"),
+        F.coalesce(F.min(F.when(F.col("anchor").isNotNull(), F.struct("block", "anchor"))).over(of)["anchor"], F.lit(0.0)).alias("s_anchor"),
+    )
+    whole = blocks.join(known.hint("merge"), ["recording_id", "channel_id", "block"]).select("recording_id", "channel_id", "block", "blobs", "lo", "hi", "start", "fs", "s_step", "s_anchor")
+    measured = whole.mapInArrow(_measure(rule), "recording_id int, channel_id int, hour long, kind int, bucket long, cnt long, measure double").persist()
 
     # merge the sketches: of each hour, and of all hours of a source
     source = ["recording_id", "channel_id"]
@@ -328,13 +402,15 @@ def suspect_readings(analog: DataFrame, recording: DataFrame, label: DataFrame,
         F.col("recording_id").alias("r1"), F.col("channel_id").alias("c_1"), "context", *[F.col(c).alias(f"h_{c}") for c in ("q1", "q3", "iqr", "c1", "c3")]
     )
     alls = fences.where(F.col("context").isNull()).select(
-        F.col("recording_id").alias("r2"), F.col("channel_id").alias("c_2"), F.col("n").alias("a_n"), *[F.col(c).alias(f"a_{c}") for c in ("q1", "q3", "iqr", "c1", "c3", "run", "stretch")]
+        F.col("recording_id").alias("r2"), F.col("channel_id").alias("c_2"), F.col("n").alias("a_n"), *[F.col(c).alias(f"a_{c}") for c in ("q1", "q3", "iqr", "c1", "c3", "least_range", "run", "stretch")]
     )
     found = measured.where(F.col("kind") >= SPIKE)
     joined = found.join(alls, (found.recording_id == alls.r2) & (found.channel_id == alls.c_2), "left").join(
         ours, (found.recording_id == ours.r1) & (found.channel_id == ours.c_1) & (found.hour == ours.context), "left"
     )
     f = {c: F.coalesce(f"h_{c}", f"a_{c}") for c in ("q1", "q3", "iqr", "c1", "c3")}
+    # the floor is the source's, in every hour
+    f["iqr"] = F.greatest(f["iqr"], F.col("a_least_range"))
     beyond = F.greatest(F.col("measure") - f["q3"], f["q1"] - F.col("measure"))
     jump = middle(F.col("cnt"), RATE_GAMMA) > f["c3"] + rule.rate * F.greatest(f["c3"] - f["c1"], f["iqr"])
     known = F.col("a_n") >= rule.least
