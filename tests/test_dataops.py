@@ -115,6 +115,42 @@ def test_block_of_two_readings_sets_no_floor(spark):
     assert got == {700, 1500, 3000}
 
 
+def brute_stuck(sample, level, rule):
+    """Stuck readings by whole stretches of one source."""
+    out, usual = set(), []
+    for keys in ([level], [level >> 1, (level - 1) >> 1]):
+        runs = [np.split(sample, np.flatnonzero(np.diff(k)) + 1) for k in keys]
+        n = np.sort([len(x) for r in runs for x in r])
+        usual.append(n[int(np.ceil(rule.usual * len(n))) - 1])
+        out |= {int(i) for r in runs for x in r if len(x) > max(rule.stuck, rule.longer * usual[-1]) for i in x}
+    return out, usual
+
+
+def test_stretches_longer_than_what_a_block_sees(spark):
+    from trialloom.operators.spikes import SpikeRule
+
+    rng = np.random.default_rng(11)
+    rows, want = [], set()
+    for ch, usual, gap in ((0, 200, (0, 0)), (1, 200, (16_500, 17_600)), (2, 900, (30_000, 42_000))):
+        level, stuck_at = [], 16_284  # 100 readings of the stuck stretch lie left of a block's border
+        while len(level) < 160_000:
+            if stuck_at and len(level) >= stuck_at - 2 * usual:
+                level += [5] * (stuck_at - len(level)) + [0] * (usual * 25) + [5] * usual
+                stuck_at = None
+            level += [int(rng.choice([x for x in range(10) if not level or x != level[-1]]))] * int(rng.integers(usual // 2, usual))
+        level = np.array(level[:160_000])
+        there = np.ones(len(level), bool)
+        there[gap[0] : gap[1]] = False  # missing readings end no stretch
+        sample, level = np.flatnonzero(there), level[there]
+        stuck, _ = brute_stuck(sample, level, SpikeRule())
+        assert {16_284, 16_383, 16_384} <= stuck
+        want |= {(ch, x) for x in stuck}
+        rows.append(pd.DataFrame({"recording_id": 1, "sample": sample, "channel_id": ch, "value": level * 0.5}))
+    df = spark.createDataFrame(pd.concat(rows)).repartition(5)
+    got = {(r["channel_id"], r["sample"]) for r in suspect_readings(df, *meta(spark)).where("reason = 'stuck'").collect()}
+    assert got == want
+
+
 def sidecar(**info):
     return json.dumps({"data_dtype": info.pop("dt", "float32"), "info": info})
 

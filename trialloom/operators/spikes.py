@@ -11,7 +11,9 @@ stretch of zero variance far longer than the source's stretches elsewhere, or
 if the amplifier or quantity cannot deliver it.
 
 The resolution of a source is the smallest step between values of any of its
-blocks, so a block with few readings cannot raise it.
+blocks, so a block with few readings cannot raise it.  A stretch that leaves
+what its block sees is put together from the first and last stretches of the
+blocks it passes through, and counts and is judged by its whole length.
 
 Only packed blocks and sketches are shuffled.  A source is split into blocks
 of ``BLOCK`` samples, so a source with a third of all rows is many tasks.
@@ -45,6 +47,8 @@ UNIT = 1e-6  # lower border of the sketch's first bucket
 
 RESIDUAL, CHANGE, RUN, STRETCH = 0, 1, 2, 3  # sketches
 SPIKE, STUCK, STUCK_STEP, IMPOSSIBLE = 10, 11, 12, 13  # candidates
+# by kind of stretch (0 to 2): a block's first and last stretch, if open or if closed in sight, and readings of open ones
+PIECE, CLOSED, OPEN = 20, 30, 40
 
 # Quantities whose readings are not limited by the amplifier: lower and upper limit, both impossible themselves.
 LIMITS = {"pupil_um": (0.0, 20000.0), "temp_c": (20.0, 46.0), "grip_n": (-1e-9, 5000.0)}
@@ -206,8 +210,9 @@ def _runs(key: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _measure_blocks(g, rec, ch, block, lo, hi, start, fs, smp, val, rule, source=None):
     """Candidates and sketches of many blocks at once; arrays are per reading for g, smp, val and per block else.
 
-    ``source`` is the step and a value of each block's source; without it, a
-    block is a source of its own.
+    ``source`` is the step and a value of each block's source, and whether it
+    has readings in lower and higher blocks; without it, a block is a source of
+    its own.
     """
     cols: list[list[np.ndarray]] = [[] for _ in range(6)]  # block index, hour, kind, bucket, count, measure
 
@@ -262,8 +267,9 @@ def _measure_blocks(g, rec, ch, block, lo, hi, start, fs, smp, val, rule, source
     # step of the source's resolution and spread of each block
     if source is None:
         step, anchor = np.array([_resolution(val[a:b])[0] for a, b in zip(at, ends)]), val[at]
+        below = above = np.zeros(len(at), bool)
     else:
-        step, anchor = (x[g[at]] for x in source)
+        step, anchor, below, above = (x[g[at]] for x in source)
     spread = np.zeros(len(at))
     for i, (a, b) in enumerate(zip(at, ends)):
         n = b - a
@@ -289,14 +295,35 @@ def _measure_blocks(g, rec, ch, block, lo, hi, start, fs, smp, val, rule, source
     # stretches at one value, and within one step: either parity of the lower level
     safe = np.where(st > 0, st, 1.0)
     level = np.rint((val - anchor[seg]) / safe).astype(np.int64)
-    for kind, stuck, key in ((RUN, STUCK, level), (STRETCH, STUCK_STEP, level >> 1), (STRETCH, STUCK_STEP, (level - 1) >> 1)):
+    last = np.zeros(len(g), bool)
+    last[ends - 1] = True
+    edge = (first & below[seg]) | (last & above[seg])  # the stretch may go on out of sight
+    mine = np.flatnonzero(own & (below | above)[seg])
+    lead = mine[np.flatnonzero(np.diff(seg[mine], prepend=-1))]
+    tail = mine[np.flatnonzero(np.diff(seg[mine], append=-1))]
+    for i, (kind, stuck, key) in enumerate(((RUN, STUCK, level), (STRETCH, STUCK_STEP, level >> 1), (STRETCH, STUCK_STEP, (level - 1) >> 1))):
         run, count = _runs(key, first)
         starts = np.flatnonzero(np.diff(run, prepend=-1))
-        w = own[starts]
-        emit_counts(g[starts][w], hour[starts][w], kind, np.minimum(count[w], BLOCK))
+        goes_on = np.zeros(len(count), bool)
+        goes_on[run[edge]] = True
+        w = own[starts] & ~goes_on
+        emit_counts(g[starts][w], hour[starts][w], kind, count[w])
         n = count[run]
-        w = own & (n > rule.stuck)
+        w = own & (n > rule.stuck) & ~goes_on[run]
         emit(g[w], hour[w], stuck, smp[w], n[w])
+        if not len(mine):
+            continue
+        # the place of a first stretch is twice its block, of a last one that plus 1
+        within = np.bincount(run[own], minlength=len(count))
+        two = run[lead] != run[tail]
+        for o, place in ((lead, 0), (starts[run[tail[two]]], 1)):
+            for border, w in ((PIECE, goes_on[run[o]]), (CLOSED, ~goes_on[run[o]])):
+                x = o[w]
+                emit(g[x], hour[x], border + i, block[g[x]].astype(np.int64) * 2 + place, within[run[x]], key[x])
+        lead_run = np.full(len(at), -1)
+        lead_run[seg[lead]] = run[lead]
+        w = own & goes_on[run]
+        emit(g[w], hour[w], OPEN + i, smp[w], block[g[w]].astype(np.int64) * 2 + (run[w] != lead_run[seg[w]]))
     # the least interquartile range that the step gives, as the sketch's floor
     emit(g[at], hour[at], RESIDUAL, np.zeros(len(at), np.int64), np.zeros(len(at), np.int64), base)
     return cols
@@ -370,16 +397,32 @@ def suspect_readings(analog: DataFrame, recording: DataFrame, label: DataFrame,
     )
     # one step and one anchor of levels for all blocks of a source; only these small rows are shuffled by source
     of = W.partitionBy("recording_id", "channel_id")
-    known = blocks.select(
+    filled = F.when(F.col("anchor").isNotNull(), F.col("block"))
+    shared = blocks.select(
         "recording_id", "channel_id", "block", F.coalesce(F.min("fine").over(of), F.min("step").over(of), F.lit(0.0)).alias("s_step"),
         F.coalesce(F.min(F.when(F.col("anchor").isNotNull(), F.struct("block", "anchor"))).over(of)["anchor"], F.lit(0.0)).alias("s_anchor"),
+        F.coalesce(F.min(filled).over(of) < F.col("block"), F.lit(False)).alias("below"), F.coalesce(F.max(filled).over(of) > F.col("block"), F.lit(False)).alias("above"),
     )
-    whole = blocks.join(known.hint("merge"), ["recording_id", "channel_id", "block"]).select("recording_id", "channel_id", "block", "blobs", "lo", "hi", "start", "fs", "s_step", "s_anchor")
+    met = blocks.join(shared.hint("merge"), ["recording_id", "channel_id", "block"])
+    whole = met.select("recording_id", "channel_id", "block", "blobs", "lo", "hi", "start", "fs", "s_step", "s_anchor", "below", "above")
     measured = whole.mapInArrow(_measure(rule), "recording_id int, channel_id int, hour long, kind int, bucket long, cnt long, measure double").persist()
 
-    # merge the sketches: of each hour, and of all hours of a source
+    # stretches over blocks: pieces of one level follow one another, but for a block's first and last stretch
     source = ["recording_id", "channel_id"]
-    merged = measured.where(F.col("kind") <= STRETCH).groupBy(*source, "hour", "kind", "bucket").agg(F.sum("cnt").alias("cnt"), F.max("measure").alias("measure"))
+    key = (F.col("kind") % 10).alias("key")
+    piece = measured.where(F.col("kind").between(PIECE, OPEN - 1)).select(*source, "hour", key, (F.col("kind") < CLOSED).alias("open"), F.col("bucket").alias("place"), "cnt", "measure")
+    along = W.partitionBy(*source, "key").orderBy("place")
+    new = (F.pmod("place", F.lit(2)) == 1) | F.coalesce(F.lag("measure").over(along) != F.col("measure"), F.lit(True))
+    piece = piece.withColumn("new", new).withColumn("run", F.sum(F.col("new").cast("int")).over(along))
+    piece = piece.withColumn("length", F.sum("cnt").over(W.partitionBy(*source, "key", "run")))
+    columns = [*source, "hour", "kind", "bucket", "cnt", "measure"]
+    begun = piece.where("new AND open").select(*source, "hour", F.when(F.col("key") == 0, RUN).otherwise(STRETCH).alias("kind"), F.col("length").alias("bucket"), F.lit(1).cast("long").alias("cnt"), F.lit(0.0).alias("measure"))
+    reading = measured.where(F.col("kind") >= OPEN).select(*source, "hour", key, "bucket", F.col("cnt").alias("place"))
+    passing = reading.join(piece.select(*source, "key", "place", "length"), [*source, "key", "place"]).where(F.col("length") > rule.stuck)
+    passing = passing.select(*source, "hour", F.when(F.col("key") == 0, STUCK).otherwise(STUCK_STEP).alias("kind"), "bucket", F.col("length").alias("cnt"), F.lit(0.0).alias("measure"))
+
+    # merge the sketches: of each hour, and of all hours of a source
+    merged = measured.where(F.col("kind") <= STRETCH).select(*columns).unionByName(begun).groupBy(*source, "hour", "kind", "bucket").agg(F.sum("cnt").alias("cnt"), F.max("measure").alias("measure"))
     both = merged.withColumn("context", F.explode(F.array("hour", F.lit(None).cast("long"))))
     sketch = both.groupBy(*source, "context", "kind", "bucket").agg(F.sum("cnt").alias("cnt"), F.max("measure").alias("measure"))
     of = W.partitionBy(*source, "context", "kind")
@@ -404,7 +447,7 @@ def suspect_readings(analog: DataFrame, recording: DataFrame, label: DataFrame,
     alls = fences.where(F.col("context").isNull()).select(
         F.col("recording_id").alias("r2"), F.col("channel_id").alias("c_2"), F.col("n").alias("a_n"), *[F.col(c).alias(f"a_{c}") for c in ("q1", "q3", "iqr", "c1", "c3", "least_range", "run", "stretch")]
     )
-    found = measured.where(F.col("kind") >= SPIKE)
+    found = measured.where(F.col("kind").between(SPIKE, IMPOSSIBLE)).select(*columns).unionByName(passing)
     joined = found.join(alls, (found.recording_id == alls.r2) & (found.channel_id == alls.c_2), "left").join(
         ours, (found.recording_id == ours.r1) & (found.channel_id == ours.c_1) & (found.hour == ours.context), "left"
     )
