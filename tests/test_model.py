@@ -155,6 +155,22 @@ def test_trials_cut_to_their_own_recordings(spark, tmp_path):
     assert got == {(0, 1, 0, 20, 3.0), (1, 1, 90, 100, 0.0), (2, 2, 90, 130, 0.0), (3, 30, 10, 15, 1.0)}
 
 
+def test_spectra_and_filters_at_the_recordings_own_rates(spark, tmp_path):
+    from trialloom.plans import catalog
+
+    rates = {1: 20.0, 2: 40.0, 3: 50.0}
+    spark.createDataFrame([(k, f, 400) for k, f in rates.items()], "recording_id int, samplerate double, n_samples long").write.parquet(f"{tmp_path}/recording.parquet")
+    wave = [(k, 0, i, float(np.sin(2 * np.pi * 5 * i / f + 0.3))) for k, f in rates.items() for i in range(400)]
+    spark.createDataFrame(wave, "recording_id int, channel_id int, sample int, value double").write.parquet(f"{tmp_path}/analog_long.parquet")
+    q = catalog.queries()
+    p = q["ref_q6_welch"](spark, str(tmp_path)).toPandas()
+    assert p.loc[p.groupby("trial_id")["re"].idxmax(), "freq_id"].tolist() == [10, 10, 10]  # 5 Hz in bins of 0.5 Hz
+    n = {x["trial_id"]: x["n"] for x in q["ref_f12_resampled"](spark, str(tmp_path)).collect()}
+    assert n == {1: 500, 2: 250, 3: 200}
+    kept = q["ref_f2_butterworth"](spark, str(tmp_path)).toPandas()["power"]
+    assert len(kept) == 3 and (abs(kept - 0.5) < 0.06).all()
+
+
 def test_save_and_load(ramp, tmp_path):
     x = ramp.register("note", ramp.trials)
     folder = container.save(x, str(tmp_path), "one")

@@ -9,12 +9,14 @@ samples of 8 channels.  Results are rounded, as sums depend on their order.
 from __future__ import annotations
 
 import tempfile
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from trialloom.kernels import filters
 from trialloom.kernels import windows as win
 from trialloom.model import Trials, concat_trials, default_labels, restack
 from trialloom.operators import arithmetic as ar
@@ -94,19 +96,32 @@ def emb8(spark: SparkSession, sf: str) -> Trials:
     return Trials("analog", facts, _trials_of(e, 8, -2.0), 8.0, {"channel": default_labels("channel", 8)})
 
 
-def recordings(spark: SparkSession, sf: str) -> Trials:
-    """Each recording as one trial; the rates are taken as equal."""
-    rec = table(spark, sf, "recording").select(F.col("recording_id").cast("int").alias("trial_id"), F.lit(0).cast("long").alias("start"), F.col("n_samples").alias("stop"), F.lit(0.0).alias("t0"), F.array().cast("array<double>").alias("info"))
-    facts = readings(spark, sf).select(F.col("recording_id").alias("trial_id"), "sample", "channel_id", "value")
-    return Trials("analog", facts, rec, 40.0, {"channel": default_labels("channel", 32)})
+def _at(spark: SparkSession, sf: str, df: DataFrame, rate: float | None) -> DataFrame:
+    """Rows of the recordings at a sampling rate; of all without one."""
+    if rate is None:
+        return df
+    return df.join(table(spark, sf, "recording").where(F.col("samplerate") == rate).select("recording_id").distinct(), "recording_id", "left_semi")
 
 
-def spikes(spark: SparkSession, sf: str) -> Trials:
+def by_rate(spark: SparkSession, sf: str, of) -> DataFrame:
+    """The tables ``of`` each sampling rate of the recordings one after another, with ``samplerate``; a recording without a rate has no seconds and is left out."""
+    rates = table(spark, sf, "recording").where("samplerate > 0 AND NOT isnan(samplerate)").select(F.col("samplerate").cast("double")).distinct().collect()
+    return reduce(DataFrame.unionByName, [of(x).withColumn("samplerate", F.lit(x)) for x in sorted(r[0] for r in rates)])
+
+
+def recordings(spark: SparkSession, sf: str, rate: float | None = None) -> Trials:
+    """Each recording at ``rate`` as one trial; without it all, for what does not depend on the rate."""
+    rec = _at(spark, sf, table(spark, sf, "recording"), rate).select(F.col("recording_id").cast("int").alias("trial_id"), F.lit(0).cast("long").alias("start"), F.col("n_samples").alias("stop"), F.lit(0.0).alias("t0"), F.array().cast("array<double>").alias("info"))
+    facts = _at(spark, sf, readings(spark, sf), rate).select(F.col("recording_id").alias("trial_id"), "sample", "channel_id", "value")
+    return Trials("analog", facts, rec, rate or 40.0, {"channel": default_labels("channel", 32)})
+
+
+def spikes(spark: SparkSession, sf: str, rate: float | None = None) -> Trials:
     """Spikes of all recordings on one axis: each recording starts at a multiple of 10000 samples."""
     at = (F.col("recording_id").cast("long") * 10000 + F.col("sample")).alias("sample")
-    facts = table(spark, sf, "spike").where("unit IS NOT NULL").select(at, "channel", "unit").distinct()
-    t = spans(spark, sf).select("trial_id", (F.col("recording_id").cast("long") * 10000 + F.col("start")).alias("start"), (F.col("recording_id").cast("long") * 10000 + F.col("stop")).alias("stop"), "t0", F.array().cast("array<double>").alias("info"))
-    return Trials("spike", facts, t, 40.0, {})
+    facts = _at(spark, sf, table(spark, sf, "spike").where("unit IS NOT NULL"), rate).select(at, "channel", "unit").distinct()
+    t = _at(spark, sf, spans(spark, sf), rate).select("trial_id", (F.col("recording_id").cast("long") * 10000 + F.col("start")).alias("start"), (F.col("recording_id").cast("long") * 10000 + F.col("stop")).alias("stop"), "t0", F.array().cast("array<double>").alias("info"))
+    return Trials("spike", facts, t, rate or 40.0, {})
 
 
 def events(spark: SparkSession, sf: str) -> Trials:
@@ -117,6 +132,7 @@ def events(spark: SparkSession, sf: str) -> Trials:
 
 SPIKES = "spk AS (SELECT DISTINCT CAST(recording_id AS BIGINT) * 10000 + sample AS sample, channel, unit FROM spike WHERE unit IS NOT NULL)"
 SPANS = "sp AS (SELECT DISTINCT trial_id, CAST(recording_id AS BIGINT) * 10000 + start AS start, CAST(recording_id AS BIGINT) * 10000 + stop AS stop, t0 FROM trial WHERE start < stop)"
+RATED = "sp AS (SELECT DISTINCT trial_id, CAST(t.recording_id AS BIGINT) * 10000 + start AS start, CAST(t.recording_id AS BIGINT) * 10000 + stop AS stop, t0, samplerate FROM trial t JOIN recording r ON r.recording_id = t.recording_id WHERE start < stop AND samplerate > 0)"
 EVENTS = "ev AS (SELECT trig_id, min(CAST(recording_id AS BIGINT) * 10000 + trigger_sample) AS sample, min(trigger_code) AS eventid FROM trigger_mark WHERE trigger_code IS NOT NULL AND trigger_sample IS NOT NULL GROUP BY trig_id)"
 
 
@@ -205,6 +221,11 @@ def p9_trial_intervals(spark, sf):
     return spikes(spark, sf).intervals().select("trial_id", r("first", 6).alias("first"), r("last", 6).alias("last"))
 
 
+@query(f"WITH {RATED} SELECT trial_id, samplerate, round(t0 / samplerate, 6) AS first, round((stop - start - 1 + t0) / samplerate, 6) AS last FROM sp")
+def p9_trial_intervals_rates(spark, sf):
+    return by_rate(spark, sf, lambda rate: spikes(spark, sf, rate).intervals().select("trial_id", r("first", 6).alias("first"), r("last", 6).alias("last")))
+
+
 @query(f"WITH {SPANS} SELECT trial_id, start, stop FROM sp WHERE t0 / 40 <= -0.125 AND (stop - start - 1 + t0) / 40 >= 0.5")
 def p8_covering_trials(spark, sf):
     return se.covering(spikes(spark, sf), (-0.125, 0.5)).select("trial_id", "start", "stop")
@@ -399,6 +420,27 @@ def a11_a12_psth(spark, sf):
     return full.groupBy("channel", "unit", "bin").agg(r(F.avg("rate"), 6).alias("rate"), r(F.var_pop("rate"), 6).alias("var"), F.count(F.lit(1)).alias("trials"))
 
 
+@query(f"""WITH {SPIKES}, {RATED},
+c AS (SELECT DISTINCT channel, unit FROM spk), b AS (SELECT unnest(range(0, {_BINS})) AS bin),
+h AS (SELECT t.trial_id, k.channel, k.unit, CAST(floor(((k.sample - t.start + t.t0) / t.samplerate - ({_LO})) / {_WIDTH}) AS INT) AS raw, (k.sample - t.start + t.t0) / t.samplerate AS time FROM spk k JOIN sp t ON k.sample >= t.start AND k.sample < t.stop),
+n AS (SELECT trial_id, channel, unit, CASE WHEN time = {_LO + _BINS * _WIDTH} THEN {_BINS - 1} ELSE raw END AS bin, count(*) AS n FROM h GROUP BY ALL),
+g AS (SELECT sp.trial_id, c.channel, c.unit, b.bin, n.n FROM sp CROSS JOIN c CROSS JOIN b LEFT JOIN n ON n.trial_id = sp.trial_id AND n.channel = c.channel AND n.unit = c.unit AND n.bin = b.bin
+  WHERE {_LO} + b.bin * {_WIDTH} >= sp.t0 / sp.samplerate - 1e-9 AND {_LO} + (b.bin + 1) * {_WIDTH} <= (sp.stop - sp.start + sp.t0) / sp.samplerate + 1e-9)
+SELECT channel, unit, bin, round(avg(coalesce(n, 0) / {_WIDTH}), 6) AS rate, round(var_pop(coalesce(n, 0) / {_WIDTH}), 6) AS var, count(*) AS trials FROM g GROUP BY channel, unit, bin""")
+def a11_a12_psth_rates(spark, sf):
+    edges = [_LO + i * _WIDTH for i in range(_BINS + 1)]
+    combos = spikes(spark, sf).facts.select("channel", "unit").distinct().withColumn("channel_id", F.lit(0))
+
+    def rates(rate):
+        s = spikes(spark, sf, rate)
+        counts = st.histogram(tr.assign(s, every=True), ["trial_id", "channel", "unit"], "time", edges)
+        grid = st.psth_grid(s, combos, edges).where("covered")
+        return grid.join(counts, ["trial_id", "channel", "unit", "bin"], "left").withColumn("rate", F.coalesce("n", F.lit(0)) / _WIDTH)
+
+    full = by_rate(spark, sf, rates)
+    return full.groupBy("channel", "unit", "bin").agg(r(F.avg("rate"), 6).alias("rate"), r(F.var_pop("rate"), 6).alias("var"), F.count(F.lit(1)).alias("trials"))
+
+
 @query()
 def a11_psth_frontend(spark, sf):
     return st.spike_psth.plain(spikes(spark, sf), binsize=0.25, latency=[-0.25, 1.75]).extras["avg"]
@@ -486,12 +528,17 @@ def f13_resampled_trials(spark, sf):
 
 @query()
 def f2_butterworth(spark, sf):
-    return _series(pp.preprocessing.plain(recordings(spark, sf), filter_class="but", filter_type="bp", freq=[2, 10], polyremoval=0).facts)
+    def filtered(rate):
+        # nothing lies above the Nyquist rate: a band that reaches it is a high-pass
+        band = {"filter_type": "bp", "freq": [2, 10]} if rate > 20 else {"filter_type": "hp", "freq": 2}
+        return _series(pp.preprocessing.plain(recordings(spark, sf, rate), filter_class="but", polyremoval=0, **band).facts)
+
+    return by_rate(spark, sf, filtered)
 
 
 @query()
 def f3_f4_windowed_sinc(spark, sf):
-    return _series(pp.preprocessing.plain(recordings(spark, sf), filter_class="firws", filter_type="lp", freq=8, order=40).facts)
+    return by_rate(spark, sf, lambda rate: _series(pp.preprocessing.plain(recordings(spark, sf, rate), filter_class="firws", filter_type="lp", freq=8, order=40).facts))
 
 
 @query(f"""WITH {EMB64}, k AS (SELECT * FROM (VALUES {', '.join(f'({i - 2}, {float(x)!r})' for i, x in enumerate(__import__('trialloom.kernels.filters', fromlist=['x']).sinc_kernel('hamming', 4, 0.2, 'lp')))}) k(lag, w))
@@ -508,7 +555,12 @@ def f8_hilbert(spark, sf):
 
 @query()
 def f12_resampled(spark, sf):
-    return _series(pp.resampledata.plain(recordings(spark, sf), 25.0).facts)
+    def resampled(rate):
+        x = recordings(spark, sf, rate)
+        # the operator lowers rates only; its kernel raises them, too
+        return _series(pp.resampledata.plain(x, 25.0).facts if rate >= 25 else pp.map_series(x, lambda v: filters.resample(v, rate, 25.0)))
+
+    return by_rate(spark, sf, resampled)
 
 
 # --- spectra (Q) ---------------------------------------------------------------------------------------------------
@@ -548,17 +600,21 @@ def q1_q2_hann_power(spark, sf):
 
 @query()
 def q1_q3_multitaper(spark, sf):
-    return sp.freqanalysis.plain(recordings(spark, sf), tapsmofrq=0.5, pad="nextpow2").facts.groupBy("channel_id", "freq_id").agg(F.avg("re").alias("power"))
+    def powers(rate):
+        x = sp.freqanalysis.plain(recordings(spark, sf, rate), tapsmofrq=0.5, pad="nextpow2")
+        return x.facts.groupBy("channel_id", "freq_id").agg(F.avg("re").alias("power")).withColumn("freq", F.col("freq_id") * float(x.labels["freq"][1]))
+
+    return by_rate(spark, sf, powers)
 
 
 @query()
 def q5_mtmconvol(spark, sf):
-    return sp.freqanalysis.plain(recordings(spark, sf), method="mtmconvol", t_ftimwin=2.0, toi=0.5, taper="hann").facts.groupBy("trial_id", "channel_id", "freq_id").agg(F.avg("re").alias("power"))
+    return by_rate(spark, sf, lambda rate: sp.freqanalysis.plain(recordings(spark, sf, rate), method="mtmconvol", t_ftimwin=2.0, toi=0.5, taper="hann").facts.groupBy("trial_id", "channel_id", "freq_id").agg(F.avg("re").alias("power")))
 
 
 @query()
 def q6_welch(spark, sf):
-    return sp.freqanalysis.plain(recordings(spark, sf), method="welch", t_ftimwin=2.0, toi=0.5, taper="hann").facts
+    return by_rate(spark, sf, lambda rate: sp.freqanalysis.plain(recordings(spark, sf, rate), method="welch", t_ftimwin=2.0, toi=0.5, taper="hann").facts)
 
 
 @query()
@@ -664,3 +720,8 @@ def v1_v2_panels(spark, sf):
 @query(f"WITH {SPIKES}, {SPANS} SELECT t.trial_id, round((k.sample - t.start + t.t0) / 40.0, 6) AS x, k.unit AS y FROM spk k JOIN sp t ON k.sample >= t.start AND k.sample < t.stop")
 def v3_raster(spark, sf):
     return plots.raster(spikes(spark, sf)).select("trial_id", r("x", 6).alias("x"), "y")
+
+
+@query(f"WITH {SPIKES}, {RATED} SELECT t.trial_id, t.samplerate, round((k.sample - t.start + t.t0) / t.samplerate, 6) AS x, k.unit AS y FROM spk k JOIN sp t ON k.sample >= t.start AND k.sample < t.stop")
+def v3_raster_rates(spark, sf):
+    return by_rate(spark, sf, lambda rate: plots.raster(spikes(spark, sf, rate)).select("trial_id", r("x", 6).alias("x"), "y"))
