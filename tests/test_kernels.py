@@ -3,7 +3,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as some
 
-from trialloom.kernels import filters, network, spectra, windows
+from trialloom.kernels import filters, network, spectra, wavelets, windows
 
 
 def test_dpss_is_orthonormal_for_short_and_long_series():
@@ -101,7 +101,7 @@ def test_resampling_and_envelope():
 def test_wavelets_and_superlets_peak_at_the_frequency():
     x = np.cos(2 * np.pi * 20 * np.arange(0, 2, 1e-3))[None]
     foi = np.array([10.0, 20, 30])
-    for z in (spectra.superlet(x, 1000, foi, 5), spectra.superlet(x, 1000, foi, 5, adaptive=True), spectra.cwt(x, 1000, spectra.scale_of("Morlet", 1 / foi, 6.0))):
+    for z in (wavelets.superlet(x, 1000, foi, 5), wavelets.superlet(x, 1000, foi, 5, adaptive=True), wavelets.cwt(x, 1000, wavelets.scale_of("Morlet", 1 / foi, 6.0))):
         assert np.abs(z[0, :, 1000]).argmax() == 1
 
 
@@ -148,3 +148,36 @@ def test_padding():
     for bad in (-0.1, "often", [1]):
         with pytest.raises(ValueError):
             spectra.padded_length(1000, bad, 100)
+
+
+def test_cwt_is_the_convolution_with_each_daughter():
+    x = np.random.default_rng(3).normal(size=(2, 90))
+    fs, scales = 50.0, np.array([0.05, 0.11, 0.4])
+    for name, (shape, par) in wavelets.WAVELETS.items():
+        z = wavelets.cwt(x, fs, scales, name)
+        for j, s in enumerate(scales):
+            taps = int(np.ceil(10 * s * fs - 1e-9))
+            t = (np.arange(taps) - (10 * s * fs - 1) / 2) / fs
+            k = shape(t / s, par) / (8 * np.pi * s * np.sqrt(fs))
+            at = (taps - 1) // 2
+            assert np.allclose(z[1, j], np.convolve(x[1], k)[at : at + 90], atol=1e-12)
+
+
+def test_wavelet_toolbox_returns_the_signal_and_its_variance(monkeypatch):
+    x = np.convolve(np.random.default_rng(1).normal(size=512), np.ones(5) / 5, "same")
+    dj = 0.125
+    for name in ("Morlet", "DOG"):
+        par = wavelets.WAVELETS[name][1]
+        first = wavelets.scale_of(name, 2.0, par)
+        scales = first * 2 ** (dj * np.arange(int(np.log2(512 / first) / dj) + 1))
+        z = wavelets.periodic_cwt(x - x.mean(), 1.0, scales, name)
+        assert np.abs(wavelets.reconstruct(z, 1.0, scales, dj, name, mean=x.mean()) - x).mean() < 0.15 * x.std()
+        assert 0.9 < wavelets.wavelet_variance(z, 1.0, scales, dj, name) / x.var() < 1.05
+        free = wavelets.outside_cone(512, 1.0, scales, name)
+        whole, inner = (wavelets.global_spectrum(wavelets.wavelet_power(z), x.var(), f) for f in (None, free))
+        assert np.isfinite(whole).all() and np.isnan(inner).sum() == (~free.any(axis=1)).sum() > 0
+        assert np.allclose(wavelets.wavelet_power(z, scales) * scales[:, None], np.abs(z) ** 2)
+    known = dict(wavelets.RECONSTRUCTION)
+    monkeypatch.setattr(wavelets, "RECONSTRUCTION", {})
+    for (name, par), c in known.items():
+        assert np.isclose(wavelets.reconstruction_factor(name, par), c, rtol=0.03)

@@ -6,15 +6,26 @@ from fractions import Fraction
 
 import numpy as np
 
-from trialloom.kernels.spectra import fft_convolve
 from trialloom.kernels.windows import window
 
 TYPES = ("lp", "hp", "bp", "bs")
 
+# Fixed values of the minimum-phase kernel: least length of its transform in kernels, and least gain.
+PHASE_SIZE = 1000
+LEAST_GAIN = 1e-8
+
 
 # --- windowed sinc ------------------------------------------------------------------------------------------------
 
 
+def fft_convolve(x: np.ndarray, kernel: np.ndarray) -> np.ndarray:
+    """The middle len(x) values of the full convolution of real arrays along the last axis."""
+    n, m = x.shape[-1], len(kernel)
+    size = 1 << max(0, n + m - 2).bit_length()
+    start = (m - 1) // 2
+    return np.fft.irfft(np.fft.rfft(x, size) * np.fft.rfft(kernel, size), size)[..., start : start + n] if size > 1 else x * kernel
+
+
 def sinc_lowpass(name: str, order: int, cut: float) -> np.ndarray:
     """Low-pass of ``order`` + 1 taps with unit gain at 0; ``cut`` in cycles per sample."""
     m = np.arange(-(order // 2), order // 2 + 1)
@@ -39,8 +50,8 @@ def sinc_kernel(name: str, order: int, cut, kind: str) -> np.ndarray:
 def minimum_phase(kernel: np.ndarray) -> np.ndarray:
     """The causal kernel with the same gain and least delay, by folding the real cepstrum."""
     n = len(kernel)
-    size = 1 << int(np.ceil(np.log2(n * 1000)))
-    spectrum = np.maximum(np.abs(np.fft.fft(kernel, size)), 1e-8)
+    size = 1 << int(np.ceil(np.log2(n * PHASE_SIZE)))
+    spectrum = np.maximum(np.abs(np.fft.fft(kernel, size)), LEAST_GAIN)
     cepstrum = np.fft.ifft(np.log(spectrum)).real
     fold = np.zeros(size)
     fold[0] = fold[size // 2] = 1

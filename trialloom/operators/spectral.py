@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from trialloom.errors import DataError, ParameterError, choice, ineffective
 from trialloom.frontend import frontend
-from trialloom.kernels import spectra
+from trialloom.kernels import spectra, wavelets
 from trialloom.kernels.windows import slepian_options
 from trialloom.model import Trials, restack, to_blocks
 from trialloom.operators.selection import best_match
@@ -180,26 +180,26 @@ def freqanalysis(data: Trials, method: str = "mtmfft", output: str = "pow", keep
             foi = np.arange(foilim[0], foilim[1] + 1e-9, 1.0)
         rate, centres = _windows(toi, None, fs)
         if method == "wavelet":
-            choice(wavelet, "wavelet", spectra.WAVELETS)
-            par = width if wavelet == "Morlet" else (order if order is not None else spectra.WAVELETS[wavelet][1])
+            choice(wavelet, "wavelet", wavelets.WAVELETS)
+            par = width if wavelet == "Morlet" else (order if order is not None else wavelets.WAVELETS[wavelet][1])
             if foi is None:
-                scales = spectra.default_scales(wavelet, longest, fs, par)
-                out_freqs = 1 / spectra.period_of(wavelet, scales, par)
+                scales = wavelets.default_scales(wavelet, longest, fs, par)
+                out_freqs = 1 / wavelets.period_of(wavelet, scales, par)
             else:
                 out_freqs = _positive(foi, fs)
-                scales = spectra.scale_of(wavelet, 1 / out_freqs, par)
+                scales = wavelets.scale_of(wavelet, 1 / out_freqs, par)
 
             def transform(x):
-                return spectra.cwt(x, fs, scales, wavelet, par)
+                return wavelets.cwt(x, fs, scales, wavelet, par)
 
         else:
             if order_max is None or not 1 <= order_min <= order_max:
                 raise ParameterError("superlets need 1 <= order_min <= order_max")
-            out_freqs = _positive(foi, fs) if foi is not None else 1 / (2 * np.pi * spectra.default_scales("Morlet", longest, fs, 6.0) * (6 + np.sqrt(38)) / (4 * np.pi) / (0.5))
+            out_freqs = _positive(foi, fs) if foi is not None else 1 / (2 * np.pi * wavelets.default_scales("Morlet", longest, fs, 6.0) * (6 + np.sqrt(38)) / (4 * np.pi) / (0.5))
             out_freqs = np.sort(out_freqs)
 
             def transform(x):
-                return spectra.superlet(x, fs, out_freqs, int(order_max), int(order_min), c_1, adaptive)
+                return wavelets.superlet(x, fs, out_freqs, int(order_max), int(order_min), c_1, adaptive)
 
         def kernel(x, start):
             z = transform(spectra.detrend(x, polyremoval))
