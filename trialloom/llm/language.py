@@ -8,7 +8,8 @@ which a change of language costs something, so that a line of one ambiguous
 word goes with its neighbours.
 
 The automata are fitted on a bounded sample of labelled rows
-(``Fit.docs_per_language``, ``Fit.chars_per_language``).  As labels may be
+(``Fit.docs_per_language``, ``Fit.chars_per_document``,
+``Fit.chars_per_language``).  As labels may be
 wrong, a line of the sample is kept for its language only if the letter
 trigrams of the whole sample, in which wrong labels are few, speak for that
 language.  Every document is then labelled, its message as a whole.
@@ -16,15 +17,17 @@ language.  Every document is then labelled, its message as a whole.
 
 from __future__ import annotations
 
+import itertools
 import math
 import re
 import unicodedata
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Codes and English names of the languages the documents are written in.
@@ -48,6 +51,7 @@ LAYOUT_MAIL = re.compile(r"^From [0-9a-f]{7,64} ")
 @dataclass(frozen=True)
 class Fit:
     docs_per_language: int = 300  # labelled documents sampled for each language
+    chars_per_document: int = 4_000  # of the lines of a sampled message, drawn from all of it, this many characters are kept
     chars_per_language: int = 24_000  # of their clean lines, this many characters are fitted
     shortest: int = 12  # characters of a line that is fitted
     margin: float = 2.0  # of the log likelihood by which a line must speak for its label to be fitted
@@ -56,13 +60,11 @@ class Fit:
     sharpness: float = 1.2  # of the confidence
 
 
-def canonical_label(label: str | None) -> str | None:
-    """The two-letter code that a label names, in whatever form; another label lower-cased, or null if it names nothing."""
-    if label is None:
-        return None
-    text = label.strip().lower()
-    first = re.split(r"[-_\s]", text)[0] if text else ""
-    return FORMS.get(text) or FORMS.get(first)
+def canonical_label(label: Column) -> Column:
+    """The two-letter code that a label names, in whatever form; null if it names none of ``LANGUAGES``."""
+    text = F.lower(F.regexp_replace(label, r"(?U)^\s+|\s+$", ""))
+    code = F.create_map(*[F.lit(x) for pair in FORMS.items() for x in pair])
+    return F.coalesce(F.try_element_at(code, text), F.try_element_at(code, F.regexp_extract(text, r"(?U)^[^-_\s]+", 0)))
 
 
 def message_lines(text: str) -> list[tuple[int, str]]:
@@ -305,49 +307,62 @@ def _label(texts: tuple[tuple[str, str], ...], how: Fit):
             cols: list[list] = [[] for _ in range(8)]
             for doc, text, declared in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 found = segments_of(text, langs, roots, how, memo) if text and langs else []
-                label = canonical_label(declared)
                 for s, (a, b, lang, conf) in enumerate(found or [(None, None, None, None)]):
-                    for c, x in zip(cols, (doc, label, len(found), s if found else None, a, b, lang, conf)):
+                    for c, x in zip(cols, (doc, declared, len(found), s if found else None, a, b, lang, conf)):
                         c.append(x)
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema)], schema=schema)
 
     return run
 
 
-def _sample_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        out: list[tuple] = []
-        for h, text, lang in zip(*(batch.column(i).to_pylist() for i in range(3))):
-            lines = [w for w in (words_of(x) for _, x in message_lines(text)) if w] if text else []
-            if lines:
-                out.append((h, canonical_label(lang), "\n".join(lines)[:4000]))
-        yield pa.RecordBatch.from_pylist([dict(zip(("h", "lang", "lines"), r)) for r in out], schema=pa.schema([("h", pa.int64()), ("lang", pa.string()), ("lines", pa.string())]))
+def _sample_lines(how: Fit):
+    schema = pa.schema([("h", pa.int64()), ("lang", pa.string()), ("lines", pa.string())])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple] = []
+            for h, text, lang in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                lines = [w for w in (words_of(x) for _, x in message_lines(text)) if w] if text else []
+                if sum(map(len, lines)) > how.chars_per_document:
+                    order = sorted(range(len(lines)), key=lambda i: zlib.crc32(f"{h} {i}".encode()))
+                    upto = itertools.accumulate(len(lines[i]) for i in order)
+                    lines = [lines[i] for i in sorted(i for i, n in zip(order, upto) if n <= how.chars_per_document)]
+                if lines:
+                    out.append((h, lang, "\n".join(lines)))
+            yield pa.RecordBatch.from_pylist([dict(zip(schema.names, r)) for r in out], schema=schema)
+
+    return run
 
-def labelled_sample(documents: DataFrame, how: Fit) -> list[tuple[str, str]]:
+
+def below_share(h: Column, share: float) -> Column:
+    """Whether a 64-bit hash falls into this share of its range, however small."""
+    return F.lit(True) if share >= 1 else h < F.lit(int(share * 2.0**64) - 2**63)
+
+
+def labelled_sample(documents: DataFrame, how: Fit, counts: dict[str, int] | None = None) -> list[tuple[str, str]]:
     """A bounded sample of documents whose label names a known language: (language, words by line).
 
-    The share to draw follows from the counts of the labels, so that what
-    reaches the driver does not grow with the table.
+    The share to draw follows from the number of documents labelled with each
+    language (``counts``, at most one entry a language), so that what reaches
+    the driver does not grow with the table.  A language of which nothing with
+    words was drawn is drawn again from a larger share, at last from all its
+    documents; documents without an id are told apart by their text.
     """
-    counts = documents.where("lang IS NOT NULL").groupBy("lang").count().collect()  # one row per label spelling
-    known: dict[str, list] = {}
-    for label, n in counts:
-        code = canonical_label(label)
-        if code:
-            known.setdefault(code, []).append((label, n))
-    want = None
-    for rows in known.values():
-        share = min(1.0, 1.5 * how.docs_per_language / sum(n for _, n in rows))
-        cond = F.col("lang").isin([label for label, _ in rows]) & (F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1_000_000)) < int(share * 1_000_000))
-        want = cond if want is None else want | cond
-    if want is None:
-        return []
+    known = documents.select("doc_id", "text", canonical_label(F.col("lang")).alias("code")).where("code IS NOT NULL")
+    if counts is None:
+        counts = {code: n for code, n in known.groupBy("code").count().collect()}
+    shares = {code: min(1.0, 1.5 * how.docs_per_language / n) for code, n in counts.items() if n}
     head = F.substring_index("text", "\ndiff --git ", 1)
-    drawn = documents.where(want).select(F.xxhash64("doc_id", F.lit(11)).alias("h"), head.alias("text"), "lang").mapInArrow(_sample_lines, "h long, lang string, lines string")
     by_lang: dict[str, list] = {}
-    for h, lang, lines in drawn.collect():
-        by_lang.setdefault(lang, []).append((h, lines))
+    while shares:
+        draw = F.lit(False)
+        for code, share in shares.items():
+            draw = draw | ((F.col("code") == code) & below_share(F.col("h"), share))
+        hashed = known.withColumn("h", F.when(F.col("doc_id").isNull(), F.xxhash64("text", F.lit(7))).otherwise(F.xxhash64("doc_id", F.lit(7))))
+        drawn = hashed.where(draw).select("h", head.alias("text"), "code").mapInArrow(_sample_lines(how), "h long, lang string, lines string")
+        for h, lang, lines in drawn.collect():
+            by_lang.setdefault(lang, []).append((h, lines))
+        shares = {code: min(1.0, 64 * share) for code, share in shares.items() if code not in by_lang and share < 1}
     return [(lang, lines) for lang in sorted(by_lang) for _, lines in sorted(by_lang[lang])[: how.docs_per_language]]
 
 
@@ -361,7 +376,7 @@ def label_documents(documents: DataFrame, how: Fit = Fit()) -> DataFrame:
     """
     texts = tuple(sorted(fit(labelled_sample(documents, how), how).items()))
     head = F.substring_index("text", "\ndiff --git ", 1)  # the message lies before the diff
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), head.alias("text"), "lang").mapInArrow(_label(texts, how), LABELLED)
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), head.alias("text"), canonical_label(F.col("lang")).alias("lang")).mapInArrow(_label(texts, how), LABELLED)
 
 
 def mislabelled(labelled: DataFrame) -> DataFrame:
