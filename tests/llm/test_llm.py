@@ -51,6 +51,15 @@ def test_nearest_against_all_pairs(spark):
         nearest_in_time(a, b, 0)
 
 
+def test_nearest_at_large_times_and_of_clashing_ids(spark):
+    schema = "id long, entity int, time double"
+    far = 1.7e18
+    a = spark.createDataFrame([(1, 10, 5.0), (1, 20, 1.0), (2, 1, far), (3, 1, -1e300), (4, 1, 1.5e15)], schema)
+    b = spark.createDataFrame([(100, 10, 1.0), (101, 10, 5.01), (102, 1, far), (103, 1, -1e300), (104, 1, 1.5e15 + 0.25), (105, 10, 5.0), (105, 20, 5.0), (105, 2, 9.0)], schema)
+    got = {r["left_id"]: (r["right_id"], r["distance"]) for r in nearest_in_time(a, b, 0.3).collect()}
+    assert got[1][0] == 101 and got[2] == (102, 0) and got[3] == (103, 0) and got[4] == (104, 0.25)
+
+
 # --- percentiles ---------------------------------------------------------------------------------------------------
 
 
@@ -161,9 +170,26 @@ def test_mix_reaches_its_shares(spark):
     assert mixing.mix(df.limit(0), targets).count() == 0 and mixing.mix(df, targets.limit(0)).count() == 0
 
 
-def test_schedule_points(spark):
-    u = [r[0] for r in spark.range(16).select(mixing.van_der_corput(F.col("id"))).collect()]
-    assert sorted(u) == [i / 16 for i in range(16)] and u[:4] == [0, 0.5, 0.25, 0.75]
+def test_schedule_points():
+    u = mixing.van_der_corput(np.arange(16)) / 2.0**mixing.BITS
+    assert sorted(u) == [i / 16 for i in range(16)] and list(u[:4]) == [0, 0.5, 0.25, 0.75]
+    points = np.sort(np.random.default_rng(0).integers(0, 1 << mixing.BITS, 50))
+    points[[0, -1]] = 0, 1 << mixing.BITS
+    for n in (0, 1, 37, 1000, 4096):
+        assert list(mixing.slots_before(n, points)) == [(mixing.van_der_corput(np.arange(n)) < p).sum() for p in points]
+
+
+def test_schedule_of_many_slots_is_even(spark):
+    rows = [(1, "a", 0.0, 0.3, 20_000_000), (1, "b", 0.3, 1.0, 20_000_000), (2, "a", 0.0, 1.0, 70_000)]
+    targets = spark.createDataFrame(rows, "mix_id int, source string, lo double, hi double, slots long")
+    made = mixing.schedule(targets)
+    sizes = [r["n"] for r in made.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+    assert sum(sizes) == 20_070_000 and max(sizes) <= 2 * sum(sizes) / len(sizes) and len(sizes) > 200
+    per = made.groupBy("mix_id", "source").agg(F.count("*").alias("n"), F.min("rank").alias("lo"), F.max("rank").alias("hi"), F.sum("rank").alias("s")).collect()
+    assert all(r["lo"] == 0 and r["hi"] == r["n"] - 1 and 2 * r["s"] == r["n"] * (r["n"] - 1) for r in per) and all(any(abs(r["n"] - n) < 20 for n in (6_000_000, 14_000_000, 70_000)) for r in per)
+    head = made.where("mix_id = 1 AND slot < 200000").orderBy("slot").toPandas()
+    for _, g in head.groupby("source"):
+        assert list(g["rank"]) == list(range(len(g)))
 
 
 @pytest.mark.skipif(not TOKENIZER, reason="no tokenizer file")
@@ -209,11 +235,31 @@ def test_phrases_against_brute_force():
         assert a.phrases(text) == want == language.phrases(language.Automaton(corpus).linked(), text)
 
 
-def test_labels_in_other_forms():
-    for form, code in (("EN", "en"), ("en_GB", "en"), ("deu", "de"), ("German", "de"), ("pt-BR", "pt"), (" fra ", "fr")):
-        assert language.canonical_label(form) == code
-    for none in (None, "", "und", "zxx", "n/a", "unknown"):
-        assert language.canonical_label(none) is None
+def test_labels_in_other_forms(spark):
+    forms = {"EN": "en", "en_GB": "en", "deu": "de", "German": "de", "pt-BR": "pt", " fra ": "fr", "\u00a0ja\t": "ja", "Brazilian": None} | dict.fromkeys((None, "", "und", "zxx", "n/a", "unknown", "-", "zz-en"))
+    df = spark.createDataFrame([(k,) for k in forms], "lang string")
+    assert {r[0]: r[1] for r in df.select("lang", language.canonical_label(F.col("lang"))).collect()} == forms
+
+
+def test_sample_of_a_huge_table_is_not_empty(spark):
+    df = spark.createDataFrame([r[:3] for r in corpus(spark)] + [(None, TEXT["en"] + f" {i}", "en") for i in range(20)], "doc_id long, text string, lang string")
+    sample = language.labelled_sample(df, language.Fit(), {"en": 10**9, "de": 10**12, "fr": 450})
+    assert {lang for lang, _ in sample} == {"en", "de", "fr"}
+    share = 450 / 10**9
+    hashes = spark.range(1, 2_000_001).select(F.xxhash64("id").alias("h"))
+    assert 200 < hashes.where(language.below_share(F.col("h"), share * 500)).count() < 700
+    # documents without an id are drawn one by one
+    nulls = df.where("doc_id IS NULL").withColumn("h", F.xxhash64("text", F.lit(7)))
+    assert nulls.where(language.below_share(F.col("h"), 0.5)).count() not in (0, 20)
+
+
+def test_sampled_lines_are_not_a_prefix():
+    how = language.Fit(chars_per_document=200)
+    text = "\n".join(f"eine zeile nummer {chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(600))
+    batch = language.pa.RecordBatch.from_pydict({"h": [1], "text": [text], "lang": ["de"]})
+    (out,) = language._sample_lines(how)(iter([batch]))
+    lines = out.column(2)[0].as_py().split("\n")
+    assert 0 < sum(map(len, lines)) <= 200 and any(int(x[-2:] > "mm") for x in lines)
 
 
 def test_messages_of_all_layouts():

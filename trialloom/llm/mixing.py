@@ -7,28 +7,54 @@ source's stream: its documents in shuffled order, once for every repetition,
 cut into blocks of the same number of tokens.  A document belongs to the
 block in which it begins, and is never cut.
 
-The ranks and the positions in the stream are prefix sums over chunks, so a
-source or mixture of any size is spread over many tasks.
+Slots are made by chunk; how many slots of a source lie before a chunk follows
+from the digits of its number, so chunks know nothing of one another.  The
+positions in the stream are prefix sums over chunks.  A source or mixture of
+any size is spread over many tasks.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from trialloom.plans.tables import materialise
 
-BLOCK_TOKENS = 1024  # least size of a block
-MOST_BLOCKS = 2**26  # of all documents; larger tables get larger blocks
+BLOCK_TOKENS = 1024  # size of a block
 DOCS_PER_CHUNK = 50_000
 SLOTS_PER_CHUNK = 65_536
+MOST_TASKS = 10_000  # that make slots; beyond, a task makes several chunks
 BITS = 52
 
 
-def van_der_corput(i):
-    """The point in [0, 1) whose binary digits are those of ``i`` mirrored."""
-    return F.conv(F.reverse(F.lpad(F.bin(i), BITS, "0")), 2, 10).cast("double") / F.lit(float(2**BITS))
+def van_der_corput(i: np.ndarray) -> np.ndarray:
+    """The point in [0, 1) whose binary digits are those of ``i`` mirrored, as a whole number of 2^-BITS."""
+    i = np.asarray(i, np.int64)
+    out = np.zeros_like(i)
+    for k in range(BITS):
+        out |= ((i >> k) & 1) << (BITS - 1 - k)
+    return out
+
+
+def slots_before(n: int, points: np.ndarray) -> np.ndarray:
+    """How many of the first ``n`` slots have a van der Corput point below each of ``points`` (in units of 2^-BITS).
+
+    The numbers below n are aligned ranges of 2^k, one for each digit 1 of n; the points of
+    such a range are evenly spaced, 2^(BITS - k) apart.
+    """
+    out = np.zeros(len(points), np.int64)
+    at = 0
+    for k in reversed(range(BITS)):
+        if n >> k & 1:
+            apart = 1 << (BITS - k)
+            out += np.clip(-(-(points - van_der_corput(at)) // apart), 0, 1 << k)
+            at += 1 << k
+    return out
 
 
 def streams(sizes: DataFrame, repeats: DataFrame) -> DataFrame:
@@ -49,7 +75,25 @@ def streams(sizes: DataFrame, repeats: DataFrame) -> DataFrame:
     inner = W.partitionBy("source", "repetition", "chunk").orderBy("place", "doc_id").rowsBetween(W.unboundedPreceding, -1)
     local = chunked.withColumn("local", F.coalesce(F.sum("n_tokens").over(inner), F.lit(0)))
     on = (F.col("source") == F.col("s_")) & (F.col("repetition") == F.col("r_")) & (F.col("chunk") == F.col("c_"))
-    return local.join(before, on).select("source", "doc_id", "n_tokens", "repetition", (F.col("repetition") * F.col("total") + F.col("from") + F.col("local")).alias("start"))
+    # a row for 50,000 documents: it grows with the table, so it is never broadcast
+    return local.join(before.hint("merge"), on).select("source", "doc_id", "n_tokens", "repetition", (F.col("repetition") * F.col("total") + F.col("from") + F.col("local")).alias("start"))
+
+
+def _slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for mix_id, chunk, slots, bounds in zip(*(batch.column(i).to_pylist() for i in range(4))):
+            first = chunk * SLOTS_PER_CHUNK
+            slot = np.arange(first, min(slots, first + SLOTS_PER_CHUNK))
+            lo = np.rint([x["lo"] * 2.0**BITS for x in bounds]).astype(np.int64)
+            edges = np.append(lo, 1 << BITS)
+            ranks = np.diff(slots_before(first, edges))
+            source = np.searchsorted(lo, van_der_corput(slot), "right") - 1
+            order = np.argsort(source, kind="stable")
+            n = np.bincount(source, minlength=len(bounds))
+            rank = np.empty(len(slot), np.int64)
+            rank[order] = np.arange(len(slot)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(ranks, n)
+            names = pa.array([x["source"] for x in bounds], pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(slot), mix_id), batch.schema.field(0).type), names.take(pa.array(source)), pa.array(slot), pa.array(rank)], ["mix_id", "source", "slot", "rank"])
 
 
 def schedule(targets: DataFrame) -> DataFrame:
@@ -58,19 +102,12 @@ def schedule(targets: DataFrame) -> DataFrame:
     ``targets`` has mix_id, source, the bounds lo and hi of its cumulative
     weight, and the mixture's number of slots.
     """
-    mixes = targets.groupBy("mix_id").agg(F.max("slots").alias("slots")).where("slots > 0")
-    chunks = mixes.select("mix_id", "slots", F.explode(F.expr(f"sequence(0L, (slots - 1) div {SLOTS_PER_CHUNK})")).alias("chunk"))
-    chunks = chunks.repartition("mix_id", "chunk")
-    slots = chunks.select("mix_id", "chunk", F.explode(F.expr(f"sequence(chunk * {SLOTS_PER_CHUNK}, least(slots, (chunk + 1) * {SLOTS_PER_CHUNK}) - 1)")).alias("slot"))
-    bounds = targets.groupBy(F.col("mix_id").alias("m_")).agg(F.collect_list(F.struct("lo", "hi", "source")).alias("bounds"))
-    placed = slots.join(bounds, F.col("mix_id") == F.col("m_")).withColumn("u", van_der_corput("slot"))
-    placed = placed.select("mix_id", "chunk", "slot", F.filter("bounds", lambda b: (b["lo"] <= F.col("u")) & (F.col("u") < b["hi"]))[0]["source"].alias("source"))
-    counts = placed.groupBy(F.col("mix_id").alias("m_"), F.col("source").alias("s_"), F.col("chunk").alias("c_")).agg(F.count(F.lit(1)).alias("n"))
-    earlier = W.partitionBy("m_", "s_").orderBy("c_").rowsBetween(W.unboundedPreceding, -1)
-    before = counts.select("m_", "s_", "c_", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("from"))
-    ranked = placed.withColumn("own", F.row_number().over(W.partitionBy("mix_id", "source", "chunk").orderBy("slot")) - 1)
-    on = (F.col("mix_id") == F.col("m_")) & (F.col("source") == F.col("s_")) & (F.col("chunk") == F.col("c_"))
-    return ranked.join(before, on).select("mix_id", "source", "slot", (F.col("from") + F.col("own")).alias("rank"))
+    mixes = targets.groupBy("mix_id").agg(F.max("slots").alias("slots"), F.sort_array(F.collect_list(F.struct("lo", "source"))).alias("bounds")).where("slots > 0")
+    total = mixes.agg(F.sum(F.ceil(F.col("slots") / SLOTS_PER_CHUNK))).first()[0] or 0
+    chunks = mixes.select("mix_id", F.explode(F.expr(f"sequence(0L, (slots - 1) div {SLOTS_PER_CHUNK})")).alias("chunk"), "slots", "bounds")
+    # as many tasks as chunks, dealt in turn: adaptive execution would unite these few bytes into one task
+    spread = chunks.repartition(int(min(max(total, 1), MOST_TASKS)))
+    return spread.mapInArrow(_slots, f"mix_id {dict(targets.dtypes)['mix_id']}, source string, slot long, rank long")
 
 
 def _targets(sizes: DataFrame, targets: DataFrame, block: int) -> DataFrame:
@@ -88,7 +125,7 @@ def _targets(sizes: DataFrame, targets: DataFrame, block: int) -> DataFrame:
     return sized.withColumn("hi", F.when(F.col("last"), F.lit(1.0)).otherwise(F.lead("lo").over(mix.orderBy("source")))).drop("last")
 
 
-def mix(sizes: DataFrame, targets: DataFrame, block: int | None = None) -> DataFrame:
+def mix(sizes: DataFrame, targets: DataFrame, block: int = BLOCK_TOKENS) -> DataFrame:
     """(mix_id, slot, start, source, doc_id, repetition, n_tokens): the documents drawn for each mixture.
 
     ``sizes`` has doc_id, source and n_tokens, ``targets`` mix_id, source,
@@ -97,14 +134,13 @@ def mix(sizes: DataFrame, targets: DataFrame, block: int | None = None) -> DataF
     mixture is the largest at which each source reaches its share without
     repeating more than max_repeat times.  Order within a mixture is by slot,
     then start.  Documents without tokens, doc_id or source are never drawn; a
-    repeated doc_id counts once.  Targets with a null, or without a positive
+    repeated doc_id counts once, with its first source and the least tokens
+    there.  Targets with a null, or without a positive
     weight and cap, are ignored, repeated ones added up.  Empty tables give an
     empty mixture.
     """
-    clean = sizes.where("doc_id IS NOT NULL AND source IS NOT NULL AND n_tokens > 0").groupBy("doc_id").agg(F.min("source").alias("source"), F.max("n_tokens").alias("n_tokens"))
-    docs = materialise(clean)
-    if block is None:
-        block = max(BLOCK_TOKENS, (docs.agg(F.sum("n_tokens")).first()[0] or 0) // MOST_BLOCKS)
+    clean = sizes.where("doc_id IS NOT NULL AND source IS NOT NULL AND n_tokens > 0").groupBy("doc_id").agg(F.min(F.struct("source", "n_tokens")).alias("d"))
+    docs = materialise(clean.select("doc_id", "d.source", "d.n_tokens"))
     goals = materialise(_targets(docs, targets, block))
     # repetitions that any mixture can need of a source
     need = F.least(F.col("max_repeat").cast("long"), F.ceil((F.col("share") * F.col("slots") + 64) * block / F.col("total")))
@@ -114,7 +150,7 @@ def mix(sizes: DataFrame, targets: DataFrame, block: int | None = None) -> DataF
     # every block of a source serves one slot of a mixture; a document may not start in the repetitions beyond the cap
     caps = goals.select(F.col("mix_id").alias("m_"), F.col("source").alias("s_"), "max_repeat")
     asked = slots.join(caps, (F.col("mix_id") == F.col("m_")) & (F.col("source") == F.col("s_"))).select("mix_id", "source", "slot", F.col("rank").alias("block"), "max_repeat")
-    drawn = placed.join(asked, ["source", "block"]).where("repetition < max_repeat")
+    drawn = placed.join(asked.hint("merge"), ["source", "block"]).where("repetition < max_repeat")
     return drawn.select("mix_id", "slot", "start", "source", "doc_id", "repetition", "n_tokens")
 
 
