@@ -8,7 +8,6 @@ samples of 8 channels.  Results are rounded, as sums depend on their order.
 
 from __future__ import annotations
 
-import tempfile
 from functools import reduce
 
 import numpy as np
@@ -27,7 +26,7 @@ from trialloom.operators import selection as se
 from trialloom.operators import spectral as sp
 from trialloom.operators import statistics as st
 from trialloom.operators import trials as tr
-from trialloom.plans.tables import table
+from trialloom.plans.tables import scratch_path, table
 from trialloom.sources import container, raw, synthetic
 
 QUERIES: dict = {}
@@ -151,8 +150,7 @@ def trial_mean_var(spark, sf):
 
 @query(f"WITH {EMB8} SELECT trial_id, sample, channel_id, round(value, 6) AS value FROM e")
 def s1_s2_save_load(spark, sf):
-    folder = tempfile.mkdtemp(prefix="trialloom-") if spark.sparkContext.master.startswith("local[") else spark.conf.get("spark.checkpoint.dir")
-    x = container.load(spark, container.save(emb8(spark, sf), folder, "s1_s2", overwrite=True), checksum=True)
+    x = container.load(spark, container.save(emb8(spark, sf), scratch_path(spark, "container"), "s1_s2", overwrite=True), checksum=True)
     return x.facts.select("trial_id", "sample", "channel_id", r("value", 6).alias("value"))
 
 

@@ -6,6 +6,7 @@ import atexit
 import os
 import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,28 +17,60 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's shared checkpoint folder; set one only where none is named.
+_WRITTEN: list[tuple[SparkSession, str]] = []  # tables of this process, removed when it ends
+_LOCAL: list[str] = []
 
-    The fallback is for local sessions (tests, bench), where driver and
-    executors are one machine.
+
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's shared checkpoint folder; one of its own only in local sessions that name none.
+
+    The fallback is for tests and bench, where driver and executors are one machine.
     """
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is not None:
-        return
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named is None and sc.master.startswith("local"):
-        named = tempfile.mkdtemp(prefix="trialloom-checkpoint-", dir=os.environ.get("TMPDIR"))
-        atexit.register(shutil.rmtree, named, ignore_errors=True)
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if named is None and spark.sparkContext.master.startswith("local"):
+        if not _LOCAL:
+            _LOCAL.append(tempfile.mkdtemp(prefix="trialloom-", dir=os.environ.get("TMPDIR")))
+            atexit.register(shutil.rmtree, _LOCAL[0], ignore_errors=True)
+        named = _LOCAL[0]
     if named is None:
         raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    sc.setCheckpointDir(named)
+    return named
+
+
+def scratch_path(spark: SparkSession, name: str = "table") -> str:
+    """A new path in the shared folder, removed when the driver's process ends."""
+    if not _WRITTEN:
+        atexit.register(_remove_written)
+    path = f"{shared_folder(spark).rstrip('/')}/trialloom-{name}-{uuid.uuid4().hex}"
+    _WRITTEN.append((spark, path))
+    return path
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a path of any file system that Spark knows."""
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def _remove_written() -> None:
+    for spark, path in _WRITTEN:
+        try:
+            remove(spark, path)
+        except Exception:  # noqa: BLE001 - the session may be gone; the folder is scratch
+            shutil.rmtree(path.removeprefix("file://").removeprefix("file:"), ignore_errors=True)
 
 
 def materialise(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to the shared checkpoint folder and cut its lineage."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write ``df`` once as a table in the shared folder and read it from there, which cuts its lineage.
+
+    Unlike a checkpoint, which computes the last stage twice, this runs the
+    plan once; the table outlives lost executors.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def salt_of(key: Column | str, salts: int) -> Column:
