@@ -13,7 +13,7 @@ from trialloom.plans.tables import table
 
 def p1_found(spark: SparkSession, sf: str) -> DataFrame:
     found = suspect_readings(table(spark, sf, "analog_long"), table(spark, sf, "recording"), table(spark, sf, "label"))
-    return found.select("recording_id", "channel_id", "sample")
+    return found.select("recording_id", "channel_id", F.col("sample").cast("int"))
 
 
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -24,8 +24,8 @@ def p3_found(spark: SparkSession, sf: str) -> DataFrame:
     until = F.when(F.col("t2") == float("inf"), F.col("duration")).otherwise(F.col("t2"))
 
     def ms(c):
-        finite = ~F.isnan(c) & (F.abs(c) < 1e15)
-        return F.when(finite, F.round(c * 1000)).cast("long")
+        finite = ~F.isnan(c) & (F.abs(c) != float("inf"))
+        return F.when(finite, F.round(c * 1000)).cast("long")  # what no long can hold is an error, not a missing end
 
     ranges = ranges.select(F.lit("time_range").alias("origin"), "recording_id", "store", ms(F.col("t1")).alias("lo"), ms(until).alias("hi"))
     return cover_and_gaps(trials.unionByName(ranges), ["origin", "recording_id", "store"], "lo", "hi")
