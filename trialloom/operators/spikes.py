@@ -41,7 +41,6 @@ HALO = 512  # samples it sees beyond either border
 HALF = 15  # half width of the running median, readings
 GAMMA = 1.08  # ratio of neighbouring sketch buckets: 4 % error of a quantile
 WIDTH = 3  # readings of a spike whose steps count for all of them
-RATE_GAMMA = 1.3  # the same for changes, whose fence is wide
 DISTINCT = 8  # values a block needs for its smallest step to count, if another block has as many
 UNIT = 1e-6  # lower border of the sketch's first bucket
 
@@ -50,7 +49,7 @@ SPIKE, STUCK, STUCK_STEP, IMPOSSIBLE = 10, 11, 12, 13  # candidates
 # by kind of stretch (0 to 2): a block's first and last stretch, if open or if closed in sight, and readings of open ones
 PIECE, CLOSED, OPEN = 20, 30, 40
 
-# Quantities whose readings are not limited by the amplifier: lower and upper limit, both impossible themselves.
+# Fixed values of the quantities that the amplifier does not limit, by label: lower and upper limit, both impossible themselves.
 LIMITS = {"pupil_um": (0.0, 20000.0), "temp_c": (20.0, 46.0), "grip_n": (-1e-9, 5000.0)}
 
 
@@ -79,17 +78,30 @@ def _expand(b: bytes) -> bytes:
 
 
 def pack_readings(sample: np.ndarray, value: np.ndarray) -> bytes:
-    """Differences of samples and byte planes of values, compressed."""
-    steps = np.diff(sample, prepend=0).astype("<i4")
+    """First sample, differences to those before (below 2^31) and byte planes of values, compressed."""
+    first = sample[:1].astype("<i8")
+    steps = np.diff(sample, prepend=first).astype("<i4")
     planes = np.ascontiguousarray(value, "<f8").view(np.uint8).reshape(-1, 8).T
-    return _squeeze(steps.tobytes() + planes.tobytes())
+    return _squeeze(first.tobytes() + steps.tobytes() + planes.tobytes())
 
 
 def unpack_readings(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
     raw = _expand(blob)
-    n = len(raw) // 12
-    sample = np.cumsum(np.frombuffer(raw, "<i4", n), dtype=np.int64)
-    value = np.ascontiguousarray(np.frombuffer(raw, np.uint8, 8 * n, 4 * n).reshape(8, n).T).view("<f8").ravel()
+    n = (len(raw) - 8) // 12
+    sample = np.frombuffer(raw, "<i8", 1)[0] + np.cumsum(np.frombuffer(raw, "<i4", n, 8), dtype=np.int64)
+    value = np.ascontiguousarray(np.frombuffer(raw, np.uint8, 8 * n, 8 + 4 * n).reshape(8, n).T).view("<f8").ravel()
+    return sample, value
+
+
+def once(sample: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Readings that are not NaN in order of time; of several of one sample the largest, whatever order they came in."""
+    there = ~np.isnan(value)
+    sample, value = sample[there], value[there]
+    if not (sample[1:] > sample[:-1]).all():
+        o = np.lexsort((value, sample))
+        sample, value = sample[o], value[o]
+        last = np.append(sample[1:] != sample[:-1], True)
+        sample, value = sample[last], value[last]
     return sample, value
 
 
@@ -122,7 +134,7 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if i < j:
                     out.append((int(rec[a]), int(ch[a]), k, pack_readings(s[i:j], val[a + i : a + j])))
         r, c, k, blob = zip(*out)
-        return pa.RecordBatch.from_arrays([pa.array(r, pa.int32()), pa.array(c, pa.int32()), pa.array(k, pa.int32()), pa.array(blob, pa.binary())], ["recording_id", "channel_id", "block", "blob"])
+        return pa.RecordBatch.from_arrays([pa.array(r, pa.int32()), pa.array(c, pa.int32()), pa.array(k, pa.int64()), pa.array(blob, pa.binary())], ["recording_id", "channel_id", "block", "blob"])
 
     for batch in batches:
         if batch.num_rows:
@@ -135,9 +147,9 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush()
 
 
-def _bucket(x: np.ndarray, gamma: float = GAMMA) -> np.ndarray:
+def _bucket(x: np.ndarray) -> np.ndarray:
     """Signed logarithmic bucket; 0 holds what is below the unit."""
-    m = np.ceil(np.log(np.maximum(np.abs(x) / UNIT, 1.0)) / np.log(gamma)).astype(np.int64)
+    m = np.ceil(np.log(np.maximum(np.abs(x) / UNIT, 1.0)) / np.log(GAMMA)).astype(np.int64)
     return np.where(x < 0, -m, m)
 
 
@@ -156,7 +168,7 @@ def _impossible(val, lo, hi) -> np.ndarray:
 def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pieces to blocks, with what the source's resolution is derived from; blocks without own readings are left out."""
     schema = pa.schema([
-        ("recording_id", pa.int32()), ("channel_id", pa.int32()), ("block", pa.int32()), ("blobs", pa.list_(pa.binary())), ("lo", pa.float64()), ("hi", pa.float64()),
+        ("recording_id", pa.int32()), ("channel_id", pa.int32()), ("block", pa.int64()), ("blobs", pa.list_(pa.binary())), ("lo", pa.float64()), ("hi", pa.float64()),
         ("start", pa.float64()), ("fs", pa.float64()), ("step", pa.float64()), ("fine", pa.float64()), ("anchor", pa.float64()),
     ])
     out: list[tuple] = []
@@ -164,8 +176,8 @@ def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def close(key: tuple, blobs: list[bytes], rest: tuple) -> None:
         nonlocal rows
-        smp, val = (np.concatenate(x) for x in zip(*map(unpack_readings, blobs)))
-        own = (smp >= key[2] * BLOCK) & (smp < (key[2] + 1) * BLOCK) & ~np.isnan(val)
+        smp, val = once(*(np.concatenate(x) for x in zip(*map(unpack_readings, blobs))))
+        own = (smp >= key[2] * BLOCK) & (smp < (key[2] + 1) * BLOCK)
         if not own.any():
             return
         smp, val = smp[own], val[own]
@@ -175,7 +187,7 @@ def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             step, n = _resolution(val[good])
             step = step or None
             fine = step if n >= DISTINCT else None
-            anchor = float(val[good][np.argmin(smp[good])])
+            anchor = float(val[good][0])
         out.append((*key, blobs, *rest, step, fine, anchor))
         rows += len(smp)
 
@@ -210,6 +222,7 @@ def _runs(key: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _measure_blocks(g, rec, ch, block, lo, hi, start, fs, smp, val, rule, source=None):
     """Candidates and sketches of many blocks at once; arrays are per reading for g, smp, val and per block else.
 
+    Readings are ordered by block and time, one for each sample.
     ``source`` is the step and a value of each block's source, and whether it
     has readings in lower and higher blocks; without it, a block is a source of
     its own.
@@ -230,12 +243,6 @@ def _measure_blocks(g, rec, ch, block, lo, hi, start, fs, smp, val, rule, source
             gg, hh = np.divmod(rest, hs)
             emit(gg, hh + h0, kind, bk + b0, cnt)
 
-    o = np.lexsort((smp, g))
-    g, smp, val = g[o], smp[o], val[o]
-    keep = np.ones(len(g), bool)
-    keep[1:] = (g[1:] != g[:-1]) | (smp[1:] != smp[:-1])
-    keep &= ~np.isnan(val)
-    g, smp, val = g[keep], smp[keep], val[keep]
     own = (smp >= block[g] * BLOCK) & (smp < (block[g] + 1) * BLOCK)
     hour = np.floor((start[g] + smp / fs[g]) / 3600.0).astype(np.int64)
     bad = _impossible(val, lo[g], hi[g])
@@ -288,10 +295,10 @@ def _measure_blocks(g, rec, ch, block, lo, hi, start, fs, smp, val, rule, source
             most[k:] = np.maximum(most[k:], np.where(same, change[:-k], 0.0))
     emit_counts(g[own], hour[own], RESIDUAL, _bucket(res[own]))
     w = own & ~first
-    emit_counts(g[w], hour[w], CHANGE, _bucket(change[w], RATE_GAMMA))
+    emit_counts(g[w], hour[w], CHANGE, _bucket(change[w]))
     far = np.maximum(rule.inner * np.maximum(spread, base), rule.some * base)[seg]
     w = own & (np.abs(res) > far)
-    emit(g[w], hour[w], SPIKE, smp[w], _bucket(most[w], RATE_GAMMA), res[w])
+    emit(g[w], hour[w], SPIKE, smp[w], _bucket(most[w]), res[w])
     # stretches at one value, and within one step: either parity of the lower level
     safe = np.where(st > 0, st, 1.0)
     level = np.rint((val - anchor[seg]) / safe).astype(np.int64)
@@ -353,37 +360,37 @@ def _measure(rule: SpikeRule):
                     yield flush()
                     meta, smp, val, of, rows = [], [], [], [], 0
                 meta.append((rec, ch, block, *rest))
-                for blob in blobs:
-                    s, v = unpack_readings(blob)
-                    smp.append(s)
-                    val.append(v)
-                    of.append(np.full(len(s), len(meta) - 1))
-                    rows += len(s)
+                s, v = once(*(np.concatenate(x) for x in zip(*map(unpack_readings, blobs))))
+                smp.append(s)
+                val.append(v)
+                of.append(np.full(len(s), len(meta) - 1))
+                rows += len(s)
         if meta:
             yield flush()
 
     return run
 
 
-def suspect_readings(analog: DataFrame, recording: DataFrame, label: DataFrame, rule: SpikeRule = SpikeRule()) -> DataFrame:
+def suspect_readings(analog: DataFrame, recording: DataFrame, label: DataFrame, rule: SpikeRule = SpikeRule(), limits: dict[str, tuple[float, float]] = LIMITS) -> DataFrame:
     """(recording_id, channel_id, sample, reason) of every reading not to be trusted.
 
     Nulls and NaN are missing: never flagged, and neither do they end a
     stretch.  Repeated deliveries count once.  A recording without a row in
-    ``recording`` has no amplifier limit and one context, a channel without a
-    label only the amplifier's limit.  Rows with a null key or sample are
+    ``recording`` has no amplifier limit and one context, a channel whose label
+    is not in ``limits`` only the amplifier's limit.  Of readings of one key
+    the largest counts.  Rows with a null key or sample are
     ignored, extra columns too, and an empty table gives an empty result.
     """
     readings = analog.where("recording_id IS NOT NULL AND channel_id IS NOT NULL AND sample IS NOT NULL AND value IS NOT NULL").select(
-        F.col("recording_id").cast("int"), F.col("channel_id").cast("int"), F.col("sample").cast("int"), F.col("value").cast("double")
+        F.col("recording_id").cast("int"), F.col("channel_id").cast("int"), F.col("sample").cast("long"), F.col("value").cast("double")
     )
-    pieces = readings.mapInArrow(_pack, "recording_id int, channel_id int, block int, blob binary")
+    pieces = readings.mapInArrow(_pack, "recording_id int, channel_id int, block long, blob binary")
     rec = recording.where("recording_id IS NOT NULL").groupBy(F.col("recording_id").cast("int").alias("rid")).agg(
         F.max("adc_range").cast("double").alias("adc"), F.max(F.unix_micros("utc_start_time") / 1e6).alias("start"), F.max("samplerate").cast("double").alias("fs")
     )
     quantity = label.where("axis = 'channel' AND idx IS NOT NULL").groupBy(F.col("idx").cast("int").alias("cid")).agg(F.max("label").alias("quantity"))
     lo, hi = F.coalesce(-F.col("adc"), F.lit(float("-inf"))), F.coalesce(F.col("adc"), F.lit(float("inf")))
-    for name, (a, b) in LIMITS.items():
+    for name, (a, b) in limits.items():
         lo = F.when(F.col("quantity") == name, F.lit(a)).otherwise(lo)
         hi = F.when(F.col("quantity") == name, F.lit(b)).otherwise(hi)
     blocks = (
@@ -392,7 +399,7 @@ def suspect_readings(analog: DataFrame, recording: DataFrame, label: DataFrame,
         .select("recording_id", "channel_id", "block", "blob", lo.alias("lo"), hi.alias("hi"), F.coalesce("start", F.lit(0.0)).alias("start"), F.coalesce(F.when(F.col("fs") > 0, F.col("fs")), F.lit(1e12)).alias("fs"))
         .repartition("recording_id", "channel_id", "block")
         .sortWithinPartitions("recording_id", "channel_id", "block")
-        .mapInArrow(_whole, "recording_id int, channel_id int, block int, blobs array<binary>, lo double, hi double, start double, fs double, step double, fine double, anchor double")
+        .mapInArrow(_whole, "recording_id int, channel_id int, block long, blobs array<binary>, lo double, hi double, start double, fs double, step double, fine double, anchor double")
         .persist()
     )
     # one step and one anchor of levels for all blocks of a source; only these small rows are shuffled by source
@@ -431,13 +438,13 @@ def suspect_readings(analog: DataFrame, recording: DataFrame, label: DataFrame,
     def at_least(kind: int, share: float):
         return F.min(F.when((F.col("kind") == kind) & (F.col("upto") >= share * F.col("n")), F.col("bucket")))
 
-    def middle(b, gamma=GAMMA):  # the value in the middle of a bucket
-        return F.when(b == 0, F.lit(0.0)).otherwise(F.signum(b) * UNIT * F.pow(F.lit(gamma), F.abs(b) - 0.5))
+    def middle(b):  # the value in the middle of a bucket
+        return F.when(b == 0, F.lit(0.0)).otherwise(F.signum(b) * UNIT * F.pow(F.lit(GAMMA), F.abs(b) - 0.5))
 
     fences = ranked.groupBy(*source, "context").agg(
         F.max(F.when(F.col("kind") == RESIDUAL, F.col("n"))).alias("n"), F.max("measure").alias("least_range"),
         middle(at_least(RESIDUAL, 0.25)).alias("q1"), middle(at_least(RESIDUAL, 0.75)).alias("q3"),
-        middle(at_least(CHANGE, 0.25), RATE_GAMMA).alias("c1"), middle(at_least(CHANGE, 0.75), RATE_GAMMA).alias("c3"),
+        middle(at_least(CHANGE, 0.25)).alias("c1"), middle(at_least(CHANGE, 0.75)).alias("c3"),
         at_least(RUN, rule.usual).alias("run"), at_least(STRETCH, rule.usual).alias("stretch"),
     )
     fences = fences.withColumn("iqr", F.greatest(F.col("q3") - F.col("q1"), F.col("least_range")))
@@ -455,7 +462,7 @@ def suspect_readings(analog: DataFrame, recording: DataFrame, label: DataFrame,
     # the floor is the source's, in every hour
     f["iqr"] = F.greatest(f["iqr"], F.col("a_least_range"))
     beyond = F.greatest(F.col("measure") - f["q3"], f["q1"] - F.col("measure"))
-    jump = middle(F.col("cnt"), RATE_GAMMA) > f["c3"] + rule.rate * F.greatest(f["c3"] - f["c1"], f["iqr"])
+    jump = middle(F.col("cnt")) > f["c3"] + rule.rate * F.greatest(f["c3"] - f["c1"], f["iqr"])
     known = F.col("a_n") >= rule.least
     reason = (
         F.when(F.col("kind") == IMPOSSIBLE, F.lit("impossible"))
@@ -464,7 +471,7 @@ def suspect_readings(analog: DataFrame, recording: DataFrame, label: DataFrame,
         .when((F.col("kind") == STUCK_STEP) & known & (F.col("cnt") > rule.longer * F.col("a_stretch")), F.lit("stuck"))
     )
     return (
-        joined.select("recording_id", "channel_id", F.col("bucket").cast("int").alias("sample"), reason.alias("reason"))
+        joined.select("recording_id", "channel_id", F.col("bucket").alias("sample"), reason.alias("reason"))
         .where(F.col("reason").isNotNull())
         .groupBy("recording_id", "channel_id", "sample")
         .agg(F.min("reason").alias("reason"))
