@@ -7,7 +7,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from trialloom.operators.drift import _pair, canonical_fields, field_changes, leaf_rows, path_types, typed_table
+from trialloom.operators.drift import _pair, canonical_fields, field_changes, file_statistics, one_field, path_types, typed_table
 from trialloom.operators.intervals import cover_and_gaps
 from trialloom.operators.spikes import pack_readings, suspect_readings, unpack_readings
 from trialloom.plans.tables import salted_rank
@@ -43,6 +43,18 @@ def test_cover_and_gaps(spark):
     assert cover_and_gaps(df.limit(0), ["k"], "a", "b").count() == 0
 
 
+def test_far_interval_leaves_the_buckets_even(spark, monkeypatch):
+    from trialloom.operators import intervals
+
+    written = []
+    monkeypatch.setattr(intervals, "materialise", lambda df: written.append(df.persist()) or df)
+    near = spark.range(20_000).select(F.lit("x").alias("k"), (F.col("id") * 3).alias("a"), (F.col("id") * 3 + 2).alias("b"))
+    rows = near.unionByName(spark.createDataFrame([("x", 10**15, 10**15 + 1)], "k string, a long, b long"))
+    assert cover_and_gaps(rows, ["k"], "a", "b", 1000).count() == 20_001 + 20_000
+    sizes = [r["count"] for r in written[1].groupBy("b").count().collect()]
+    assert len(sizes) > 30 and max(sizes) <= 2 * sum(sizes) / len(sizes)
+
+
 def test_packing_round_trip():
     s = np.array([5, 6, 7, 100, 3], np.int64)
     v = np.array([1.5, np.nan, np.inf, -0.0, 1e300])
@@ -168,15 +180,74 @@ def test_field_changes(spark):
     df = spark.createDataFrame(rows, "file_id long, rig string, filename string, t int, payload string").withColumn("written_at", F.timestamp_seconds("t")).withColumn("path", F.lit("clash"))
     series = [F.col("rig"), F.regexp_extract("filename", r"\.([^.]*)$", 1)]
     want = {(3, "renamed", "info.tag", "info.label"), (3, "added", "", "info.extra.deep"), (5, "retyped", "info.rate", "info.rate"), (5, "retyped", "data", "data")}
-    for per_chunk in (1, 1000):
-        got = field_changes(df, "file_id", series, "written_at", "payload", per_chunk)
+    for per_range in (1, 1000):
+        got = field_changes(df, "file_id", series, "written_at", "payload", per_range)
         assert {tuple(r) for r in got.collect()} == want and got.count() == len(want)
     assert field_changes(df.limit(0), "file_id", series, "written_at", "payload").count() == 0
-    parsed = leaf_rows(df, "file_id", series, "written_at", "payload")
-    wide, failed = typed_table(parsed, canonical_fields(field_changes(df, "file_id", series, "written_at", "payload"), path_types(parsed)))
+    files = file_statistics(df, "file_id", series, "written_at", "payload")
+    links = one_field(field_changes(df, "file_id", series, "written_at", "payload"), files)
+    wide, failed = typed_table(files, canonical_fields(links, path_types(files)))
     t = wide.toPandas().set_index("key")
+    assert sorted(t.index) == [1, 2, 3, 5, 6, 9]
     assert t.loc[1, "info__label"] == t.loc[3, "info__label"] == "k1" and t.loc[5, "info__rate"] == 5.0
-    assert {(r["key"], r["path"]) for r in failed.collect()} == {(6, "info.rate")}
+    assert {(r["key"], r["path"], r["reason"]) for r in failed.collect()} == {(6, "info.rate", "cast")}
+
+
+def brute_changes(files):
+    """(key, change, old, new) of (series, time, key, payload) rows in plain Python, one series after another."""
+    from trialloom.operators.drift import Sweep, path_values
+
+    out, sweeps = set(), {}
+    for series, _, key, payload in sorted(files, key=lambda r: (str(r[0]), r[1] is not None, r[1] or 0, r[2])):
+        now = path_values(payload)
+        if now is not None:
+            found, later = sweeps.setdefault(series, Sweep(complete=True)).changes(now)
+            assert not later
+            out |= {(key, *x) for x in found}
+    return out
+
+
+def test_changes_over_many_ranges(spark):
+    rng = random.Random(8)
+    files = []
+    for i in range(600):
+        info = {}
+        for name in "abcdefgh":
+            if rng.random() < 0.8:
+                info[name if rng.random() < 0.9 else name.upper() + "_"] = rng.choice([None, [], 3, 4, 2.5, "x", True])
+        payload = json.dumps({"data_dtype": rng.choice(["float32", "<f4", "int16", None]), "info": info}) if rng.random() > 0.05 else "{"
+        files.append(("hot" if i % 3 else f"s{i % 5}", None if i % 50 == 7 else rng.randrange(1000), i, payload))
+    clash = [(1000, "hot", 5, sidecar(a=1)), (1000, "hot", 1, sidecar(a="s"))]
+    df = spark.createDataFrame([(k, s, t, p) for s, t, k, p in files + files[:60]] + clash, "k long, series string, t int, payload string").withColumn("at", F.timestamp_seconds("t"))
+    want = brute_changes([*files, ("hot", 1, 1000, sidecar(a="s"))])
+    for per_range in (4, 100, 10**6):
+        got = field_changes(df.repartition(6), "k", [F.col("series")], "at", "payload", per_range)
+        rows = [tuple(r) for r in got.collect()]
+        assert set(rows) == want and len(rows) == len(want)
+
+
+def test_null_times_leave_the_ranges_even(spark, monkeypatch):
+    from trialloom.operators import drift
+
+    seen = []
+    plain = drift._sweep_ranges
+    monkeypatch.setattr(drift, "_sweep_ranges", lambda schema: seen.append(schema) or plain(schema))
+    rows = spark.range(60_000).select("id", F.lit("r").alias("rig"), F.when(F.col("id") != 5, F.timestamp_seconds(F.col("id") % 977 + 1_700_000_000)).alias("at"), F.lit(sidecar(a=1)).alias("payload"))
+    once = drift.records_once(rows, "id", [F.col("rig")], "at", "payload")
+    sizes = [r["count"] for r in once.repartitionByRange(60, "series", "us", "key").groupBy(F.spark_partition_id()).count().collect()]
+    assert max(sizes) <= 2 * sum(sizes) / len(sizes) and len(sizes) > 50
+    assert field_changes(rows, "id", [F.col("rig")], "at", "payload", 1000).count() == 0 and seen
+
+
+def test_renamed_paths_that_one_file_holds_stay_apart(spark):
+    rows = [(1, "r", 1, sidecar(a=7)), (2, "r", 2, sidecar(b=7)), (3, "q", 1, sidecar(a=1, b=2)), (4, "p", 1, sidecar(x=7)), (5, "p", 2, sidecar(y=7)), (6, "p", 3, sidecar(y=8))]
+    df = spark.createDataFrame(rows, "k long, rig string, t int, payload string").withColumn("at", F.timestamp_seconds("t"))
+    files = file_statistics(df, "k", [F.col("rig")], "at", "payload")
+    changes = field_changes(df, "k", [F.col("rig")], "at", "payload")
+    assert {(r[0], r[1]) for r in one_field(changes, files).collect()} == {("info.x", "info.y")}
+    # a field shared on purpose: the value that loses it is reported
+    _, lost = typed_table(files, {"info.a": ("info.a", "bigint"), "info.b": ("info.a", "bigint"), "info.x": ("info.x", "bigint"), "info.y": ("info.x", "bigint"), "data_dtype": ("data_dtype", "string")})
+    assert {(r["key"], r["path"], r["reason"]) for r in lost.collect()} == {(3, "info.b", "shared")}
 
 
 def test_pairs_of_renames():

@@ -1,10 +1,16 @@
 """Fields of JSON records that change over time: one table, and a report of every change.
 
-Each payload is read as a map from leaf path to raw type and value.  The
-records of a series are numbered in time; every leaf is joined with the leaf of
-the record before it, by (series, number, path), so that no series has to fit
-in one task.  Leaves on one side only are added or removed, and paired within
-their record as renamed; types are compared with the type last seen.
+Each payload is read as a map from leaf path to raw type and value, and the
+types of each path are added up by file: a file's path-type statistics.  From
+them follow the report, by comparing a file's with those of the file before it
+in its series, and, added up over all files, the consistent table's schema.
+
+The files are cut by rank of (series, time) into ranges of about equally many,
+whatever their times, and every range is swept in order.  What a sweep cannot
+know, as it depends on files before its range, it hands on: its first file, and
+changes of paths whose type it has not met yet.  A second sweep over these few
+rows, with the state in which each range ends, settles them.  No series has to
+fit in one task.
 """
 
 from __future__ import annotations
@@ -14,15 +20,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from trialloom.plans.tables import materialise
 
-ROWS_PER_CHUNK = 20_000
+FILES_PER_RANGE = 20_000
+DTYPE = "\0data"  # stands for the path of the NumPy dtype among the paths of a file
 
-LEAVES = "array<struct<path:string,type:string,value:string>>"
+STATISTICS = "array<struct<path:string,type:string,n:bigint,value:string>>"
 
 
 def _type_of(v) -> str | None:
@@ -46,14 +53,13 @@ def _type_of(v) -> str | None:
     return f"array<{inner.pop() if len(inner) == 1 else 'mixed'}>"
 
 
-def _leaves_of(node: dict, above: str = "") -> Iterator[tuple[str, str | None, str | None]]:
+def _leaves_of(node: dict, above: str = "") -> Iterator[tuple[str, object]]:
     for name, v in node.items():
         path = f"{above}.{name}" if above else name
         if isinstance(v, dict):
             yield from _leaves_of(v, path)
         else:
-            kind = _type_of(v)
-            yield path, kind, json.dumps(v, sort_keys=True, ensure_ascii=False) if kind else None
+            yield path, v
 
 
 def _dtype_name(text) -> str | None:
@@ -68,51 +74,58 @@ def _dtype_name(text) -> str | None:
         return text
 
 
-def read_leaves(payload: pd.Series) -> pd.Series:
-    """Leaves of each payload; null where it cannot be parsed or is no object."""
-    out = []
-    for text in payload:
-        try:
-            node = json.loads(text)
-            leaves = {p: (t, v) for p, t, v in _leaves_of(node)} if isinstance(node, dict) else None
-        except (ValueError, TypeError, RecursionError):
-            leaves = None
-        if leaves is None:
-            out.append(None)
-            continue
-        rows = [{"path": p, "type": t, "value": v} for p, (t, v) in leaves.items()]
-        dtype = _dtype_name(node.get("data_dtype"))
-        rows.append({"path": "\0data", "type": dtype, "value": None})
-        out.append(rows)
-    return pd.Series(out)
-
-
-def leaf_rows(records: DataFrame, key: str, series: list[Column], at: str, payload: str) -> DataFrame:
-    """(series, at, key, leaves) of every record that can be parsed, each key once.
-
-    A series is the tuple of its parts as one string array, in which null is
-    a value like others.
+def path_values(text: str | None) -> dict[str, tuple[str | None, str | None]] | None:
+    """path -> (raw type, value as JSON) of a payload; null types and values where it says nothing; None if it is no JSON object."""
+    try:
+        node = json.loads(text)
+    except (ValueError, TypeError, RecursionError):
+        return None
+    if not isinstance(node, dict):
+        return None
+    out = {}
+    for path, v in _leaves_of(node):
+        kind = _type_of(v)
+        out[path] = (kind, json.dumps(v, sort_keys=True, ensure_ascii=False) if kind else None)
+    out[DTYPE] = (_dtype_name(node.get("data_dtype")), None)
+    return out
+
+
+def records_once(records: DataFrame, key: str, series: list[Column], at: str, payload: str) -> DataFrame:
+    """(series, us, key, payload) of every record with a key and a payload; of records of one key only the first by series, time and content.
+
+    A series is the tuple of its parts as one string array, in which null is a
+    value like others; us is the time in microseconds.  Exact copies stay, if
+    no other record has their key.
     """
-    parse = F.pandas_udf(read_leaves, LEAVES)
-    one = records.where(F.col(key).isNotNull()).select(
-        F.col(key).alias("key"), F.array(*[F.coalesce(c.cast("string"), F.lit("\0null")) for c in series]).alias("series"), F.col(at).alias("at"), F.col(payload).alias("payload")
+    rows = records.where(F.col(key).isNotNull() & F.col(payload).isNotNull()).select(
+        F.array(*[F.coalesce(c.cast("string"), F.lit("\0null")) for c in series]).alias("series"), F.unix_micros(at).alias("us"), F.col(key).alias("key"), F.col(payload).alias("payload")
     )
-    parsed = one.dropDuplicates(["key"]).select("series", "at", "key", parse("payload").alias("leaves"))
-    return parsed.where("leaves IS NOT NULL")
+    # only hashes are shuffled to find keys whose records differ
+    what = F.struct("series", "us", F.xxhash64("payload").alias("h"))
+    clash = rows.groupBy("key").agg(F.min(what).alias("keep"), F.max(what).alias("top")).where("keep <> top OR (keep.us IS NULL) <> (top.us IS NULL)").select(F.col("key").alias("k_"), "keep")
+    clash = materialise(clash)
+    if clash.isEmpty():
+        return rows
+    met = rows.join(clash, F.col("key") == F.col("k_"), "left")
+    return met.where(F.col("keep").isNull() | what.eqNullSafe(F.col("keep"))).select("series", "us", "key", "payload")
+
+
+def file_statistics(records: DataFrame, key: str, series: list[Column], at: str, payload: str) -> DataFrame:
+    """(series, us, key, stats): the path-type statistics of every file that can be parsed, each key once."""
+
+    def read(texts: pd.Series) -> pd.Series:
+        out = []
+        for text in texts:
+            leaves = path_values(text)
+            out.append(None if leaves is None else [{"path": p, "type": t, "n": 1, "value": v} for p, (t, v) in leaves.items() if p != DTYPE])
+        return pd.Series(out)
 
+    once = records_once(records, key, series, at, payload).groupBy("key").agg(F.first(F.struct("series", "us", "payload")).alias("r"))
+    parsed = once.select("r.series", "r.us", "key", F.pandas_udf(read, STATISTICS)("r.payload").alias("stats"))
+    return parsed.where("stats IS NOT NULL")
 
-def _chunked(rows: DataFrame, per_chunk: int) -> DataFrame:
-    """Add the time chunk of each record in its series, and its 0-based number in the series."""
-    when = F.coalesce(F.unix_micros("at"), F.lit(-(2**62)))
-    timed = rows.withColumn("us", when)
-    extent = timed.groupBy("series").agg(F.count(F.lit(1)).alias("n"), F.min("us").alias("first"), F.max("us").alias("last")).withColumnRenamed("series", "s_")
-    chunk = F.floor((F.col("us") - F.col("first")) / (F.col("last") - F.col("first") + 1) * F.ceil(F.col("n") / per_chunk)).cast("int")
-    placed = timed.join(extent, F.col("series") == F.col("s_")).select("series", "us", "key", "leaves", "n", chunk.alias("chunk"))
-    counts = placed.groupBy(F.col("series").alias("s_"), F.col("chunk").alias("c_")).agg(F.count(F.lit(1)).alias("m"))
-    before = counts.select("s_", "c_", F.coalesce(F.sum("m").over(W.partitionBy("s_").orderBy("c_").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("from"))
-    own = F.row_number().over(W.partitionBy("series", "chunk").orderBy("us", "key")) - 1
-    numbered = placed.withColumn("own", own).join(before, (F.col("series") == F.col("s_")) & (F.col("chunk") == F.col("c_")))
-    return numbered.select("series", "chunk", (F.col("from") + F.col("own")).alias("no"), "n", "key", "leaves")
+
+# --- the report ------------------------------------------------------------------------------------------------------
 
 
 def _plain(name: str) -> str:
@@ -140,94 +153,202 @@ def _pair(gone: list[dict], new: list[dict]) -> list[tuple[dict, dict]]:
     return pairs
 
 
-def _name_changes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        out = []
-        for key, sides in zip(pdf["key"], pdf["sides"]):
-            sides = [r.asDict() if hasattr(r, "asDict") else r for r in sides]
-            gone, new = [r for r in sides if not r["came"]], [r for r in sides if r["came"]]
-            pairs = _pair(gone, new)
-            for a, b in pairs:
-                out.append((key, "renamed", a["path"], b["path"]))
-            left, right = {id(a) for a, _ in pairs}, {id(b) for _, b in pairs}
-            out += [(key, "removed", a["path"], "") for a in gone if id(a) not in left]
-            out += [(key, "added", "", b["path"]) for b in new if id(b) not in right]
-        yield pd.DataFrame(out, columns=["key", "change", "old_field", "new_field"])
-
-
-def field_changes(records: DataFrame, key: str, series: list[Column], at: str, payload: str, per_chunk: int = ROWS_PER_CHUNK) -> DataFrame:
+class Sweep:
+    """The files of one series in order: what each path's type and value were last, and which paths the file before had."""
+
+    def __init__(self, complete: bool):
+        self.complete = complete  # no file of the series lies before this range
+        self.before: set[str] | None = None
+        self.seen: dict[str, tuple[str, str | None]] = {}
+
+    def changes(self, now: dict) -> tuple[list[tuple[str, str, str]], dict]:
+        """(change, old, new) of the next file, and what is open: types and sides that depend on files before this range."""
+        found, later = [], {}
+        if self.before is None:
+            if not self.complete:
+                later["first"] = now
+        else:
+            found, later = self.compare(now)
+        self.take(now)
+        return found, later
+
+    def compare(self, now: dict) -> tuple[list[tuple[str, str, str]], dict]:
+        found, later = [], {}
+        for path in self.before & now.keys():
+            kind = now[path][0]
+            if kind is None:
+                continue
+            last = self.seen.get(path)
+            if last is None:
+                if not self.complete:
+                    later.setdefault("types", {})[path] = kind
+            elif last[0] != kind:
+                name = "data" if path == DTYPE else path
+                found.append(("retyped", name, name))
+        gone = sorted(self.before - now.keys())
+        new = [{"path": p, "type": now[p][0], "value": now[p][1]} for p in sorted(now.keys() - self.before)]
+        old = [dict(zip(("path", "type", "value"), (p, *self.seen.get(p, (None, None))))) for p in gone]
+        if new and not self.complete and any(p not in self.seen for p in gone):
+            later["sides"] = [old, new]
+        else:
+            found += sided(old, new)
+        return found, later
+
+    def take(self, now: dict) -> None:
+        self.before = set(now)
+        for path, (kind, value) in now.items():
+            if kind is not None:
+                self.seen[path] = (kind, value)
+
+
+def sided(old: list[dict], new: list[dict]) -> list[tuple[str, str, str]]:
+    """What went and what came, paired as renamed where it is the same."""
+    pairs = _pair(old, new) if old and new else []
+    left, right = {a["path"] for a, _ in pairs}, {b["path"] for _, b in pairs}
+    found = [("renamed", a["path"], b["path"]) for a, b in pairs]
+    found += [("removed", a["path"], "") for a in old if a["path"] not in left]
+    return found + [("added", "", b["path"]) for b in new if b["path"] not in right]
+
+
+def _sweep_ranges(schema: pa.Schema):
+    """Files of a range, in order, to changes and, for the second sweep, what is open and the state at the end."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        series, sweep, last, seq = None, None, None, 0
+        out: list[tuple] = []
+        part = None
+        for batch in batches:
+            for s, key, payload, part in zip(*(c.to_pylist() for c in batch.columns)):
+                if s != series:
+                    # only the first series of a range can have begun before it
+                    sweep, series, last = Sweep(complete=series is not None), s, None
+                if last is not None and key == last:
+                    continue  # delivered again
+                last = key
+                now = path_values(payload)
+                if now is None:
+                    continue
+                found, later = sweep.changes(now)
+                out += [(key, *x, None, None, None, None) for x in found]
+                if later:
+                    out.append((key, None, None, None, s, part, seq, json.dumps(later)))
+                    seq += 1
+            if len(out) > 10_000:
+                yield _batch(out, schema)
+                out = []
+        if sweep is not None and sweep.before is not None:
+            # the last series may go on
+            out.append((None, None, None, None, series, part, seq, json.dumps({"end": [sorted(sweep.before), sweep.seen]})))
+        if out:
+            yield _batch(out, schema)
+
+    return run
+
+
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+
+
+def _sweep_open(schema: pa.Schema):
+    """Open rows of a series, in order of range, to its other changes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        series, sweep = None, None
+        for batch in batches:
+            out: list[tuple] = []
+            for s, key, body in zip(*(c.to_pylist() for c in batch.columns)):
+                if s != series:
+                    sweep, series = Sweep(complete=True), s
+                row = json.loads(body)
+                if "end" in row:
+                    before, seen = row["end"]
+                    sweep.before = set(before)
+                    sweep.seen |= {p: tuple(x) for p, x in seen.items()}
+                elif "first" in row:
+                    if sweep.before is not None:
+                        out += [(key, *x) for x in sweep.compare({p: tuple(x) for p, x in row["first"].items()})[0]]
+                else:
+                    for path, kind in row.get("types", {}).items():
+                        if sweep.seen.get(path, (kind,))[0] != kind:
+                            name = "data" if path == DTYPE else path
+                            out.append((key, "retyped", name, name))
+                    if "sides" in row:
+                        old, new = row["sides"]
+                        for x in old:
+                            if x["type"] is None:
+                                x["type"], x["value"] = sweep.seen.get(x["path"], (None, None))
+                        out += [(key, *x) for x in sided(old, new)]
+            if out:
+                yield _batch(out, schema)
+
+    return run
+
+
+def field_changes(records: DataFrame, key: str, series: list[Column], at: str, payload: str, per_range: int = FILES_PER_RANGE) -> DataFrame:
     """(key, change, old_field, new_field): every difference of a record from the one before it in its series.
 
-    The order is by ``at``, then ``key``; a null time comes first.  Repeated
-    rows of a key count once, records with a null key or a payload that is
-    null, cut off or no JSON object do not count at all.  A null or empty array
-    says nothing about a field's type, which stays as last seen under that
-    path.  Extra columns are ignored; an empty table gives an empty result.
+    The order is by ``at``, then ``key``; null times come first.  Repeated
+    rows of a key count once (of clashing ones the first by series, time and
+    content); records with a null key or a payload that is null, cut off or no
+    JSON object do not count at all.  A null or empty array says nothing about
+    a field's type, which stays as last seen under that path.  Extra columns
+    are ignored; an empty table gives an empty result.
     """
-    # every later step reads the parsed leaves several times: they are written once, values as hashes
-    slim = F.transform("leaves", lambda x: F.struct(x["path"].alias("path"), x["type"].alias("type"), F.when(x["value"].isNotNull(), F.xxhash64(x["value"])).alias("value")))
-    rows = materialise(leaf_rows(records, key, series, at, payload).withColumn("leaves", slim))
-    numbered = materialise(_chunked(rows, per_chunk))
-    leaves = numbered.select("series", "chunk", "no", "n", "key", F.explode("leaves").alias("l")).select("series", "chunk", "no", "n", "key", "l.path", "l.type", "l.value")
-    # what was last seen under each path: within the chunk, else in an earlier one
-    seen = W.partitionBy("series", "path", "chunk").orderBy("no").rowsBetween(W.unboundedPreceding, 0)
-    last = {c: F.last(c, ignorenulls=True) for c in ("type", "value")}
-    in_chunk = leaves.select("*", last["type"].over(seen).alias("type1"), last["value"].over(seen).alias("value1"))
-    ends = leaves.groupBy("series", "path", "chunk").agg(F.max_by("type", F.when(F.col("type").isNotNull(), F.col("no"))).alias("type"), F.max_by("value", F.when(F.col("value").isNotNull(), F.col("no"))).alias("value"))
-    earlier = W.partitionBy("series", "path").orderBy("chunk").rowsBetween(W.unboundedPreceding, -1)
-    carry = ends.select(F.col("series").alias("s_"), F.col("path").alias("p_"), F.col("chunk").alias("c_"), last["type"].over(earlier).alias("type0"), last["value"].over(earlier).alias("value0"))
-    known = in_chunk.join(carry, (F.col("series") == F.col("s_")) & (F.col("path") == F.col("p_")) & (F.col("chunk") == F.col("c_"))).select(
-        "series", "no", "n", "key", "path", "type", "value", F.coalesce("type1", "type0").alias("kind"), F.coalesce("value1", "value0").alias("held")
-    )
-    known = materialise(known)
-    now = known.select("series", "no", "path", "key", "type", "value", "kind", F.lit(True).alias("is_now"))
-    then = known.where("no + 1 < n").select("series", (F.col("no") + 1).alias("no"), "path", F.col("kind").alias("kind0"), F.col("held").alias("held0"), F.lit(True).alias("was"))
-    both = now.join(then, ["series", "no", "path"], "full")
-    changed = both.where("no > 0").withColumns({c: F.coalesce(c, F.lit(False)) for c in ("is_now", "was")})
-    data = F.col("path") == "\0data"
-    retyped = changed.where("is_now AND was AND type IS NOT NULL AND kind0 IS NOT NULL AND type <> kind0").select(
-        "key", F.lit("retyped").alias("change"), F.when(data, "data").otherwise(F.col("path")).alias("old_field"), F.when(data, "data").otherwise(F.col("path")).alias("new_field")
-    )
-    return _finish(changed, retyped, known)
+    once = records_once(records, key, series, at, payload)
+    spark = records.sparkSession
+    ranges = max(spark.sparkContext.defaultParallelism, -(-once.count() // per_range))
+    placed = once.repartitionByRange(ranges, "series", "us", "key").sortWithinPartitions("series", "us", "key")
+    key_type = dict(once.dtypes)["key"]
+    report = f"key {key_type}, change string, old_field string, new_field string"
+    opened = "series array<string>, part int, seq long, body string"
+    arrow = _arrow_schema(spark, f"{report}, {opened}")
+    swept = materialise(placed.select("series", "key", "payload", F.spark_partition_id().alias("part")).mapInArrow(_sweep_ranges(arrow), f"{report}, {opened}"))
+    rows = swept.where("change IS NULL").repartition("series").sortWithinPartitions("series", "part", "seq").select("series", "key", "body")
+    settled = rows.mapInArrow(_sweep_open(_arrow_schema(spark, report)), report)
+    return swept.where("change IS NOT NULL").select("key", "change", "old_field", "new_field").unionByName(settled)
 
 
-def _finish(changed: DataFrame, retyped: DataFrame, known: DataFrame) -> DataFrame:
-    sided = changed.where(F.col("is_now") != F.col("was")).where(F.col("path") != "\0data")
-    side = F.struct(
-        F.col("is_now").alias("came"), "path", F.when(F.col("is_now"), F.col("type")).otherwise(F.col("kind0")).alias("type"), F.when(F.col("is_now"), F.col("value")).otherwise(F.col("held0")).alias("value")
-    )
-    # removed leaves carry no key of their own: it is the record's
-    grouped = sided.groupBy("series", "no").agg(F.collect_list(side).alias("sides"))
-    record = known.where("path = '\0data'").select(F.col("series").alias("s_"), F.col("no").alias("n_"), "key")
-    named = grouped.join(record, (F.col("series") == F.col("s_")) & (F.col("no") == F.col("n_"))).select("key", "sides")
-    key_type = dict(known.dtypes)["key"]
-    named = named.mapInPandas(_name_changes, f"key {key_type}, change string, old_field string, new_field string")
-    return named.unionByName(retyped)
+def _arrow_schema(spark, ddl: str) -> pa.Schema:
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    return to_arrow_schema(StructType.fromDDL(ddl))
 
 
 # --- one table -------------------------------------------------------------------------------------------------
 
 
-def path_types(rows: DataFrame) -> DataFrame:
-    """Raw types of each path over all records: (path, type, n, first_key, last_key)."""
-    leaves = rows.select("key", F.explode("leaves").alias("l")).where("l.path <> '\0data'")
-    return leaves.groupBy(F.col("l.path").alias("path"), F.coalesce("l.type", F.lit("null")).alias("type")).agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("first_key"), F.max("key").alias("last_key"))
+def path_types(files: DataFrame) -> DataFrame:
+    """Raw types of each path over all files' statistics: (path, type, n, first_key, last_key)."""
+    leaves = files.select("key", F.explode("stats").alias("l"))
+    return leaves.groupBy(F.col("l.path").alias("path"), F.coalesce("l.type", F.lit("null")).alias("type")).agg(F.sum("l.n").alias("n"), F.min("key").alias("first_key"), F.max("key").alias("last_key"))
+
+
+def one_field(changes: DataFrame, files: DataFrame) -> DataFrame:
+    """(old_field, new_field, n) of renames that never are two fields: no file holds both paths."""
+    links = changes.where("change = 'renamed'").groupBy("old_field", "new_field").agg(F.count(F.lit(1)).alias("n"))
+    links = materialise(links)
+    ends = links.select("old_field", "new_field", F.explode(F.array("old_field", "new_field")).alias("path"))
+    held = files.select("key", F.explode("stats.path").alias("path")).join(ends, "path")
+    both = held.groupBy("key", "old_field", "new_field").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("old_field", "new_field").distinct()
+    return links.join(both, ["old_field", "new_field"], "left_anti")
 
 
 SPARK_TYPES = {"string": "string", "boolean": "boolean", "integer": "bigint", "double": "double", "array<string>": "array<string>", "array<boolean>": "array<boolean>", "array<integer>": "array<bigint>", "array<double>": "array<double>"}
+MOST_PATHS = 20_000
 
 
-def canonical_fields(changes: DataFrame, types: DataFrame, most: int = 20_000) -> dict[str, tuple[str, str]]:
-    """path -> (consistent field, type): renamed paths share a field, types the most frequent one.
+def canonical_fields(links: DataFrame, types: DataFrame, most: int = MOST_PATHS) -> dict[str, tuple[str, str]]:
+    """path -> (consistent field, type): paths that ``links`` (old_field, new_field) join share a field, types the most frequent one.
 
     The schema, unlike the records, is held on the driver: at most ``most``
     distinct (path, type) pairs and renames, beyond which an error is raised.
-    Of the paths joined by renames the most frequent gives the field's name.
-    An integer field that also holds doubles is double.
+    Of joined paths the most frequent gives the field's name.  An integer field
+    that also holds doubles is double.
     """
     stats = types.limit(most + 1).collect()
-    links = changes.where("change = 'renamed'").groupBy("old_field", "new_field").count().limit(most + 1).collect()
-    if max(len(stats), len(links)) > most:
+    pairs = links.select("old_field", "new_field").limit(most + 1).collect()
+    if max(len(stats), len(pairs)) > most:
         raise ValueError(f"more than {most} distinct paths: these records have no common schema")
     parent: dict[str, str] = {}
 
@@ -236,7 +357,7 @@ def canonical_fields(changes: DataFrame, types: DataFrame, most: int = 20_000) -
             parent[x] = x = parent.setdefault(parent[x], parent[x])
         return x
 
-    for a, b, _ in links:
+    for a, b in pairs:
         parent[root(a)] = root(b)
     seen: dict[str, dict[str, int]] = {}
     uses: dict[str, int] = {}
@@ -263,16 +384,18 @@ def _cast_items(items: Column, inner: str) -> Column:
     return F.transform(items, lambda x: x.try_cast(inner))
 
 
-def typed_table(rows: DataFrame, fields: dict[str, tuple[str, str]]) -> tuple[DataFrame, DataFrame]:
-    """The consistent table, one row per record, and (key, path, field, type, wanted, value) of every failed cast.
+def typed_table(files: DataFrame, fields: dict[str, tuple[str, str]]) -> tuple[DataFrame, DataFrame]:
+    """The consistent table, one row per record, and (key, path, field, type, wanted, value, reason) of every value that is not in it.
 
     A column is null where the record has no value for it, or none that can be
     cast; single values and arrays of one element are cast into one another.
-    If two paths of a record share a field, the first by name wins.
+    If two paths of a record share a field, the first by name wins.  reason is
+    ``cast`` for a value that failed to be cast, ``shared`` for one that lost its
+    field to another path.
     """
-    spark = rows.sparkSession
+    spark = files.sparkSession
     schema = spark.createDataFrame([(p, f, t) for p, (f, t) in sorted(fields.items())], "path string, field string, wanted string")
-    leaves = rows.select("key", F.explode("leaves").alias("l")).where("l.value IS NOT NULL").select("key", "l.path", "l.type", "l.value")
+    leaves = files.select("key", F.explode("stats").alias("l")).where("l.value IS NOT NULL").select("key", "l.path", "l.type", "l.value")
     placed = leaves.join(schema, "path")
     text = F.when(F.col("type") == "string", F.from_json(F.concat(F.lit('{"v":'), F.col("value"), F.lit("}")), "v string")["v"]).otherwise(F.col("value"))
     placed = placed.withColumn("text", F.when(F.col("type").startswith("array") & ~F.col("wanted").startswith("array"), F.regexp_replace(F.col("value"), r'^\[\s*"?|"?\s*\]$', "")).otherwise(text))
@@ -288,7 +411,7 @@ def typed_table(rows: DataFrame, fields: dict[str, tuple[str, str]]) -> tuple[Da
             ok = cast.isNotNull()
         good = good | ((F.col("wanted") == wanted) & ok)
         columns.append((wanted, F.when(F.col("wanted") == wanted, cast)))
-    checked = placed.withColumn("good", F.coalesce(good, F.lit(False)))
+    checked = materialise(placed.withColumn("good", F.coalesce(good, F.lit(False))))
     named: dict[str, str] = {}  # column names differ in more than case
     for f, _ in sorted(set(fields.values())):
         name, i = f.replace(".", "__"), 1
@@ -299,5 +422,9 @@ def typed_table(rows: DataFrame, fields: dict[str, tuple[str, str]]) -> tuple[Da
     wide = checked.groupBy("key").agg(
         *[F.min_by(dict(columns)[t], F.when((F.col("field") == f) & F.col("good"), F.col("path"))).alias(names[f]) for f, t in sorted(set(fields.values()))]
     )
-    failed = checked.where(~F.col("good")).select("key", "path", "field", "type", "wanted", "value")
-    return wide, failed
+    wide = files.select("key").join(wide, "key", "left")  # a record without any value is a row, too
+    columns_out = ["key", "path", "field", "type", "wanted", "value"]
+    failed = checked.where(~F.col("good")).select(*columns_out, F.lit("cast").alias("reason"))
+    doubled = checked.where("good").groupBy("key", "field").agg(F.min("path").alias("first"), F.count(F.lit(1)).alias("m")).where("m > 1").select(F.col("key").alias("k_"), F.col("field").alias("f_"), "first")
+    lost = checked.where("good").join(doubled, (F.col("key") == F.col("k_")) & (F.col("field") == F.col("f_"))).where(F.col("path") != F.col("first"))
+    return wide, failed.unionByName(lost.select(*columns_out, F.lit("shared").alias("reason")))

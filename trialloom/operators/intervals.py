@@ -2,9 +2,10 @@
 
 Every interval becomes a plus event at its begin and a minus event at its end.
 Events of one position are added up before the shuffle; the running sum of
-the rest is the number of open intervals.  An entity with many events is cut
-into position buckets, whose totals give each bucket the number of intervals
-open at its left border, so no entity has to fit in one task.
+the rest is the number of open intervals.  The events are cut by rank into
+buckets of about equally many, whatever their positions; the totals of an
+entity's buckets give each the number of intervals open at its left border, so
+no entity has to fit in one task.
 """
 
 from __future__ import annotations
@@ -13,6 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from trialloom.plans.tables import materialise
+
 EVENTS_PER_BUCKET = 50_000
 
 
@@ -34,16 +37,16 @@ def cover_and_gaps(intervals: DataFrame, keys: list[str], lo: str, hi: str, per_
         .agg(F.sum("e.d").alias("d"))
         .where("d <> 0")
     )
-    extent = events.groupBy(*k).agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("first"), F.max("pos").alias("last"))
-    bucket = F.floor((F.col("pos") - F.col("first")) / (F.col("last") - F.col("first") + 1) * F.ceil(F.col("n") / per_bucket)).cast("int")
-    placed = _join(events, extent, k).select(*k, "pos", "d", bucket.alias("b"))
+    events = materialise(events)
+    # a bucket is a range of (entity, position), its borders quantiles of a sample
+    placed = materialise(events.repartitionByRange(max(1, -(-events.count() // per_bucket)), *k, "pos").select(*k, "pos", "d", F.spark_partition_id().alias("b")))
 
     totals = placed.groupBy(*k, "b").agg(F.sum("d").alias("t"))
     left_of = W.partitionBy(*k).orderBy("b").rowsBetween(W.unboundedPreceding, -1)
     carry = totals.select(*k, "b", F.coalesce(F.sum("t").over(left_of), F.lit(0)).alias("open"))
     within = W.partitionBy(*k, "b").orderBy("pos")
     counted = _join(placed, carry, [*k, "b"]).select(*k, "b", "pos", "d", (F.col("open") + F.sum("d").over(within)).alias("after"))
-    borders = counted.where("after = 0 OR after = d").select(*k, "b", "pos", (F.col("after") > 0).alias("opens"))
+    borders = materialise(counted.where("after = 0 OR after = d").select(*k, "b", "pos", (F.col("after") > 0).alias("opens")))
 
     heads = borders.groupBy(*k, "b").agg(F.min("pos").alias("head"))
     following = heads.select(*k, "b", F.lead("head").over(W.partitionBy(*k).orderBy("b")).alias("beyond"))

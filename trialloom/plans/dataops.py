@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trialloom.operators.drift import canonical_fields, field_changes, leaf_rows, path_types, typed_table
+from trialloom.operators.drift import canonical_fields, field_changes, file_statistics, one_field, path_types, typed_table
 from trialloom.operators.intervals import cover_and_gaps
 from trialloom.operators.spikes import suspect_readings
-from trialloom.plans.tables import table
+from trialloom.plans.tables import materialise, table
 
 
 def p1_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -42,8 +42,9 @@ def p5_found(spark: SparkSession, sf: str) -> DataFrame:
 
 def _p5_typed(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     info, series = table(spark, sf, "raw_info"), [F.col("rig"), _extension()]
-    rows = leaf_rows(info, "file_id", series, "written_at", "payload")
-    return typed_table(rows, canonical_fields(field_changes(info, "file_id", series, "written_at", "payload"), path_types(rows)))
+    files = materialise(file_statistics(info, "file_id", series, "written_at", "payload"))
+    links = one_field(field_changes(info, "file_id", series, "written_at", "payload"), files)
+    return typed_table(files, canonical_fields(links, path_types(files)))
 
 
 def p5_table(spark: SparkSession, sf: str) -> DataFrame:
