@@ -15,8 +15,9 @@ blocks, so a block with few readings cannot raise it.  A stretch that leaves
 what its block sees is put together from the first and last stretches of the
 blocks it passes through, and counts and is judged by its whole length.
 
-Only packed blocks and sketches are shuffled.  A source is split into blocks
-of ``BLOCK`` samples, so a source with a third of all rows is many tasks.
+Only packed blocks, sketches and candidates are shuffled.  A source is split
+into blocks of ``BLOCK`` samples, so a source with a third of all rows is many
+tasks; its sketches are added up by hour first, then over its hours.
 """
 
 from __future__ import annotations
@@ -30,6 +31,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from trialloom.plans.tables import materialise
+
 try:
     import zstandard
 except ImportError:  # the packing then costs more shuffle
@@ -42,6 +45,7 @@ HALF = 15  # half width of the running median, readings
 GAMMA = 1.08  # ratio of neighbouring sketch buckets: 4 % error of a quantile
 WIDTH = 3  # readings of a spike whose steps count for all of them
 DISTINCT = 8  # values a block needs for its smallest step to count, if another block has as many
+BROADCAST_BLOCKS = 400_000  # a row of 60 bytes for each of so many blocks is broadcast; of more, they are merged
 UNIT = 1e-6  # lower border of the sketch's first bucket
 
 RESIDUAL, CHANGE, RUN, STRETCH = 0, 1, 2, 3  # sketches
@@ -336,6 +340,139 @@ def _measure_blocks(g, rec, ch, block, lo, hi, start, fs, smp, val, rule, source
     return cols
 
 
+# --- sketches: what a source's fences in an hour are read from -------------------------------------------------------
+
+COUNT = np.dtype([("kind", "u1"), ("bucket", "<i8"), ("cnt", "<i8")])
+
+
+def pack_sketch(kind, bucket, cnt, floor: float) -> bytes:
+    """Counts by sketch and bucket, and the least interquartile range."""
+    rows = np.empty(len(kind), COUNT)
+    rows["kind"], rows["bucket"], rows["cnt"] = kind, bucket, cnt
+    return _squeeze(np.float64(floor).tobytes() + np.ascontiguousarray(rows.view(np.uint8).reshape(-1, COUNT.itemsize).T).tobytes())
+
+
+def unpack_sketch(blob: bytes) -> tuple[np.ndarray, float]:
+    raw = _expand(blob)
+    planes = np.frombuffer(raw, np.uint8, offset=8).reshape(COUNT.itemsize, -1)
+    return np.ascontiguousarray(planes.T).view(COUNT).ravel(), float(np.frombuffer(raw, "<f8", 1)[0])
+
+
+def add_up(rows: np.ndarray) -> np.ndarray:
+    """One row for each sketch and bucket, in order."""
+    rows = rows[np.lexsort((rows["bucket"], rows["kind"]))]
+    new = np.ones(len(rows), bool)
+    new[1:] = (rows["kind"][1:] != rows["kind"][:-1]) | (rows["bucket"][1:] != rows["bucket"][:-1])
+    at = np.flatnonzero(new)
+    out = rows[at]
+    out["cnt"] = np.add.reduceat(rows["cnt"], at) if len(at) else out["cnt"]
+    return out
+
+
+def _middle(bucket: int) -> float:
+    """The value in the middle of a bucket."""
+    return float(np.sign(bucket) * UNIT * GAMMA ** (abs(bucket) - 0.5)) if bucket else 0.0
+
+
+def fences_of(rows: np.ndarray, floor: float, usual: float) -> dict:
+    """n, quartiles of distances and changes, interquartile range and usual lengths of stretches of added-up counts."""
+
+    def quantiles(kind, *shares):
+        part = rows[np.searchsorted(rows["kind"], kind) : np.searchsorted(rows["kind"], kind, "right")]
+        upto = np.cumsum(part["cnt"])
+        if not len(upto) or not upto[-1]:
+            return [None] * len(shares), 0
+        return [int(part["bucket"][np.searchsorted(upto, x * upto[-1])]) for x in shares], int(upto[-1])
+
+    (q1, q3), n = quantiles(RESIDUAL, 0.25, 0.75)
+    (c1, c3), _ = quantiles(CHANGE, 0.25, 0.75)
+    (run,), _ = quantiles(RUN, usual)
+    (stretch,), _ = quantiles(STRETCH, usual)
+    q1, q3, c1, c3 = (None if x is None else _middle(x) for x in (q1, q3, c1, c3))
+    return dict(n=n, q1=q1, q3=q3, iqr=None if q1 is None else max(q3 - q1, floor), c1=c1, c3=c3, run=run, stretch=stretch)
+
+
+def _merge_hours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sketches and single counts, ordered by source and hour, to one sketch for each."""
+    at, held, floor, out = None, [], 0.0, []
+
+    def close() -> None:
+        rows = add_up(np.concatenate(held))
+        out.append((*at, pack_sketch(rows["kind"], rows["bucket"], rows["cnt"], floor)))
+
+    def emit() -> pa.RecordBatch:
+        rec, ch, hour, blob = zip(*out)
+        out.clear()
+        return pa.RecordBatch.from_arrays([pa.array(rec, pa.int32()), pa.array(ch, pa.int32()), pa.array(hour, pa.int64()), pa.array(blob, pa.binary())], ["recording_id", "channel_id", "hour", "sketch"])
+
+    for batch in batches:
+        for rec, ch, hour, blob, kind, bucket, cnt in zip(*(c.to_pylist() for c in batch.columns)):
+            if (rec, ch, hour) != at:
+                if at is not None:
+                    close()
+                at, held, floor = (rec, ch, hour), [], 0.0
+            if blob is None:
+                held.append(np.array([(kind, bucket, cnt)], COUNT))
+            else:
+                rows, least = unpack_sketch(blob)
+                held.append(rows)
+                floor = max(floor, least)
+            if len(held) > 500:
+                held = [add_up(np.concatenate(held))]
+        if len(out) > 5_000:
+            yield emit()
+    if at is not None:
+        close()
+    if out:
+        yield emit()
+
+
+FENCES = "recording_id int, channel_id int, hour long, n long, q1 double, q3 double, iqr double, c1 double, c3 double, run long, stretch long"
+FENCE_NAMES = [x.split()[0] for x in FENCES.split(", ")]
+
+
+def _fences(rule: SpikeRule):
+    """Sketches of hours, ordered by source, to the fences of each hour; those of few readings are the source's."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, total, floor, hours, out = None, [], 0.0, [], []
+
+        def close() -> None:
+            whole = fences_of(add_up(np.concatenate(total)), floor, rule.usual)
+            for hour, own in hours:
+                use = own if own["n"] >= rule.least_hour else whole
+                # the floor is the source's, in every hour
+                iqr = None if use["iqr"] is None else max(use["iqr"], floor)
+                out.append((*at, hour, whole["n"], use["q1"], use["q3"], iqr, use["c1"], use["c3"], whole["run"], whole["stretch"]))
+
+        def emit() -> pa.RecordBatch:
+            types = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), *[pa.float64()] * 5, pa.int64(), pa.int64()]
+            cols = [pa.array(c, t) for c, t in zip(zip(*out), types)]
+            out.clear()
+            return pa.RecordBatch.from_arrays(cols, FENCE_NAMES)
+
+        for batch in batches:
+            for rec, ch, hour, blob in zip(*(c.to_pylist() for c in batch.columns)):
+                if (rec, ch) != at:
+                    if at is not None:
+                        close()
+                    at, total, floor, hours = (rec, ch), [], 0.0, []
+                rows, least = unpack_sketch(blob)
+                hours.append((hour, fences_of(rows, least, rule.usual)))
+                total.append(rows)
+                floor = max(floor, least)
+                if len(total) > 500:
+                    total = [add_up(np.concatenate(total))]
+            if len(out) > 20_000:
+                yield emit()
+        if at is not None:
+            close()
+        if out:
+            yield emit()
+
+    return run
+
+
 def _measure(rule: SpikeRule):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         meta: list[tuple] = []
@@ -348,10 +485,22 @@ def _measure(rule: SpikeRule):
             rec, ch, block, lo, hi, start, fs, *source = (np.array(x) for x in zip(*meta))
             cols = _measure_blocks(np.concatenate(of), rec, ch, block, lo, hi, start, fs, np.concatenate(smp), np.concatenate(val), rule, source)
             gi, hour, kind, bucket, cnt, measure = (np.concatenate(c) if c else np.zeros(0) for c in cols)
-            gi = gi.astype(np.int64)
+            gi, hour, kind, bucket, cnt, measure = gi.astype(np.int64), hour.astype(np.int64), kind.astype(np.int32), bucket.astype(np.int64), cnt.astype(np.int64), measure.astype(float)
+            counted = kind <= STRETCH
+            o = np.flatnonzero(counted)
+            o = o[np.lexsort((hour[o], gi[o]))]
+            cuts = np.flatnonzero(np.diff(gi[o], prepend=-1) | np.diff(hour[o], prepend=-1))
+            blobs = [pack_sketch(kind[x], bucket[x], cnt[x], measure[x].max()) for x in np.split(o, cuts[1:])] if len(o) else []
+            single, first = ~counted, o[cuts] if len(o) else o
+            n = int(single.sum())
+
+            def both(column, sketches, kind_of):
+                return pa.array(np.concatenate([column[single], sketches]), kind_of)
+
+            none = np.zeros(len(first), np.int64)
             return pa.RecordBatch.from_arrays(
-                [pa.array(rec[gi], pa.int32()), pa.array(ch[gi], pa.int32()), pa.array(hour.astype(np.int64)), pa.array(kind.astype(np.int32), pa.int32()), pa.array(bucket.astype(np.int64)), pa.array(cnt.astype(np.int64)), pa.array(measure.astype(np.float64))],
-                ["recording_id", "channel_id", "hour", "kind", "bucket", "cnt", "measure"],
+                [both(rec[gi], rec[gi[first]], pa.int32()), both(ch[gi], ch[gi[first]], pa.int32()), both(hour, hour[first], pa.int64()), both(kind, none + RESIDUAL, pa.int32()), both(bucket, none, pa.int64()), both(cnt, none, pa.int64()), both(measure, none, pa.float64()), pa.array([None] * n + blobs, pa.binary())],
+                ["recording_id", "channel_id", "hour", "kind", "bucket", "cnt", "measure", "sketch"],
             )
 
         for batch in batches:
@@ -403,16 +552,19 @@ def suspect_readings(analog: DataFrame, recording: DataFrame, label: DataFrame,
         .persist()
     )
     # one step and one anchor of levels for all blocks of a source; only these small rows are shuffled by source
+    key = ["recording_id", "channel_id", "block"]
     of = W.partitionBy("recording_id", "channel_id")
     filled = F.when(F.col("anchor").isNotNull(), F.col("block"))
-    shared = blocks.select(
-        "recording_id", "channel_id", "block", F.coalesce(F.min("fine").over(of), F.min("step").over(of), F.lit(0.0)).alias("s_step"),
+    shared = materialise(blocks.select(
+        *key, F.coalesce(F.min("fine").over(of), F.min("step").over(of), F.lit(0.0)).alias("s_step"),
         F.coalesce(F.min(F.when(F.col("anchor").isNotNull(), F.struct("block", "anchor"))).over(of)["anchor"], F.lit(0.0)).alias("s_anchor"),
         F.coalesce(F.min(filled).over(of) < F.col("block"), F.lit(False)).alias("below"), F.coalesce(F.max(filled).over(of) > F.col("block"), F.lit(False)).alias("above"),
-    )
-    met = blocks.join(shared.hint("merge"), ["recording_id", "channel_id", "block"])
-    whole = met.select("recording_id", "channel_id", "block", "blobs", "lo", "hi", "start", "fs", "s_step", "s_anchor", "below", "above")
-    measured = whole.mapInArrow(_measure(rule), "recording_id int, channel_id int, hour long, kind int, bucket long, cnt long, measure double").persist()
+    ))
+    small = shared.count() <= BROADCAST_BLOCKS
+    met = blocks.join(F.broadcast(shared) if small else shared.hint("merge"), key)
+    whole = met.select(*key, "blobs", "lo", "hi", "start", "fs", "s_step", "s_anchor", "below", "above")
+    measured = materialise(whole.mapInArrow(_measure(rule), "recording_id int, channel_id int, hour long, kind int, bucket long, cnt long, measure double, sketch binary"))
+    blocks.unpersist()
 
     # stretches over blocks: pieces of one level follow one another, but for a block's first and last stretch
     source = ["recording_id", "channel_id"]
@@ -428,47 +580,29 @@ def suspect_readings(analog: DataFrame, recording: DataFrame, label: DataFrame,
     passing = reading.join(piece.select(*source, "key", "place", "length"), [*source, "key", "place"]).where(F.col("length") > rule.stuck)
     passing = passing.select(*source, "hour", F.when(F.col("key") == 0, STUCK).otherwise(STUCK_STEP).alias("kind"), "bucket", F.col("length").alias("cnt"), F.lit(0.0).alias("measure"))
 
-    # merge the sketches: of each hour, and of all hours of a source
-    merged = measured.where(F.col("kind") <= STRETCH).select(*columns).unionByName(begun).groupBy(*source, "hour", "kind", "bucket").agg(F.sum("cnt").alias("cnt"), F.max("measure").alias("measure"))
-    both = merged.withColumn("context", F.explode(F.array("hour", F.lit(None).cast("long"))))
-    sketch = both.groupBy(*source, "context", "kind", "bucket").agg(F.sum("cnt").alias("cnt"), F.max("measure").alias("measure"))
-    of = W.partitionBy(*source, "context", "kind")
-    ranked = sketch.select("*", F.sum("cnt").over(of.orderBy("bucket")).alias("upto"), F.sum("cnt").over(of).alias("n"))
+    # merge the sketches: of each hour, then of all hours of a source
+    sketches = measured.where("sketch IS NOT NULL").select(*source, "hour", "sketch", F.lit(None).cast("int").alias("kind"), F.lit(None).cast("long").alias("bucket"), F.lit(None).cast("long").alias("cnt"))
+    counts = begun.groupBy(*source, "hour", "kind", "bucket").agg(F.sum("cnt").alias("cnt")).select(*source, "hour", F.lit(None).cast("binary").alias("sketch"), "kind", "bucket", "cnt")
+    by_hour = sketches.unionByName(counts).repartition(*source, "hour").sortWithinPartitions(*source, "hour")
+    hours = by_hour.mapInArrow(_merge_hours, "recording_id int, channel_id int, hour long, sketch binary")
+    fences = hours.repartition(*source).sortWithinPartitions(*source, "hour").mapInArrow(_fences(rule), FENCES)
+    fences = fences.select(*[F.col(c).alias(f"f_{c}") for c in FENCE_NAMES])
 
-    def at_least(kind: int, share: float):
-        return F.min(F.when((F.col("kind") == kind) & (F.col("upto") >= share * F.col("n")), F.col("bucket")))
+    found = measured.where(F.col("kind").between(SPIKE, IMPOSSIBLE)).select(*columns).unionByName(passing)
+    joined = found.join(fences, (F.col("recording_id") == F.col("f_recording_id")) & (F.col("channel_id") == F.col("f_channel_id")) & (F.col("hour") == F.col("f_hour")), "left")
 
     def middle(b):  # the value in the middle of a bucket
         return F.when(b == 0, F.lit(0.0)).otherwise(F.signum(b) * UNIT * F.pow(F.lit(GAMMA), F.abs(b) - 0.5))
 
-    fences = ranked.groupBy(*source, "context").agg(
-        F.max(F.when(F.col("kind") == RESIDUAL, F.col("n"))).alias("n"), F.max("measure").alias("least_range"),
-        middle(at_least(RESIDUAL, 0.25)).alias("q1"), middle(at_least(RESIDUAL, 0.75)).alias("q3"),
-        middle(at_least(CHANGE, 0.25)).alias("c1"), middle(at_least(CHANGE, 0.75)).alias("c3"),
-        at_least(RUN, rule.usual).alias("run"), at_least(STRETCH, rule.usual).alias("stretch"),
-    )
-    fences = fences.withColumn("iqr", F.greatest(F.col("q3") - F.col("q1"), F.col("least_range")))
-    ours = fences.where(F.col("context").isNotNull() & (F.col("n") >= rule.least_hour)).select(
-        F.col("recording_id").alias("r1"), F.col("channel_id").alias("c_1"), "context", *[F.col(c).alias(f"h_{c}") for c in ("q1", "q3", "iqr", "c1", "c3")]
-    )
-    alls = fences.where(F.col("context").isNull()).select(
-        F.col("recording_id").alias("r2"), F.col("channel_id").alias("c_2"), F.col("n").alias("a_n"), *[F.col(c).alias(f"a_{c}") for c in ("q1", "q3", "iqr", "c1", "c3", "least_range", "run", "stretch")]
-    )
-    found = measured.where(F.col("kind").between(SPIKE, IMPOSSIBLE)).select(*columns).unionByName(passing)
-    joined = found.join(alls, (found.recording_id == alls.r2) & (found.channel_id == alls.c_2), "left").join(
-        ours, (found.recording_id == ours.r1) & (found.channel_id == ours.c_1) & (found.hour == ours.context), "left"
-    )
-    f = {c: F.coalesce(f"h_{c}", f"a_{c}") for c in ("q1", "q3", "iqr", "c1", "c3")}
-    # the floor is the source's, in every hour
-    f["iqr"] = F.greatest(f["iqr"], F.col("a_least_range"))
+    f = {c: F.col(f"f_{c}") for c in ("q1", "q3", "iqr", "c1", "c3")}
     beyond = F.greatest(F.col("measure") - f["q3"], f["q1"] - F.col("measure"))
     jump = middle(F.col("cnt")) > f["c3"] + rule.rate * F.greatest(f["c3"] - f["c1"], f["iqr"])
-    known = F.col("a_n") >= rule.least
+    known = F.col("f_n") >= rule.least
     reason = (
         F.when(F.col("kind") == IMPOSSIBLE, F.lit("impossible"))
         .when((F.col("kind") == SPIKE) & known & ((beyond > rule.far * f["iqr"]) | ((beyond > rule.some * f["iqr"]) & jump)), F.lit("spike"))
-        .when((F.col("kind") == STUCK) & known & (F.col("cnt") > rule.longer * F.col("a_run")), F.lit("stuck"))
-        .when((F.col("kind") == STUCK_STEP) & known & (F.col("cnt") > rule.longer * F.col("a_stretch")), F.lit("stuck"))
+        .when((F.col("kind") == STUCK) & known & (F.col("cnt") > rule.longer * F.col("f_run")), F.lit("stuck"))
+        .when((F.col("kind") == STUCK_STEP) & known & (F.col("cnt") > rule.longer * F.col("f_stretch")), F.lit("stuck"))
     )
     return (
         joined.select("recording_id", "channel_id", F.col("bucket").alias("sample"), reason.alias("reason"))
