@@ -80,8 +80,8 @@ def test_multi_select_is_exact(spark, monkeypatch):
         groups = {}
         for (r, c, _), v in seen.items():
             groups.setdefault(of(r, c), []).append(v)
-        for few in (50_000, 0):  # broadcast and joined
-            monkeypatch.setattr(percentiles, "BROADCAST_KEYS", few)
+        for few in (1 << 20, 0):  # broadcast and joined
+            monkeypatch.setattr(percentiles, "BROADCAST_BYTES", few)
             got = percentiles.multi_select(blocks, keys, [0.0, 0.5, 0.9, 1.0]).toPandas()
             assert len(got) == 4 * len(groups)
             by_n = sorted((g.n.iloc[0], tuple(g.sort_values("q").value)) for _, g in got.groupby(keys, dropna=False))
@@ -91,16 +91,81 @@ def test_multi_select_is_exact(spark, monkeypatch):
     assert percentiles.multi_select(percentiles.value_blocks(df.limit(0), rec), ["channel_id"], [0.5]).count() == 0
 
 
+def test_scopes_in_the_same_rounds(spark):
+    df, rec, _ = analog(spark, 1200)
+    blocks = percentiles.value_blocks(df, rec).persist()
+    both = percentiles.multi_select_scopes(blocks, [["channel_id"], ["day", "channel_id"]], [0.25, 0.5])
+    for scope, keys in enumerate((["channel_id"], ["day", "channel_id"])):
+        a = both.where(F.col("scope") == scope).select(*keys, "n", "q", "value").toPandas().sort_values([*keys, "q"]).reset_index(drop=True)
+        b = percentiles.multi_select(blocks, keys, [0.25, 0.5]).toPandas().sort_values([*keys, "q"]).reset_index(drop=True)
+        pd.testing.assert_frame_equal(a, b)
+    blocks.unpersist()
+
+
+def test_copies_in_any_order(spark):
+    _, rec, _ = analog(spark, 40)
+    rows = [(0, 1, 0, float("nan")), (0, 1, 0, 3.0), (0, 2, 0, 1.0), (0, 2, 0, 2.0), (0, 3, 0, None), (0, 10**11, 0, 9.0)]
+    for order in (rows, rows[::-1]):
+        df = spark.createDataFrame(order, "recording_id int, sample long, channel_id int, value double").coalesce(1)
+        got = percentiles.multi_select(percentiles.value_blocks(df, rec), ["channel_id"], [0.0, 0.5, 1.0]).orderBy("q").collect()
+        assert [(r["n"], r["value"]) for r in got] == [(3, 2.0), (3, 3.0), (3, 9.0)]
+
+
+def test_missed_brackets_take_the_median():
+    """Pivots that always miss still end: the next one is the weighted median of the proposals."""
+    step = percentiles._decide(1)
+    v = np.sort(np.random.default_rng(0).normal(size=5000))
+    state = {"scope": 0, "k0": 1, "k": [10], "lo": [float("nan")], "hi": [float("nan")], "p1": [v[3000]], "p2": [v[4000]], "value": [float("nan")]}
+    (report,) = percentiles._report([[0]], 1)(iter([language.pa.RecordBatch.from_pylist([{"k0": 1, "vals": v.tobytes(), "state0": {f: state[f] for f in ("lo", "hi", "p1", "p2")}}])]))
+    rows = [state | {"counts": None, "props": None}, dict.fromkeys(percentiles.FIELDS) | report.to_pylist()[0]]
+    (out,) = step(iter([language.pa.RecordBatch.from_pylist(rows)]))
+    (new,) = out.to_pylist()
+    assert new["hi"] == [v[3000]] and new["p1"] == new["p2"] and 1300 < np.searchsorted(v, new["p1"][0]) < 1700
+
+
+def test_ladder_errors_do_not_grow_with_the_number_of_blocks():
+    rng = np.random.default_rng(1)
+    ladder, values = percentiles.Ladder(), []
+    for i in range(4000):
+        v = np.sort(rng.normal(i % 7, 1 + i % 3, 64))
+        values.append(v)
+        ladder.add((np.tile(v[np.floor(percentiles.GRID * 64).astype(int)], (3, 1, 1)), np.full((3, 1, 16), 4.0)))
+    median = percentiles._quantiles(ladder.all(), 1)[0][0, 0, 0]
+    assert abs((np.concatenate(values) < median).mean() - 0.5) < 1 / 16
+
+
 def test_summaries_of_days_add_up(spark):
     df, rec, rows = analog(spark, 8000)
-    parts = percentiles.summaries(percentiles.value_blocks(df, rec, spread=1), 64)
-    got = percentiles.combine(parts, ["channel_id"], [0.1, 0.5, 0.9]).toPandas()
-    for c in range(3):
-        v = np.sort([x for (r, k, i), x in {(r, k, i): x for r, i, k, x in rows if x is not None and not np.isnan(x)}.items() if k == c])
-        for row in got[got.channel_id == c].itertuples():
-            lo, hi = np.searchsorted(v, row.value, "left"), np.searchsorted(v, row.value, "right")
-            want = np.floor(row.q * (len(v) - 1))
-            assert row.n == len(v) and lo - row.rank_error * len(v) <= want <= hi + row.rank_error * len(v)
+    blocks = percentiles.value_blocks(df, rec, spread=1)
+    seen = {(r, k, i): x for r, i, k, x in rows if x is not None and not np.isnan(x)}
+    for points, blocks_points in ((1024, 64), (16, 16)):
+        parts = percentiles.summaries(blocks, blocks_points)
+        days = percentiles.merged(parts.unionByName(parts.limit(0)), ["day", "channel_id"], points, 3)
+        got = percentiles.combine(days, ["channel_id"], [0.0, 0.1, 0.5, 0.9, 1.0], points).toPandas()
+        assert got.rank_error.max() < (1 / 64 if points == 1024 else 0.3)
+        for c in (0, 1, 2, 7):
+            v = np.sort([x for (r, k, i), x in seen.items() if k == c])
+            for row in got[got.channel_id == c].itertuples():
+                lo, hi = np.searchsorted(v, row.value, "left"), np.searchsorted(v, row.value, "right")
+                want = np.floor(row.q * (len(v) - 1))
+                assert row.n == len(v) and lo - row.rank_error * len(v) <= want <= hi - 1 + row.rank_error * len(v)
+
+
+def test_merging_many_summaries_stays_bounded():
+    rng = np.random.default_rng(2)
+    batches, values = [], []
+    for i in range(300):
+        v = np.sort(np.round(rng.normal(i / 50, 1, 500), 1))
+        values.append(v)
+        (b,) = percentiles._summarise(32)(iter([language.pa.RecordBatch.from_pylist([{"k": 1, "vals": v.tobytes()}])]))
+        batches.append(b)
+    (out,) = percentiles._merge(1, 50)(iter(batches))
+    (row,) = out.to_pylist()
+    x, w = np.frombuffer(row["vals"], "<f8"), np.frombuffer(row["weights"], "<i8")
+    whole = np.sort(np.concatenate(values))
+    assert len(x) <= 50 and w.sum() == len(whole) == row["n"] and row["slack"] < 0.2 * len(whole)
+    for at in rng.normal(3, 3, 200):
+        assert abs(w[x <= at].sum() - np.searchsorted(whole, at, "right")) <= row["slack"]
 
 
 # --- packing -------------------------------------------------------------------------------------------------------

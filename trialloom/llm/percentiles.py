@@ -7,29 +7,35 @@ a partition are merged there.  The weighted quantiles of all proposals on
 either side of the target become the next pivots, ruled-out ranges are
 discarded, and rounds go on until the pivot with the target's rank is found.
 (Two pivots from local quantiles in place of one from local medians rule out
-more in a round; where they miss the target, the weighted median is taken,
-which rules out a quarter at least.)
-
-``summaries`` keeps a bounded number of weighted values per group and block;
-those of days add up to the whole, with a stated bound of the rank error.
+more in a round.  Where they miss the target, the next round's pivot is the
+weighted median of the proposals, which rules out two fifths at least, so the
+number of rounds is bounded by the logarithm of the count.)  Groups of several
+scopes, such as days and all days, are searched in the same rounds.
+
+``summaries`` keeps a bounded number of weighted values per group and block,
+with a bound of the rank error that is computed, not assumed; those of
+partitions, days or tables are merged into summaries as bounded, whose bounds
+add up.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from trialloom.plans.tables import materialise
 
 BLOCK = 65_536  # samples of a source that go to one task
-PROPOSALS = 16  # local quantiles that a block proposes for an open range
-MOST_PROPOSALS = 2_048  # kept of a group and target while merging
-BROADCAST_KEYS = 50_000  # states of so many groups are broadcast, 0.5 kB each; beyond, they are joined
+PROPOSALS = 16  # local quantiles that a block, or a partition, proposes for an open range
+FAN = 128  # sets of proposals that are merged at once
+MERGED = 128  # quantiles kept of merged proposals within a task: an error of 1/256 a level
+BROADCAST_BYTES = 32 << 20  # states up to this size are broadcast; larger ones are joined
 MARGIN = 0.03  # of the range, on either side of the target, between the pivots
 
 
@@ -53,7 +59,7 @@ def _flatten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cuts = np.concatenate(([0], np.flatnonzero(~same) + 1, [len(rec)]))
         blobs = [pack_readings(smp[a:b], val[a:b]) for a, b in zip(cuts[:-1], cuts[1:])]
         at = cuts[:-1]
-        return pa.RecordBatch.from_arrays([pa.array(rec[at].astype(np.int32)), pa.array(ch[at].astype(np.int32)), pa.array(block[at].astype(np.int32)), pa.array(blobs, pa.binary())], ["recording_id", "channel_id", "block", "blob"])
+        return pa.RecordBatch.from_arrays([pa.array(rec[at].astype(np.int32)), pa.array(ch[at].astype(np.int32)), pa.array(block[at]), pa.array(blobs, pa.binary())], ["recording_id", "channel_id", "block", "blob"])
 
     for batch in batches:
         if batch.num_rows:
@@ -68,7 +74,7 @@ def _flatten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _sorted_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pieces, ordered by day, channel and source, to one sorted block per day and channel of the partition (or several large ones)."""
-    from trialloom.operators.spikes import unpack_readings
+    from trialloom.operators.spikes import once, unpack_readings
 
     group: tuple | None = None
     source: tuple | None = None
@@ -79,11 +85,7 @@ def _sorted_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
     def end_source() -> None:
         if smp:
-            s, v = np.concatenate(smp), np.concatenate(val)
-            if len(smp) > 1 or (len(s) > 1 and (s[1:] <= s[:-1]).any()):
-                _, first = np.unique(s, return_index=True)
-                v = v[first]
-            done.append(v[~np.isnan(v)])
+            done.append(once(np.concatenate(smp), np.concatenate(val))[1])
             smp.clear()
             val.clear()
 
@@ -121,13 +123,14 @@ def _sorted_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 def value_blocks(analog: DataFrame, recording: DataFrame, spread: int = 8) -> DataFrame:
     """(day, channel_id, n, vals) sorted blocks of all readings, repeated deliveries counted once.
 
-    Nulls and NaN are missing and left out, infinities are values.  day is in
+    Nulls and NaN are missing and left out, infinities are values; of readings
+    of one key the largest counts.  day is in
     days since 1970; it is null for recordings without a start.  A group is
     spread over many blocks: by recording, and by stretches of a recording.
     """
     rows = analog.where("recording_id IS NOT NULL AND channel_id IS NOT NULL AND sample IS NOT NULL AND value IS NOT NULL")
-    rows = rows.select(F.col("recording_id").cast("int"), F.col("channel_id").cast("int"), F.col("sample").cast("int"), F.col("value").cast("double"))
-    pieces = rows.mapInArrow(_flatten, "recording_id int, channel_id int, block int, blob binary")
+    rows = rows.select(F.col("recording_id").cast("int"), F.col("channel_id").cast("int"), F.col("sample").cast("long"), F.col("value").cast("double"))
+    pieces = rows.mapInArrow(_flatten, "recording_id int, channel_id int, block long, blob binary")
     days = recording.where("recording_id IS NOT NULL").groupBy(F.col("recording_id").cast("int").alias("r_")).agg(F.max(F.unix_date(F.to_date("utc_start_time"))).cast("int").alias("day"))
     dated = pieces.join(days, F.col("recording_id") == F.col("r_"), "left").withColumn("part", F.pmod(F.col("recording_id"), F.lit(spread)))
     placed = dated.repartition("day", "channel_id", "part", "block").sortWithinPartitions("day", "channel_id", "recording_id", "block")
@@ -149,50 +152,87 @@ def _count(v: np.ndarray, lo, hi, p1, p2):
     return a, b, l1, e1, l2, e2
 
 
+def _quantiles(props: list[tuple[np.ndarray, np.ndarray]], points: int) -> tuple[np.ndarray, np.ndarray]:
+    """Proposals (values and weights, 3 x targets x n each) as ``points`` quantiles of equal weight."""
+    v, w = (np.concatenate(x, axis=2) for x in zip(*props))
+    if v.shape[2] == points and len(props) == 1:
+        return v, w
+    o = np.argsort(v, axis=2, kind="stable")
+    v, w = np.take_along_axis(v, o, 2), np.take_along_axis(w, o, 2)
+    upto = np.cumsum(w, axis=2)
+    total = upto[..., -1:]
+    wanted = (np.arange(points) + 0.5) / points * total
+    at = np.stack([[np.searchsorted(u, x) for u, x in zip(us, xs)] for us, xs in zip(upto, wanted)])
+    return np.take_along_axis(v, np.minimum(at, v.shape[2] - 1), 2), np.repeat(total / points, points, axis=2)
+
+
+class Ladder:
+    """Proposals in any number: ``FAN`` of a level are merged into one of the next, so that errors grow with the number of levels only."""
+
+    def __init__(self):
+        self.levels: list[list] = [[]]
+
+    def add(self, prop: tuple[np.ndarray, np.ndarray], level: int = 0) -> None:
+        if level == len(self.levels):
+            self.levels.append([])
+        self.levels[level].append(prop)
+        if len(self.levels[level]) >= FAN:
+            full, self.levels[level] = self.levels[level], []
+            self.add(_quantiles(full, MERGED), level + 1)
+
+    def all(self) -> list[tuple[np.ndarray, np.ndarray]]:
+        return [p for level in self.levels for p in level]
+
+
 GRID = (np.arange(PROPOSALS) + 0.5) / PROPOSALS
 
 
-def _report(keys: int):
-    """Blocks with their group's state to reports: counts, and proposals of the three ranges between the pivots."""
+def _sizes(counts: np.ndarray) -> np.ndarray:
+    """Values left of the pivots, between and right of them (3 x targets)."""
+    n, l1, e1, l2, e2 = counts
+    return np.maximum(np.stack([l1, l2 - e1, n - e2]), 0)
+
+
+def _report(scopes: list[list[int]], keys: int):
+    """Blocks with the states of their groups to reports: counts, and proposals of the three ranges between the pivots.
+
+    ``scopes`` gives the positions of each scope's keys; a block belongs to one group of each.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple, list] = {}
         limits: dict[tuple, tuple] = {}
 
         def emit() -> pa.RecordBatch:
-            rows = []
-            for key, (counts, props) in held.items():
-                v, w = _merged(props)
-                rows.append((*key, counts.astype("<i8").tobytes(), v.astype("<f8").tobytes(), w.astype("<f8").tobytes()))
+            rows = [(*key, counts.astype("<i8").tobytes(), _quantiles(props.all(), PROPOSALS)[0].astype("<f8").tobytes()) for key, (counts, props) in held.items()]
             held.clear()
             cols = list(zip(*rows))
-            return pa.RecordBatch.from_arrays([*[pa.array(c, pa.int32()) for c in cols[:keys]], *[pa.array(c, pa.binary()) for c in cols[keys:]]], [*[f"k{i}" for i in range(keys)], "counts", "props", "weights"])
+            return pa.RecordBatch.from_arrays([*[pa.array(c, pa.int32()) for c in cols[: keys + 1]], *[pa.array(c, pa.binary()) for c in cols[keys + 1 :]]], ["scope", *[f"k{i}" for i in range(keys)], "counts", "props"])
 
         for batch in batches:
-            cols = [batch.column(i).to_pylist() for i in range(keys)]
+            cols = list(zip(*(batch.column(i).to_pylist() for i in range(keys))))
             vals = batch.column(keys)
-            states = [batch.column(keys + 1 + i) for i in range(4)]
-            for i, key in enumerate(zip(*cols)):
-                if key not in limits:
-                    if len(limits) > 20_000:
-                        limits.clear()
-                    limits[key] = tuple(np.array(s[i].as_py(), float) for s in states)
-                lo, hi, p1, p2 = limits[key]
-                v = np.frombuffer(vals[i].as_buffer(), "<f8")
-                a, b, l1, e1, l2, e2 = _count(v, lo, hi, p1, p2)
-                counts = np.stack([b - a, l1 - a, e1 - a, l2 - a, e2 - a])
-                starts, ends = np.stack([a, e1, e2]), np.stack([l1, l2, b])  # left, middle, right: targets x 3
-                size = np.maximum(ends - starts, 0)
-                at = starts[..., None] + np.floor(GRID * size[..., None]).astype(np.int64)
-                prop = v[np.minimum(at, len(v) - 1)]
-                weight = np.repeat(size[..., None] / PROPOSALS, PROPOSALS, axis=2)
-                if key in held:
+            for scope, used in enumerate(scopes):
+                states = batch.column(keys + 1 + scope)
+                for i, own in enumerate(cols):
+                    if not states[i].is_valid:
+                        continue
+                    key = (scope, *(k if j in used else NONE for j, k in enumerate(own)))
+                    if key not in limits:
+                        if len(limits) > 20_000:
+                            limits.clear()
+                        state = states[i].as_py()
+                        limits[key] = tuple(np.array(state[f], float) for f in ("lo", "hi", "p1", "p2"))
+                    v = np.frombuffer(vals[i].as_buffer(), "<f8")
+                    a, b, l1, e1, l2, e2 = _count(v, *limits[key])
+                    counts = np.stack([b - a, l1 - a, e1 - a, l2 - a, e2 - a])
+                    size = _sizes(counts)
+                    at = np.stack([a, e1, e2])[..., None] + np.floor(GRID * size[..., None]).astype(np.int64)  # left, middle, right: targets x 3
+                    prop = v[np.minimum(at, len(v) - 1)], np.repeat(size[..., None] / PROPOSALS, PROPOSALS, axis=2)
+                    if key not in held:
+                        held[key] = [np.zeros_like(counts), Ladder()]
                     held[key][0] += counts
-                    held[key][1].append((prop, weight))
-                    if len(held[key][1]) * PROPOSALS > MOST_PROPOSALS:
-                        held[key][1] = [_merged(held[key][1])]
-                else:
-                    held[key] = [counts, [(prop, weight)]]
+                    held[key][1].add(prop)
             if len(held) > 5_000:
                 yield emit()
         if held:
@@ -201,17 +241,7 @@ def _report(keys: int):
     return run
 
 
-def _merged(props: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    """Proposals (3 x targets x n) of several blocks as PROPOSALS weighted quantiles."""
-    if len(props) == 1:
-        return props[0]
-    v, w = (np.concatenate(x, axis=2) for x in zip(*props))
-    o = np.argsort(v, axis=2, kind="stable")
-    v, w = np.take_along_axis(v, o, 2), np.take_along_axis(w, o, 2)
-    upto = np.cumsum(w, axis=2)
-    total = upto[..., -1:]
-    at = np.minimum((upto[..., None, :] < (GRID * total)[..., None]).sum(axis=-1), v.shape[2] - 1)
-    return np.take_along_axis(v, at, 2), np.repeat(total / PROPOSALS, PROPOSALS, axis=2)
+NONE = -(2**31)  # a null key, or one that is not of the scope
 
 
 def _decide(keys: int):
@@ -224,6 +254,7 @@ def _decide(keys: int):
         for t in range(len(k)):
             if k[t] < 0:
                 continue
+            missed = False
             if np.isnan(p1[t]):
                 side = 1
             elif l1[t] <= k[t] < e1[t]:
@@ -232,53 +263,53 @@ def _decide(keys: int):
             elif l2[t] <= k[t] < e2[t]:
                 value[t], k[t] = p2[t], -1
                 continue
-            elif k[t] < l1[t]:
-                side, hi[t] = 0, p1[t]
-            elif k[t] < l2[t]:
-                side, lo[t], hi[t], k[t] = 1, p1[t], p2[t], k[t] - e1[t]
             else:
-                side, lo[t], k[t] = 2, p2[t], k[t] - e2[t]
-            left = (l1[t], l2[t] - e1[t] if not np.isnan(p1[t]) else n[t], n[t] - e2[t])[side]
+                side = 0 if k[t] < l1[t] else 1 if k[t] < l2[t] else 2
+                missed = side != 1 and p1[t] < p2[t]
+                if side == 0:
+                    hi[t] = p1[t]
+                elif side == 1:
+                    lo[t], hi[t], k[t] = p1[t], p2[t], k[t] - e1[t]
+                else:
+                    lo[t], k[t] = p2[t], k[t] - e2[t]
+            left = _sizes(counts)[side, t]
             o = np.argsort(v[side, t], kind="stable")
             x, upto = v[side, t][o], np.cumsum(w[side, t][o])
             share = (k[t] + 0.5) / max(left, 1)
-            ends = [np.searchsorted(upto, np.clip(s, 0, 1) * upto[-1]) for s in (share - MARGIN, share + MARGIN)]
-            p1[t], p2[t] = (x[min(int(e), len(x) - 1)] for e in ends)
+            wanted = (0.5, 0.5) if missed else (share - MARGIN, share + MARGIN)
+            p1[t], p2[t] = (x[min(int(np.searchsorted(upto, np.clip(s, 0, 1) * upto[-1])), len(x) - 1)] for s in wanted)
         return state
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, state, counts, props = None, None, None, []
+        key, state, counts, props = None, None, None, Ladder()
         out: list[tuple] = []
 
         def close() -> None:
             if state is not None and counts is not None:
-                s = step(state, counts, props)
+                s = step(state, counts, props.all())
                 out.append((*key, *[s[f].tolist() for f in FIELDS], bool((s["k"] >= 0).any())))
 
         def emit() -> pa.RecordBatch:
             cols = list(zip(*out))
             out.clear()
-            types = [*[pa.int32()] * keys, pa.list_(pa.int64()), *[pa.list_(pa.float64())] * 5, pa.bool_()]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], [*[f"k{i}" for i in range(keys)], *FIELDS, "open"])
+            types = [*[pa.int32()] * (keys + 1), pa.list_(pa.int64()), *[pa.list_(pa.float64())] * 5, pa.bool_()]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["scope", *[f"k{i}" for i in range(keys)], *FIELDS, "open"])
 
         for batch in batches:
             rows = batch.to_pylist()
             for r in rows:
-                at = tuple(r[f"k{i}"] for i in range(keys))
+                at = (r["scope"], *(r[f"k{i}"] for i in range(keys)))
                 if at != key:
                     close()
-                    key, counts, props = at, None, []
+                    key, counts, props = at, None, Ladder()
                     state = None
                 if r["counts"] is None:
                     state = {f: np.array(r[f], np.int64 if f == "k" else float) for f in FIELDS}
                     continue
                 c = np.frombuffer(r["counts"], "<i8").reshape(5, -1)
-                t = c.shape[1]
-                p = (np.frombuffer(r["props"], "<f8").reshape(3, t, -1), np.frombuffer(r["weights"], "<f8").reshape(3, t, -1))
+                p = np.frombuffer(r["props"], "<f8").reshape(3, c.shape[1], PROPOSALS)
                 counts = c.copy() if counts is None else counts + c
-                props.append(p)
-                if len(props) * PROPOSALS > MOST_PROPOSALS:
-                    props = [_merged(props)]
+                props.add((p, np.repeat(_sizes(c)[..., None] / PROPOSALS, PROPOSALS, axis=2)))
             if len(out) > 2_000:
                 yield emit()
         close()
@@ -288,76 +319,205 @@ def _decide(keys: int):
     return run
 
 
-def multi_select(blocks: DataFrame, keys: list[str], shares: list[float], most_rounds: int = 64) -> DataFrame:
+def multi_select(blocks: DataFrame, keys: list[str], shares: list[float]) -> DataFrame:
     """(keys, n, q, value): the value of rank floor(q * (n - 1)) (0-based) of each group, exactly.
 
     ``blocks`` has the integer ``keys``, n and vals (sorted doubles).  A null key is
     a group like others; groups without values do not appear.
     """
-    k = [f"k{i}" for i in range(len(keys))]
-    named = blocks.select(*[F.coalesce(F.col(c), F.lit(-(2**31))).cast("int").alias(a) for c, a in zip(keys, k)], "n", "vals")
+    return multi_select_scopes(blocks, [keys], shares).select(*keys, "n", "q", "value")
+
+
+def multi_select_scopes(blocks: DataFrame, scopes: list[list[str]], shares: list[float]) -> DataFrame:
+    """(scope, keys, n, q, value): ``multi_select`` of several groupings in the same rounds.
+
+    scope is the position in ``scopes``; keys that a scope does not have are null.
+    """
+    names = list(dict.fromkeys(c for keys in scopes for c in keys))
+    k = [f"k{i}" for i in range(len(names))]
+    of = [[names.index(c) for c in keys] for keys in scopes]
+    named = blocks.select(*[F.coalesce(F.col(c), F.lit(NONE)).cast("int").alias(a) for c, a in zip(names, k)], "n", "vals")
     qs = sorted(set(shares))
     nan = F.array(*[F.lit(float("nan")) for _ in qs])
     ranks = F.array(*[F.floor(F.lit(q) * (F.col("n") - 1)).cast("long") for q in qs])
-    sizes = materialise(named.groupBy(*k).agg(F.sum("n").alias("n")))
-    state = sizes.select(*k, ranks.alias("k"), *[nan.alias(c) for c in FIELDS[1:]], F.lit(True).alias("open"))
-    few = sizes.count() <= BROADCAST_KEYS
+    # the finest groups are added up first, the others from them
+    finest = materialise(named.groupBy(*k).agg(F.sum("n").alias("n")))
+    group = ["scope", *k]
+    each = [finest.select(F.lit(i).alias("scope"), *[F.col(c) if j in used else F.lit(NONE).alias(c) for j, c in enumerate(k)], "n") for i, used in enumerate(of)]
+    sizes = materialise(reduce(DataFrame.unionByName, each).groupBy(*group).agg(F.sum("n").alias("n")))
+    counted = sizes.agg(F.count(F.lit(1)).alias("groups"), F.max("n").alias("top")).first()
+    few = counted["groups"] * (40 * len(qs) + 64) <= BROADCAST_BYTES
+    state = sizes.select(*group, ranks.alias("k"), *[nan.alias(c) for c in FIELDS[1:]], F.lit(True).alias("open"))
     found: DataFrame | None = None
-    for _ in range(most_rounds):
+    key_types = ", ".join(f"{c} int" for c in group)
+    for _ in range(2 * math.ceil(math.log((counted["top"] or 1) + 1, 1.5)) + 16):
         active = state.where("open")
-        side = active.select(*[F.col(c).alias(f"{c}_") for c in k], "lo", "hi", "p1", "p2")
-        on = [F.col(c) == F.col(f"{c}_") for c in k]
-        met = named.join(F.broadcast(side) if few else side, on).select(*k, "vals", "lo", "hi", "p1", "p2")
-        key_types = ", ".join(f"{c} int" for c in k)
-        reports = met.mapInArrow(_report(len(k)), f"{key_types}, counts binary, props binary, weights binary")
+        met = named
+        for i, used in enumerate(of):
+            side = active.where(F.col("scope") == i).select(*[F.col(k[j]).alias(f"s{i}_{j}") for j in used], F.struct("lo", "hi", "p1", "p2").alias(f"state{i}"))
+            on = reduce(lambda a, b: a & b, [F.col(k[j]) == F.col(f"s{i}_{j}") for j in used])
+            met = met.join(F.broadcast(side) if few else side, on, "left")
+        states = [f"state{i}" for i in range(len(of))]
+        met = met.where(F.coalesce(*states).isNotNull()).select(*k, "vals", *states)
+        reports = met.mapInArrow(_report(of, len(k)), f"{key_types}, counts binary, props binary")
         both = active.drop("open").unionByName(reports, allowMissingColumns=True)
-        ordered = both.repartition(*k).sortWithinPartitions(*k, F.col("counts").isNotNull())
+        ordered = both.repartition(*group).sortWithinPartitions(*group, F.col("counts").isNotNull())
         state = materialise(ordered.mapInArrow(_decide(len(k)), f"{key_types}, {STATE}"))
-        closed = state.where("NOT open").select(*k, "value")
+        closed = state.where("NOT open").select(*group, "value")
         found = closed if found is None else found.unionByName(closed)
         if state.where("open").isEmpty():
             break
     else:
         raise RuntimeError("multi-select did not end")
-    each = found.select(*k, F.posexplode("value").alias("i", "value")).join(sizes, k)
+    each = found.select(*group, F.posexplode("value").alias("i", "value")).join(sizes, group)
     q = F.element_at(F.array(*[F.lit(x) for x in qs]), F.col("i") + 1)
-    return each.select(*[F.when(F.col(a) != -(2**31), F.col(a)).alias(c) for a, c in zip(k, keys)], "n", q.alias("q"), "value")
+    return each.select("scope", *[F.when(F.col(a) != NONE, F.col(a)).alias(c) for a, c in zip(k, names)], "n", q.alias("q"), "value")
+
+
+# --- summaries that add up -------------------------------------------------------------------------------------------
+
+POINTS = 64  # values of a block's summary
+MERGED_POINTS = 1024  # of a merged one
+SUMMARY = "n long, vals binary, weights binary, slack long"
+
+
+def _squeeze_points(v: np.ndarray, w: np.ndarray, points: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """Ordered weighted values in at most ``points`` parts, each as its middle value, and by how much that moves a rank at most.
+
+    The rank of x is the weight of the values up to x.
+    """
+    new = np.append(True, v[1:] != v[:-1])
+    at = np.flatnonzero(new)
+    v, w = v[at], np.add.reduceat(w, at)
+    if len(v) <= points:
+        return v, w, 0
+    upto = np.cumsum(w)
+    part = ((upto - w / 2) * points / upto[-1]).astype(np.int64)
+    first = np.flatnonzero(np.diff(part, prepend=-1))
+    last = np.append(first[1:], len(v)) - 1
+    before = np.append(0, upto)[first]
+    mid = np.searchsorted(upto, (before + upto[last] + 1) // 2)
+    mid = np.clip(mid, first, last)
+    moved = np.maximum(np.append(0, upto)[mid] - before, upto[last] - upto[mid])
+    return v[mid], upto[last] - before, int(moved.max())
 
 
 def _summarise(points: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
-            for i, (day, ch) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
-                v = np.frombuffer(batch.column(2)[i].as_buffer(), "<f8")
-                edges = np.unique(np.linspace(0, len(v), min(points, len(v)) + 1).astype(np.int64))
-                mids = (edges[:-1] + edges[1:] - 1) // 2
-                out += [(day, ch, x, w, w if w > 1 else 0) for x, w in zip(v[mids].tolist(), np.diff(edges).tolist())]
-            if out:
-                cols = list(zip(*out))
-                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.float64()), pa.array(cols[3], pa.int64()), pa.array(cols[4], pa.int64())], ["day", "channel_id", "value", "weight", "slack"])
+            for blob in batch.column(batch.num_columns - 1):
+                v = np.frombuffer(blob.as_buffer(), "<f8")
+                x, w, slack = _squeeze_points(v, np.ones(len(v), np.int64), points)
+                out.append((len(v), x.tobytes(), w.astype("<i8").tobytes(), slack))
+            cols = [pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.binary(), pa.binary(), pa.int64()))] if out else [pa.array([], t) for t in (pa.int64(), pa.binary(), pa.binary(), pa.int64())]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *cols], [*batch.schema.names[:-1], "n", "vals", "weights", "slack"])
 
     return run
 
 
-def summaries(blocks: DataFrame, points: int = 64) -> DataFrame:
-    """(day, channel_id, value, weight, slack): each block's values in at most ``points`` parts of equal count.
+def summaries(blocks: DataFrame, points: int = POINTS) -> DataFrame:
+    """(day, channel_id, n, vals, weights, slack): each block's values as at most ``points`` weighted ones.
 
-    A value stands for its part of ``weight`` values; a rank read off the
-    summary is wrong by at most half a part of each block.  Summaries add up by
-    union, and so do their bounds.
+    A rank read off a summary is wrong by at most ``slack`` values.  Summaries
+    may be united; ``merged`` makes few of many.
     """
-    return blocks.select("day", "channel_id", "vals").mapInArrow(_summarise(points), "day int, channel_id int, value double, weight long, slack long")
+    return blocks.select("day", "channel_id", "vals").mapInArrow(_summarise(points), f"day int, channel_id int, {SUMMARY}")
 
 
-def combine(parts: DataFrame, keys: list[str], shares: list[float], points: int = 64) -> DataFrame:
+def _merge(keys: int, points: int):
+    """Summaries to one for each key that a task meets, in whatever order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, list] = {}
+        schema = None
+
+        def shrink(parts: list) -> list:
+            n, v, w, slack = zip(*parts)
+            v, w = np.concatenate(v), np.concatenate(w)
+            o = np.argsort(v, kind="stable")
+            v, w, more = _squeeze_points(v[o], w[o], points)
+            return [(sum(n), v, w, sum(slack) + more)]
+
+        def emit() -> pa.RecordBatch:
+            rows = [(*key, n, v.tobytes(), w.astype("<i8").tobytes(), slack) for key, parts in held.items() for n, v, w, slack in shrink(parts)]
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+
+        for batch in batches:
+            schema = batch.schema
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                key, (n, v, w, slack) = row[:keys], row[keys:]
+                parts = held.setdefault(key, [])
+                parts.append((n, np.frombuffer(v, "<f8"), np.frombuffer(w, "<i8"), slack))
+                if sum(len(p[1]) for p in parts) > 64 * points:
+                    held[key] = shrink(parts)
+            if len(held) > 5_000:
+                yield emit()
+        if held:
+            yield emit()
+
+    return run
+
+
+def merged(parts: DataFrame, keys: list[str], points: int = MERGED_POINTS, salts: int = 16) -> DataFrame:
+    """(keys, n, vals, weights, slack): one summary a group, of at most ``points`` values.
+
+    Merged within the tasks that hold them, then by group and salt, then by
+    group, so that no task meets more than one summary of each salt.  Each
+    time at most a part in ``points`` is added to the error.
+    """
+    schema = ", ".join([*[f"{c} {t}" for c, t in parts.select(*keys).dtypes], SUMMARY])
+    step = _merge(len(keys), points)
+    columns = [*keys, "n", "vals", "weights", "slack"]
+    local = parts.select(*columns).mapInArrow(step, schema).withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(salts)))
+    salted = local.repartition(*keys, "salt").select(*columns).mapInArrow(step, schema)
+    return salted.repartition(*keys).mapInArrow(step, schema)
+
+
+def combine(parts: DataFrame, keys: list[str], shares: list[float], points: int = MERGED_POINTS) -> DataFrame:
     """(keys, q, n, value, rank_error): quantiles of summaries added up, with the bound of the error as a share of n.
 
-    Equal values are one row before anything is sorted.
+    value has a rank within n * rank_error of floor(q * (n - 1)).
+    """
+    qs = sorted(set(shares))
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple] = []
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                key, (n, v, w, slack) = row[: len(keys)], row[len(keys) :]
+                v, upto = np.frombuffer(v, "<f8"), np.cumsum(np.frombuffer(w, "<i8"))
+                out += [(*key, q, n, float(v[np.searchsorted(upto, math.floor(q * (n - 1)), "right")]), slack / n) for q in qs if n]
+            if out:
+                types = [*[f.type for f in batch.schema][: len(keys)], pa.float64(), pa.int64(), pa.float64(), pa.float64()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], [*keys, "q", "n", "value", "rank_error"])
+
+    schema = ", ".join([*[f"{c} {t}" for c, t in parts.select(*keys).dtypes], "q double, n long, value double, rank_error double"])
+    return merged(parts, keys, points).mapInArrow(read, schema)
+
+
+def counted_ranks(blocks: DataFrame, keys: list[str], quantiles: DataFrame) -> DataFrame:
+    """``quantiles`` (keys, q, n, value, rank_error) with below and upto: how many values of the group are less, and at most as large.
+
+    The quantiles of a group are one row of the join, a few for each share.
     """
-    sums = parts.groupBy(*keys, "value").agg(F.sum("weight").alias("weight"))
-    of = W.partitionBy(*keys)
-    upto = sums.select(*keys, "value", F.sum("weight").over(of.orderBy("value")).alias("upto"), F.sum("weight").over(of).alias("n"))
-    each = upto.select(*keys, "value", "upto", "n", F.explode(F.array(*[F.lit(q) for q in shares])).alias("q"))
-    hit = each.where(F.col("upto") > F.floor(F.col("q") * (F.col("n") - 1)))
-    return hit.groupBy(*keys, "q").agg(F.max("n").alias("n"), F.min("value").alias("value")).withColumn("rank_error", F.lit(1.0 / points))
+    of = quantiles.groupBy(*[F.col(c).alias(f"{c}_") for c in keys]).agg(F.array_sort(F.collect_list(F.struct("q", "value"))).alias("asked"))
+    on = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"{c}_")) for c in keys])
+    met = blocks.join(of, on).select(*keys, "vals", "asked")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple] = []
+            for key, vals, asked in zip(zip(*(c.to_pylist() for c in batch.columns[:-2])), batch.column(len(keys)), batch.column(len(keys) + 1).to_pylist()):
+                v = np.frombuffer(vals.as_buffer(), "<f8")
+                out += [(*key, x["q"], int(np.searchsorted(v, x["value"], "left")), int(np.searchsorted(v, x["value"], "right"))) for x in asked]
+            if out:
+                types = [*[f.type for f in batch.schema][: len(keys)], pa.float64(), pa.int64(), pa.int64()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], [*keys, "q", "below", "upto"])
+
+    schema = ", ".join([*[f"{c} {t}" for c, t in blocks.select(*keys).dtypes], "q double, below long, upto long"])
+    counts = met.mapInArrow(run, schema).groupBy(*keys, "q").agg(F.sum("below").alias("below"), F.sum("upto").alias("upto"))
+    a, b = quantiles.alias("a"), counts.alias("b")
+    same = reduce(lambda x, y: x & y, [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in (*keys, "q")])
+    return a.join(b, same).select("a.*", "b.below", "b.upto")

@@ -9,9 +9,9 @@ from trialloom.llm.language import label_documents, mislabelled
 from trialloom.llm.mixing import mix, shares
 from trialloom.llm.nearest import nearest_in_time
 from trialloom.llm.packing import fill, pack
-from trialloom.llm.percentiles import combine, multi_select, summaries, value_blocks
+from trialloom.llm.percentiles import combine, counted_ranks, merged, multi_select_scopes, summaries, value_blocks
 from trialloom.llm.tokens import with_tokens
-from trialloom.plans.tables import table
+from trialloom.plans.tables import materialise, table
 
 
 def p8_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -53,15 +53,34 @@ def _blocks(spark: SparkSession, sf: str) -> DataFrame:
 def p4_percentiles(spark: SparkSession, sf: str) -> DataFrame:
     """Exact percentiles of each channel, over everything and per day; the rank error is 0."""
     blocks = _blocks(spark, sf).persist()
-    every = multi_select(blocks, ["channel_id"], SHARES).select(F.lit("all").alias("scope"), F.lit("").alias("day"), "channel_id", "q", "n", "value")
-    daily = multi_select(blocks, ["day", "channel_id"], SHARES).select(F.lit("day").alias("scope"), F.coalesce(F.date_from_unix_date("day").cast("string"), F.lit("unknown")).alias("day"), "channel_id", "q", "n", "value")
+    out = multi_select_scopes(blocks, [["channel_id"], ["day", "channel_id"]], SHARES)
     blocks.unpersist()
-    return every.unionByName(daily)
+    day = F.coalesce(F.date_from_unix_date("day").cast("string"), F.lit("unknown"))
+    whole = F.col("scope") == 0
+    return out.select(F.when(whole, "all").otherwise("day").alias("scope"), F.when(whole, "").otherwise(day).alias("day"), "channel_id", "q", "n", "value")
 
 
 def p4_combined(spark: SparkSession, sf: str) -> DataFrame:
     """Percentiles of each channel from the summaries of its days, with the bound of the rank error."""
-    return combine(summaries(_blocks(spark, sf)), ["channel_id"], SHARES)
+    days = merged(summaries(_blocks(spark, sf)), ["day", "channel_id"])
+    return combine(days, ["channel_id"], SHARES)
+
+
+def p4_combined_ranks(spark: SparkSession, sf: str) -> DataFrame:
+    """Whether the combined percentiles keep their bound, by counting, and whether the bound is at most 1/64."""
+    blocks = _blocks(spark, sf).persist()
+    found = materialise(counted_ranks(blocks, ["channel_id"], combine(merged(summaries(blocks), ["day", "channel_id"]), ["channel_id"], SHARES)))
+    blocks.unpersist()
+    target, slack = F.floor(F.col("q") * (F.col("n") - 1)), F.col("rank_error") * F.col("n")
+    kept = (F.col("below") - slack <= target) & (target <= F.col("upto") - 1 + slack)
+    return found.select("channel_id", "q", "n", kept.alias("kept"), (F.col("rank_error") <= 1 / 64).alias("small"))
+
+
+P4_RANKS_SQL = """
+WITH d AS (SELECT recording_id, channel_id, sample, max(value) AS value FROM analog_long WHERE value IS NOT NULL AND NOT isnan(value) GROUP BY ALL),
+n AS (SELECT channel_id, count(*) AS n FROM d GROUP BY channel_id), q AS (SELECT unnest([0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99]::DOUBLE[]) AS q)
+SELECT channel_id, q, n, true AS kept, true AS small FROM n, q
+"""
 
 
 P4_SQL = """
@@ -90,5 +109,5 @@ def p7_shares(spark: SparkSession, sf: str) -> DataFrame:
     return shares(p7_mix(spark, sf), table(spark, sf, "mix_target"))
 
 
-QUERIES = {"p2_found": p2_found, "p4_percentiles": p4_percentiles, "p4_combined": p4_combined, "p6_packing": p6_packing, "p6_fill": p6_fill, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_labels": p8_labels}
-SQL = {"p2_found": P2_SQL, "p4_percentiles": P4_SQL}
+QUERIES = {"p2_found": p2_found, "p4_percentiles": p4_percentiles, "p4_combined": p4_combined, "p4_combined_ranks": p4_combined_ranks, "p6_packing": p6_packing, "p6_fill": p6_fill, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_labels": p8_labels}
+SQL = {"p2_found": P2_SQL, "p4_percentiles": P4_SQL, "p4_combined_ranks": P4_RANKS_SQL}
