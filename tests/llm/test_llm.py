@@ -211,7 +211,10 @@ def test_pack(spark):
         assert all(n == max(1, -(-dict(sizes).get(d, 0) // cap)) for d, n in whole.items())
         assert sorted(g.container.unique()) == list(range(g.container.max() + 1))
     report = packing.fill(packing.pack(df, budgets), budgets).toPandas().set_index("budget_id")
-    assert report.loc[1, "n_tokens"] == sum(s for _, s in sizes) and (report.unused < 0.2).all()
+    assert report.loc[1, "n_tokens"] == sum(s for _, s in sizes) and (report.unused < 0.2).all() and (report.least <= report.containers).all()
+    for budget, cap in ((1, 64), (2, 1000)):
+        pieces = [p for _, s in sizes for p in [cap] * (s // cap if s > cap else 0) + [s % cap if s > cap else s] if p]
+        assert report.loc[budget, "containers"] == len(best_fit_decreasing(pieces, cap))
     assert packing.pack(df.limit(0), budgets).count() == 0 and packing.pack(df, budgets.limit(0)).count() == 0
 
 

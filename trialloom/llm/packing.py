@@ -7,8 +7,8 @@ the gaps are updated and the next size follows.  As sizes and gaps are whole
 numbers up to the capacity, the rounds run over runs of equal sizes and equal
 gaps, so their cost is bounded by the capacity and not by the number of texts;
 the outcome is that of best fit in decreasing order.  The texts themselves
-stay distributed: they are ranked within their size, salted, and joined with
-the runs.
+stay distributed: they are ranked within their size, salted, and joined by
+size and rank with the places that the runs stand for.
 """
 
 from __future__ import annotations
@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from trialloom.plans.tables import materialise, salted_rank
 
 MOST_BUDGETS = 1000
+PLACES_PER_ROW = 65_536  # of a run that one row makes
 RUNS = "budget_id int, size long, rank_from long, rank_to long, container_from long, per_container long"
 
 
@@ -109,12 +110,14 @@ def pack(sizes: DataFrame, budgets: DataFrame, salts: int = 16) -> DataFrame:
 
     histogram = items.groupBy("budget_id", "capacity", "size").agg(F.count(F.lit(1)).alias("n"))
     runs = materialise(histogram.groupBy("budget_id").applyInPandas(_plan, RUNS))
-    of_size = runs.groupBy(F.col("budget_id").alias("b_"), F.col("size").alias("s_")).agg(F.sort_array(F.collect_list(F.struct("rank_from", "rank_to", "container_from", "per_container"))).alias("runs"))
+    # a run of any length is cut before its places are made, one for each text
+    cut = runs.select("*", F.explode(F.expr(f"sequence(rank_from, rank_to - 1, {PLACES_PER_ROW}L)")).alias("at")).repartition("budget_id", "size", "at")
+    rank = F.explode(F.expr(f"sequence(at, least(at + {PLACES_PER_ROW}L, rank_to) - 1)"))
+    places = cut.select("budget_id", "size", "rank_from", "container_from", "per_container", rank.alias("rank"))
+    places = places.select("budget_id", "size", "rank", F.expr("container_from + (rank - rank_from) div per_container").alias("container"))
     ranked = salted_rank(items.drop("capacity"), ["budget_id", "size"], ["doc_id"], "rank", salts)
-    met = ranked.join(of_size, (F.col("budget_id") == F.col("b_")) & (F.col("size") == F.col("s_")))
-    run = F.filter("runs", lambda r: (r["rank_from"] <= F.col("rank")) & (F.col("rank") < r["rank_to"]))[0]
-    met = met.select("budget_id", "doc_id", F.col("full").alias("piece"), F.col("size").alias("n_tokens"), run.alias("run"), "rank")
-    whole = met.select("budget_id", "doc_id", "piece", "n_tokens", F.expr("run.container_from + (rank - run.rank_from) div run.per_container").alias("container"))
+    met = ranked.join(places.hint("merge"), ["budget_id", "size", "rank"])
+    whole = met.select("budget_id", "doc_id", F.col("full").alias("piece"), F.col("size").alias("n_tokens"), "container")
 
     # pieces that fill a container alone come after the others
     large = parts.where("full > 0").select("budget_id", "capacity", "doc_id", "full")
@@ -126,7 +129,12 @@ def pack(sizes: DataFrame, budgets: DataFrame, salts: int = 16) -> DataFrame:
 
 
 def fill(packed: DataFrame, budgets: DataFrame) -> DataFrame:
-    """(budget_id, capacity, containers, n_tokens, unused) of each budget; unused is the share of empty room."""
+    """(budget_id, capacity, containers, least, n_tokens, unused) of each budget.
+
+    least is the number of containers that no packing can be below, by the sum of the sizes;
+    unused is the share of empty room.
+    """
     used = packed.groupBy("budget_id", "container").agg(F.sum("n_tokens").alias("t")).groupBy("budget_id").agg(F.count(F.lit(1)).alias("containers"), F.sum("t").alias("n_tokens"))
     caps = budgets.groupBy(F.col("budget_id").alias("b_")).agg(F.max("capacity").alias("capacity"))
-    return used.join(caps, F.col("budget_id") == F.col("b_")).select("budget_id", "capacity", "containers", "n_tokens", (1 - F.col("n_tokens") / (F.col("containers") * F.col("capacity"))).alias("unused"))
+    both = used.join(caps, F.col("budget_id") == F.col("b_"))
+    return both.select("budget_id", "capacity", "containers", F.ceil(F.col("n_tokens") / F.col("capacity")).alias("least"), "n_tokens", (1 - F.col("n_tokens") / (F.col("containers") * F.col("capacity"))).alias("unused"))

@@ -97,6 +97,20 @@ def p6_packing(spark: SparkSession, sf: str) -> DataFrame:
     return pack(with_tokens(table(spark, sf, "documents"), ["doc_id"]), table(spark, sf, "pack_budget"))
 
 
+def p6_sound(spark: SparkSession, sf: str) -> DataFrame:
+    """Of each budget: how many texts are packed, whether every container keeps to the capacity, and whether their numbers have no holes."""
+    packed = p6_packing(spark, sf)
+    of = packed.select("budget_id", "doc_id").distinct().groupBy("budget_id").agg(F.count(F.lit(1)).alias("texts"))
+    within = packed.groupBy("budget_id", "container").agg(F.sum("n_tokens").alias("t")).groupBy("budget_id").agg(F.max("t").alias("most"), F.count(F.lit(1)).alias("n"), F.max("container").alias("last"))
+    caps = table(spark, sf, "pack_budget").select("budget_id", "capacity")
+    return of.join(within, "budget_id").join(caps, "budget_id").select("budget_id", "texts", (F.col("most") <= F.col("capacity")).alias("fits"), (F.col("last") == F.col("n") - 1).alias("gapless"))
+
+
+P6_SOUND_SQL = """
+SELECT budget_id, (SELECT count(DISTINCT doc_id) FROM documents) AS texts, true AS fits, true AS gapless FROM pack_budget
+"""
+
+
 def p6_fill(spark: SparkSession, sf: str) -> DataFrame:
     return fill(p6_packing(spark, sf), table(spark, sf, "pack_budget"))
 
@@ -109,5 +123,5 @@ def p7_shares(spark: SparkSession, sf: str) -> DataFrame:
     return shares(p7_mix(spark, sf), table(spark, sf, "mix_target"))
 
 
-QUERIES = {"p2_found": p2_found, "p4_percentiles": p4_percentiles, "p4_combined": p4_combined, "p4_combined_ranks": p4_combined_ranks, "p6_packing": p6_packing, "p6_fill": p6_fill, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_labels": p8_labels}
-SQL = {"p2_found": P2_SQL, "p4_percentiles": P4_SQL, "p4_combined_ranks": P4_RANKS_SQL}
+QUERIES = {"p2_found": p2_found, "p4_percentiles": p4_percentiles, "p4_combined": p4_combined, "p4_combined_ranks": p4_combined_ranks, "p6_packing": p6_packing, "p6_fill": p6_fill, "p6_sound": p6_sound, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_labels": p8_labels}
+SQL = {"p2_found": P2_SQL, "p4_percentiles": P4_SQL, "p4_combined_ranks": P4_RANKS_SQL, "p6_sound": P6_SOUND_SQL}
