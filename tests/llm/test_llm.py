@@ -73,7 +73,7 @@ def analog(spark, n=4000, seed=0):
 
 def test_multi_select_is_exact(spark, monkeypatch):
     df, rec, rows = analog(spark)
-    blocks = percentiles.value_blocks(df.repartition(7), rec, spread=2).persist()
+    blocks = percentiles.value_blocks(df.repartition(7), rec).persist()
     days = {0: "a", 1: "a", 2: "b"}
     seen = {(r, c, i): v for r, i, c, v in rows if v is not None and not np.isnan(v)}
     for keys, of in ((["channel_id"], lambda r, c: c), (["day", "channel_id"], lambda r, c: (days.get(r), c))):
@@ -136,7 +136,7 @@ def test_ladder_errors_do_not_grow_with_the_number_of_blocks():
 
 def test_summaries_of_days_add_up(spark):
     df, rec, rows = analog(spark, 8000)
-    blocks = percentiles.value_blocks(df, rec, spread=1)
+    blocks = percentiles.value_blocks(df, rec)
     seen = {(r, k, i): x for r, i, k, x in rows if x is not None and not np.isnan(x)}
     for points, blocks_points in ((1024, 64), (16, 16)):
         parts = percentiles.summaries(blocks, blocks_points)

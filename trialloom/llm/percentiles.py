@@ -120,20 +120,21 @@ def _sorted_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield emit()
 
 
-def value_blocks(analog: DataFrame, recording: DataFrame, spread: int = 8) -> DataFrame:
+def value_blocks(analog: DataFrame, recording: DataFrame) -> DataFrame:
     """(day, channel_id, n, vals) sorted blocks of all readings, repeated deliveries counted once.
 
     Nulls and NaN are missing and left out, infinities are values; of readings
     of one key the largest counts.  day is in
-    days since 1970; it is null for recordings without a start.  A group is
-    spread over many blocks: by recording, and by stretches of a recording.
+    days since 1970; it is null for recordings without a start.  Recordings,
+    and stretches of a long one, are dealt to all tasks, so a group that holds a
+    third of all rows has a block in each.
     """
     rows = analog.where("recording_id IS NOT NULL AND channel_id IS NOT NULL AND sample IS NOT NULL AND value IS NOT NULL")
     rows = rows.select(F.col("recording_id").cast("int"), F.col("channel_id").cast("int"), F.col("sample").cast("long"), F.col("value").cast("double"))
     pieces = rows.mapInArrow(_flatten, "recording_id int, channel_id int, block long, blob binary")
     days = recording.where("recording_id IS NOT NULL").groupBy(F.col("recording_id").cast("int").alias("r_")).agg(F.max(F.unix_date(F.to_date("utc_start_time"))).cast("int").alias("day"))
-    dated = pieces.join(days, F.col("recording_id") == F.col("r_"), "left").withColumn("part", F.pmod(F.col("recording_id"), F.lit(spread)))
-    placed = dated.repartition("day", "channel_id", "part", "block").sortWithinPartitions("day", "channel_id", "recording_id", "block")
+    dated = pieces.join(days, F.col("recording_id") == F.col("r_"), "left")
+    placed = dated.repartition("recording_id", "block").sortWithinPartitions("day", "channel_id", "recording_id", "block")
     return placed.select("day", "channel_id", "recording_id", "block", "blob").mapInArrow(_sorted_blocks, "day int, channel_id int, n long, vals binary")
 
 
@@ -162,7 +163,10 @@ def _quantiles(props: list[tuple[np.ndarray, np.ndarray]], points: int) -> tuple
     upto = np.cumsum(w, axis=2)
     total = upto[..., -1:]
     wanted = (np.arange(points) + 0.5) / points * total
-    at = np.stack([[np.searchsorted(u, x) for u, x in zip(us, xs)] for us, xs in zip(upto, wanted)])
+    if points * v.size < 1 << 20:
+        at = (upto[..., None, :] < wanted[..., None]).sum(axis=-1)
+    else:
+        at = np.stack([[np.searchsorted(u, x) for u, x in zip(us, xs)] for us, xs in zip(upto, wanted)])
     return np.take_along_axis(v, np.minimum(at, v.shape[2] - 1), 2), np.repeat(total / points, points, axis=2)
 
 
@@ -212,27 +216,27 @@ def _report(scopes: list[list[int]], keys: int):
         for batch in batches:
             cols = list(zip(*(batch.column(i).to_pylist() for i in range(keys))))
             vals = batch.column(keys)
-            for scope, used in enumerate(scopes):
-                states = batch.column(keys + 1 + scope)
-                for i, own in enumerate(cols):
-                    if not states[i].is_valid:
-                        continue
-                    key = (scope, *(k if j in used else NONE for j, k in enumerate(own)))
-                    if key not in limits:
-                        if len(limits) > 20_000:
-                            limits.clear()
-                        state = states[i].as_py()
-                        limits[key] = tuple(np.array(state[f], float) for f in ("lo", "hi", "p1", "p2"))
-                    v = np.frombuffer(vals[i].as_buffer(), "<f8")
-                    a, b, l1, e1, l2, e2 = _count(v, *limits[key])
-                    counts = np.stack([b - a, l1 - a, e1 - a, l2 - a, e2 - a])
-                    size = _sizes(counts)
-                    at = np.stack([a, e1, e2])[..., None] + np.floor(GRID * size[..., None]).astype(np.int64)  # left, middle, right: targets x 3
-                    prop = v[np.minimum(at, len(v) - 1)], np.repeat(size[..., None] / PROPOSALS, PROPOSALS, axis=2)
+            states = [batch.column(keys + 1 + scope) for scope in range(len(scopes))]
+            for i, own in enumerate(cols):
+                groups = tuple((scope, *(k if j in used else NONE for j, k in enumerate(own))) for scope, used in enumerate(scopes) if states[scope][i].is_valid)
+                if groups not in limits:
+                    if len(limits) > 20_000:
+                        limits.clear()
+                    rows = [states[g[0]][i].as_py() for g in groups]
+                    cuts = np.cumsum([0, *(len(r["lo"]) for r in rows)])
+                    limits[groups] = [np.concatenate([np.array(r[f], float) for r in rows]) for f in ("lo", "hi", "p1", "p2")], cuts
+                limit, cuts = limits[groups]
+                v = np.frombuffer(vals[i].as_buffer(), "<f8")
+                a, b, l1, e1, l2, e2 = _count(v, *limit)
+                counts = np.stack([b - a, l1 - a, e1 - a, l2 - a, e2 - a])
+                size = _sizes(counts)
+                at = np.stack([a, e1, e2])[..., None] + np.floor(GRID * size[..., None]).astype(np.int64)  # left, middle, right: targets x 3
+                prop, weight = v[np.minimum(at, len(v) - 1)], np.repeat(size[..., None] / PROPOSALS, PROPOSALS, axis=2)
+                for key, x, y in zip(groups, cuts, cuts[1:]):
                     if key not in held:
-                        held[key] = [np.zeros_like(counts), Ladder()]
-                    held[key][0] += counts
-                    held[key][1].add(prop)
+                        held[key] = [np.zeros((5, y - x), np.int64), Ladder()]
+                    held[key][0] += counts[:, x:y]
+                    held[key][1].add((prop[:, x:y], weight[:, x:y]))
             if len(held) > 5_000:
                 yield emit()
         if held:
