@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import math
 
 from pyspark.sql import Column, DataFrame
@@ -198,7 +199,7 @@ def bin_edges(window: tuple[float, float], binsize, mean_length: float) -> list[
         return [window[0] + (window[1] - window[0]) * i / (n - 1) for i in range(n)]
     if not 0 < binsize <= window[1] - window[0]:
         raise ParameterError("binsize must be positive and not longer than the window")
-    n = math.ceil((window[1] - window[0]) / binsize + 1e-9)
+    n = math.ceil((window[1] + binsize - window[0]) / binsize) - 1  # edges lie below the window's end plus one bin
     return [window[0] + i * binsize for i in range(n + 1)]
 
 
@@ -229,7 +230,7 @@ def spike_psth(data: Trials, binsize="rice", output: str = "rate", latency="maxp
     from trialloom.operators.trials import assign
 
     spikes = assign(picked, every=True).where("channel IS NOT NULL AND unit IS NOT NULL")
-    combos = picked.facts.where("channel IS NOT NULL AND unit IS NOT NULL").select("channel", "unit").distinct()
+    combos = channel_units(picked)
     labelled = combos.withColumn("channel_id", (F.dense_rank().over(W.orderBy("channel", "unit")) - 1).cast("int"))
     counts = histogram(spikes, ["trial_id", "channel", "unit"], "time", edges)
     grid = psth_grid(picked, labelled, edges)
@@ -246,15 +247,35 @@ def spike_psth(data: Trials, binsize="rice", output: str = "rate", latency="maxp
     return out if keeptrials else out.having(facts=stats.select(F.lit(0).alias("trial_id"), "sample", "channel_id", F.col("avg").alias("value")), trials=trials.where("trial_id = 0"))
 
 
+MOST_COMBINATIONS = 10_000
+
+
+def channel_units(data: Trials) -> DataFrame:
+    """(channel, unit) of every combination that has a spike, neither of them null."""
+    return data.facts.where("channel IS NOT NULL AND unit IS NOT NULL").select("channel", "unit").distinct()
+
+
+def event_codes(data: Trials) -> DataFrame:
+    """(eventid) of every code that occurs."""
+    return data.facts.where("eventid IS NOT NULL").select("eventid").distinct()
+
+
 def psth_grid(data: Trials, combos: DataFrame, edges: list[float]) -> DataFrame:
     """Every (trial, channel, unit, bin) once, and whether the trial covers the bin.
 
-    This is the size of the result: bins are part of the plan, and trials and
-    combinations are brought together by an equi-join on one key.
+    This is the size of the result: bins and combinations (at most
+    ``MOST_COMBINATIONS``, as many as the result has channels) are part of the
+    plan, so trials stay where they are.
     """
+    rows = combos.select("channel", "unit", "channel_id").limit(MOST_COMBINATIONS + 1).collect()
+    if len(rows) > MOST_COMBINATIONS:
+        raise DataError(f"more than {MOST_COMBINATIONS} combinations of channel and unit")
+    kinds = dict(combos.dtypes)
     fs, eps = data.samplerate, 1e-9
     bins = F.explode(F.array(*[F.struct(F.lit(i).alias("bin"), F.lit(a).alias("a"), F.lit(b).alias("b")) for i, (a, b) in enumerate(zip(edges, edges[1:]))]))
-    spans = data.trials.select("trial_id", (F.col("t0") / fs).alias("first"), ((F.col("stop") - F.col("start") + F.col("t0")) / fs).alias("last"), F.lit(1).alias("one"))
-    both = spans.join(combos.withColumn("one", F.lit(1)), "one").drop("one")
+    spans = data.trials.select("trial_id", (F.col("t0") / fs).alias("first"), ((F.col("stop") - F.col("start") + F.col("t0")) / fs).alias("last"))
+    kind = f"array<struct<channel:{kinds['channel']},unit:{kinds['unit']},channel_id:{kinds['channel_id']}>>"
+    listed = F.from_json(F.lit(json.dumps([r.asDict() for r in rows])), kind)
+    both = spans.select("*", F.explode(listed).alias("c")).select("trial_id", "first", "last", "c.*")
     cells = both.select("trial_id", "channel", "unit", "channel_id", "first", "last", bins.alias("x"))
     return cells.select("trial_id", "channel", "unit", "channel_id", F.col("x.bin").alias("bin"), ((F.col("x.a") >= F.col("first") - eps) & (F.col("x.b") <= F.col("last") + eps)).alias("covered"))

@@ -14,21 +14,37 @@ from trialloom.model import Trials, trial_table
 from trialloom.plans.tables import running_total
 
 
+SIZE_STEP = 16  # ratio of lengths of neighbouring size classes
+MOST_CLASSES = 15
+
+
 def range_join(points: DataFrame, at: str, spans: DataFrame, lo: str = "start", hi: str = "stop", keys: list[str] | None = None, width: int | None = None) -> DataFrame:
     """Rows of ``points`` with every span that holds them, lo <= at < hi (one-to-many).
 
-    Spans are put into all buckets of ``width`` that they touch (by default
-    the median length), so that the join is an equi-join on bucket, whatever
-    the number of spans.  Nulls match nothing.
+    Spans are put into all buckets that they touch, so that the join is an
+    equi-join on bucket, whatever the number of spans.  Buckets are ``width``
+    wide (by default the median length) for spans up to that length, and 16
+    times as wide for each class of longer ones: a span touches 17 buckets at
+    most, and a point looks into one bucket of each class that there is.  Nulls
+    match nothing.
     """
     keys = keys or []
+    length = F.col(hi) - F.col(lo)
+    valid = spans.where(length > 0)
     if width is None:
-        width = spans.where(F.col(hi) > F.col(lo)).agg(F.percentile_approx(F.col(hi) - F.col(lo), 0.5)).first()[0]
-        width = max(1, int(width or 1))
-    s = spans.where(F.col(hi) > F.col(lo)).withColumn("bucket_", F.explode(F.sequence(F.floor(F.col(lo) / width), F.floor((F.col(hi) - 1) / width))))
-    p = points.withColumn("bucket_", F.floor(F.col(at) / width))
-    met = p.join(s, [*keys, "bucket_"])
-    return met.where((F.col(at) >= F.col(lo)) & (F.col(at) < F.col(hi))).drop("bucket_")
+        width = max(1, int(valid.agg(F.percentile_approx(length, 0.5)).first()[0] or 1))
+    size = F.ceil(F.log(F.greatest(length / width, F.lit(1.0))) / F.log(F.lit(float(SIZE_STEP))) - 1e-9)
+    classed = valid.withColumn("class_", F.least(size, F.lit(MOST_CLASSES)).cast("int"))
+    present = sorted(r[0] for r in classed.select("class_").distinct().collect())  # at most MOST_CLASSES + 1
+
+    def wide(c):
+        return F.lit(width) * F.pow(F.lit(float(SIZE_STEP)), c).cast("long")
+
+    s = classed.withColumn("bucket_", F.explode(F.sequence(F.floor(F.col(lo) / wide(F.col("class_"))), F.floor((F.col(hi) - 1) / wide(F.col("class_"))))))
+    looks = F.array(*[F.struct(F.lit(c).alias("class_"), F.floor(F.col(at) / wide(F.lit(c))).alias("bucket_")) for c in present or [0]])
+    p = points.where(F.col(at).isNotNull()).withColumn("look_", F.explode(looks)).select(*points.columns, "look_.class_", "look_.bucket_")
+    met = p.join(s, [*keys, "class_", "bucket_"])
+    return met.where((F.col(at) >= F.col(lo)) & (F.col(at) < F.col(hi))).drop("class_", "bucket_")
 
 
 def assign(data: Trials, every: bool = False) -> DataFrame:
@@ -55,14 +71,16 @@ def cut_recording(recording: DataFrame, spans: DataFrame, keys: list[str], sampl
 
 
 @frontend
-def definetrial(data: Trials, trialdefinition=None, pre=None, post=None, start=None, trigger=None, stop=None, clip_edges: bool = False, n_samples: int | None = None) -> Trials:
+def definetrial(data: Trials, trialdefinition=None, pre=None, post=None, start=None, trigger=None, stop=None, clip_edges: bool = False, n_samples: int | None = None, recording: str | None = None) -> Trials:
     """A new trial table: an array of rows (start, stop, t0, info ...), another object's trials, events, or one whole trial.
 
     Event codes ``start``, ``trigger`` and ``stop`` are matched in order of
     time: the next start, the next trigger after it, the next stop after the
     start; matched events are used up.  A single code repeats until no match
     is left, a list gives one entry per trial.  ``pre`` and ``post`` (seconds)
-    put borders around the trigger or beyond start and stop.
+    put borders around the trigger or beyond start and stop.  ``recording`` names
+    a column of the events; each recording is then matched by itself, and its
+    value follows the code in the info of its trials.
     """
     options = dict(pre=pre, post=post, start=start, trigger=trigger, stop=stop)
     if trialdefinition is None and all(v is None for v in options.values()):
@@ -74,21 +92,31 @@ def definetrial(data: Trials, trialdefinition=None, pre=None, post=None, start=N
             scaled = [F.round(F.col(c) * ratio).cast(t).alias(c) for c, t in (("start", "long"), ("stop", "long"), ("t0", "double"))]
             table = events.trials.select("trial_id", *scaled, "info")
         else:
-            table = match_events(events.facts, events.samplerate, data.samplerate, **options)
+            table = match_events(events.facts, events.samplerate, data.samplerate, **options, recording=recording)
     elif trialdefinition is not None:
         a = np.asarray(trialdefinition, float)
         if a.ndim != 2 or a.shape[1] < 3 or np.isnan(a[:, :2]).any() or (a[:, :2] != np.round(a[:, :2])).any() or (a[:, 1] <= a[:, 0]).any():
             raise ParameterError("a trial definition has rows (start, stop, offset, ...) with start before stop")
         table = trial_table(data.spark, a.tolist())
     elif data.kind == "event":
-        table = match_events(data.facts, data.samplerate, data.samplerate, **options)
+        table = match_events(data.facts, data.samplerate, data.samplerate, **options, recording=recording)
     else:
         raise ParameterError("trials of continuous data from events need the events")
+    if recording is not None and recording in table.columns:
+        table = _one_axis(table, recording)
     if clip_edges:
         table = clip(table, n_samples if n_samples is not None else _length(data))
     return data.having("trials defined", trials=table)
 
 
+def _one_axis(table: DataFrame, recording: str) -> DataFrame:
+    """Trials of recordings numbered over all of them; a recording's number is the last value of its trials' info."""
+    n = table.groupBy(recording).agg(F.count(F.lit(1)).alias("n"))
+    before = n.select(F.col(recording).alias("r_"), F.coalesce(F.sum("n").over(W.orderBy(recording).rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    met = table.join(before, F.col(recording).eqNullSafe(F.col("r_")))
+    return met.select((F.col("trial_id") + F.col("before")).cast("int").alias("trial_id"), "start", "stop", "t0", F.concat("info", F.array(F.col(recording).cast("double"))).alias("info"))
+
+
 def _length(data: Trials) -> int:
     r = data.trials.agg(F.max("stop")).first()[0]
     return int(r or 0)
@@ -113,20 +141,41 @@ def clip(table: DataFrame, n_samples: int | str) -> DataFrame:
     return out.select("trial_id", F.col("a").alias("start"), F.col("b").alias("stop"), (F.col("t0") + F.col("a") - F.col("start")).alias("t0"), "info")
 
 
-def trials_around(events: DataFrame, code: int, pre: float, post: float, samplerate: float) -> DataFrame:
-    """One trial around every event of a code: a projection, for matching by trigger alone."""
+def trials_around(events: DataFrame, code: int, pre: float, post: float, samplerate: float, keep: tuple[str, ...] = ()) -> DataFrame:
+    """One trial around every event of a code: a projection, for matching by trigger alone; with the events' columns ``keep``."""
     a, b = int(round(pre * samplerate)), int(round(post * samplerate))
-    hit = events.where(F.col("eventid") == code)
-    hit = running_total(hit.select("sample"), "sample", F.lit(1), "place", 1 << 22)
-    numbered = hit.select(F.col("place").cast("int").alias("trial_id"), (F.col("sample") - a).cast("long").alias("start"), (F.col("sample") + b).cast("long").alias("stop"))
-    return numbered.select("trial_id", "start", "stop", F.lit(float(-a)).alias("t0"), F.array(F.lit(float(code))).alias("info"))
+    hit = events.where((F.col("eventid") == code) & F.col("sample").isNotNull())
+    hit = running_total(hit.select("sample", *keep), "sample", F.lit(1), "place", 1 << 22)
+    numbered = hit.select(F.col("place").cast("int").alias("trial_id"), (F.col("sample") - a).cast("long").alias("start"), (F.col("sample") + b).cast("long").alias("stop"), *keep)
+    return numbered.select("trial_id", "start", "stop", F.lit(float(-a)).alias("t0"), F.array(F.lit(float(code))).alias("info"), *keep)
+
+
+class _Unused:
+    """Ordered places of the events of one code, of which the next unused one is found without looking at used ones."""
+
+    def __init__(self, places: np.ndarray):
+        self.places = places
+        self.next = np.arange(len(places) + 1)
+
+    def after(self, place: int) -> int | None:
+        i = int(np.searchsorted(self.places, place, "right"))
+        root = i
+        while self.next[root] != root:
+            root = int(self.next[root])
+        while self.next[i] != root:
+            self.next[i], i = root, int(self.next[i])
+        return int(self.places[root]) if root < len(self.places) else None
+
+    def use(self, place: int) -> None:
+        i = int(np.searchsorted(self.places, place))
+        self.next[i] = i + 1
 
 
 def match_events(events: DataFrame, rate: float, target: float, pre=None, post=None, start=None, trigger=None, stop=None, recording: str | None = None) -> DataFrame:
     """Trials from coded events, each recording by itself (T4).
 
     The match runs along time and uses events up, so it is sequential within
-    a recording; recordings run in parallel.  Only time and code of events
+    a recording, in time linear in its events; recordings run in parallel.  Only time and code of events
     whose code is asked for reach it.  Without ``recording`` all events are one
     recording.  Info of a trial is its trigger's code (NaN without).
     """
@@ -154,12 +203,10 @@ def match_events(events: DataFrame, rate: float, target: float, pre=None, post=N
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["sample", "eventid"])
         at, code = pdf["sample"].to_numpy(), pdf["eventid"].to_numpy()
-        free = np.ones(len(at), bool)
+        unused = {c: _Unused(np.flatnonzero(code == c)) for c in codes}
 
         def following(c, after_i):
-            hits = np.flatnonzero(free & (code == c))
-            hits = hits[hits > after_i]
-            return int(hits[0]) if len(hits) else None
+            return unused[c].after(after_i)
 
         rows, k = [], 0
         while n_specs is None or k < n_specs:
@@ -178,7 +225,7 @@ def match_events(events: DataFrame, rate: float, target: float, pre=None, post=N
             rows.append((pdf[key].iloc[0], int(first), int(last), float(first - round(at[zero] * ratio)), [float(code[j])] if j is not None else [float("nan")]))
             for x in (i, j, m):
                 if x is not None:
-                    free[x] = False
+                    unused[int(code[x])].use(x)
             k += 1
         return pd.DataFrame(rows, columns=[key, "start", "stop", "t0", "info"])
 

@@ -1,7 +1,7 @@
 """Queries of the toolkit's own operators over the driver's tables, with their SQL.
 
-Readings are those of ``analog_long`` that count: each key once, finite, and
-below 9000 in size.  Trials are the distinct, non-empty rows of ``trial``.
+Readings are those of ``analog_long`` that are numbers (neither null, NaN nor
+infinite), each key once.  Trials are the distinct, non-empty rows of ``trial``.
 Embeddings serve as equally long trials: 64 samples of one channel, or 8
 samples of 8 channels.  Results are rounded, as sums depend on their order.
 """
@@ -12,7 +12,6 @@ from functools import reduce
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from trialloom.kernels import filters
@@ -50,11 +49,21 @@ def r(c, digits: int = DIGITS):
     return F.round(F.col(c) if isinstance(c, str) else c, digits)
 
 
+def big(c, digits: int = DIGITS):
+    """Rounded to ``digits`` below a million, to nine figures beyond: the order of a sum shows in the last figures."""
+    c = F.col(c) if isinstance(c, str) else c
+    return F.when(F.abs(c) < 1e6, F.round(c, digits)).otherwise(F.format_string("%.8e", c.cast("double")).cast("double"))
+
+
+def big_sql(expr: str, digits: int = DIGITS) -> str:
+    return f"(CASE WHEN abs({expr}) < 1e6 THEN round({expr}, {digits}) ELSE CAST(printf('%.8e', CAST({expr} AS DOUBLE)) AS DOUBLE) END)"
+
+
 # --- the tables as objects ---------------------------------------------------------------------------------------
 
 READINGS = """readings AS (
   SELECT recording_id, channel_id, sample, max(value) AS value FROM analog_long
-  WHERE value IS NOT NULL AND NOT isnan(value) AND abs(value) < 9000 GROUP BY recording_id, channel_id, sample)"""
+  WHERE value IS NOT NULL AND NOT isnan(value) AND NOT isinf(value) GROUP BY recording_id, channel_id, sample)"""
 TRIALS = "trials AS (SELECT DISTINCT trial_id, recording_id, start, stop, t0 FROM trial WHERE start < stop)"
 CUT = f"""{READINGS}, {TRIALS}, cut AS (
   SELECT t.trial_id, t.recording_id, a.sample - t.start AS sample, a.channel_id, a.value
@@ -64,7 +73,7 @@ EMB8 = "e AS (SELECT vec_id AS trial_id, (i - 1) % 8 AS sample, (i - 1) // 8 AS
 
 
 def readings(spark: SparkSession, sf: str) -> DataFrame:
-    ok = F.col("value").isNotNull() & ~F.isnan("value") & (F.abs("value") < 9000)
+    ok = F.col("value").isNotNull() & ~F.isnan("value") & (F.abs("value") != float("inf"))
     return table(spark, sf, "analog_long").where(ok).groupBy("recording_id", "channel_id", "sample").agg(F.max("value").alias("value"))
 
 
@@ -160,6 +169,13 @@ def s13_synthetic(spark, sf):
     return concat_trials(parts).facts
 
 
+@query("""WITH g AS (SELECT t AS trial_id, c AS channel_id, i AS sample FROM unnest(range(0, 8)) u(t), unnest(range(0, 2)) v(c), unnest(range(0, 200)) w(i))
+SELECT trial_id, sample, channel_id, round(CASE WHEN trial_id < 4 THEN cos(2 * pi() * 20 * sample / 1000) ELSE sample / 199 END, 6) + 0.0 AS value FROM g""")
+def s13_synthetic_without_noise(spark, sf):
+    x = concat_trials([synthetic.harmonic(spark, 20, 4, 200), synthetic.linear_trend(spark, 4, 200)])
+    return x.facts.select("trial_id", "sample", "channel_id", (r("value", 6) + 0.0).alias("value"))
+
+
 @query()
 def s13_poisson(spark, sf):
     return synthetic.poisson_noise(spark, seed=42).facts
@@ -168,14 +184,12 @@ def s13_poisson(spark, sf):
 @query("""
 WITH m AS (SELECT recording_id, trigger_timestamp AS time, trigger_code AS code, row_number() OVER (PARTITION BY recording_id, trigger_code ORDER BY trigger_timestamp, trig_id) AS i
   FROM (SELECT DISTINCT trig_id, recording_id, trigger_timestamp, trigger_code FROM trigger_mark WHERE trigger_timestamp IS NOT NULL AND trigger_code IN (12, 90)))
-SELECT a.recording_id, a.i, CAST(round(a.time * 1000) AS BIGINT) AS start, CAST(round(b.time * 1000) AS BIGINT) AS stop FROM m a JOIN m b ON a.recording_id = b.recording_id AND a.i = b.i AND a.code = 12 AND b.code = 90
+SELECT a.recording_id, CAST(a.i AS INT) AS i, CAST(round(a.time * 1000) AS BIGINT) AS start, CAST(round(b.time * 1000) AS BIGINT) AS stop FROM m a JOIN m b ON a.recording_id = b.recording_id AND a.i = b.i AND a.code = 12 AND b.code = 90
 """)
 def s7_paired_marks(spark, sf):
-    m = table(spark, sf, "trigger_mark").where("trigger_timestamp IS NOT NULL").select("trig_id", "recording_id", "trigger_timestamp", "trigger_code").distinct().where(F.col("trigger_code").isin(12, 90))
-    n = m.withColumn("i", F.row_number().over(W.partitionBy("recording_id", "trigger_code").orderBy("trigger_timestamp", "trig_id")))
-    a = n.where("trigger_code = 12").select("recording_id", "i", r(F.col("trigger_timestamp") * 1000, 0).cast("long").alias("start"))
-    b = n.where("trigger_code = 90").select("recording_id", "i", r(F.col("trigger_timestamp") * 1000, 0).cast("long").alias("stop"))
-    return a.join(b, ["recording_id", "i"])
+    m = table(spark, sf, "trigger_mark").select("trig_id", "recording_id", F.col("trigger_timestamp").alias("time"), F.col("trigger_code").alias("code")).distinct()
+    both = raw.paired_trials(m, 12, 90, 1000.0, ["recording_id"])
+    return both.select("recording_id", (F.col("trial_id") + 1).alias("i"), "start", "stop")
 
 
 # --- selection (P) -------------------------------------------------------------------------------------------------
@@ -253,9 +267,9 @@ def p7_frequency_range(spark, sf):
 # --- trials (T) and joins (J) --------------------------------------------------------------------------------------
 
 
-@query(f"WITH {CUT} SELECT trial_id, channel_id, count(*) AS n, min(sample) AS lo, max(sample) AS hi, round(sum(value), 3) AS total FROM cut GROUP BY trial_id, channel_id")
+@query(f"WITH {CUT} SELECT trial_id, channel_id, count(*) AS n, min(sample) AS lo, max(sample) AS hi, {big_sql('sum(value)', 3)} AS total FROM cut GROUP BY trial_id, channel_id")
 def j1_trials_of_recordings(spark, sf):
-    return cut(spark, sf).groupBy("trial_id", "channel_id").agg(F.count(F.lit(1)).alias("n"), F.min("sample").alias("lo"), F.max("sample").alias("hi"), r(F.sum("value"), 3).alias("total"))
+    return cut(spark, sf).groupBy("trial_id", "channel_id").agg(F.count(F.lit(1)).alias("n"), F.min("sample").alias("lo"), F.max("sample").alias("hi"), big(F.sum("value"), 3).alias("total"))
 
 
 @query(f"WITH {SPIKES} SELECT 0 AS trial_id, min(sample) AS start, max(sample) AS stop FROM spk")
@@ -273,28 +287,32 @@ def t3_trials_at_other_rate(spark, sf):
 @query("""WITH ev AS (SELECT trig_id, min(recording_id) AS recording_id, min(trigger_sample) AS sample, min(trigger_code) AS code FROM trigger_mark WHERE trigger_code IS NOT NULL AND trigger_sample IS NOT NULL GROUP BY trig_id)
 SELECT recording_id, sample - 20 AS start, sample + 40 AS stop, CAST(-20 AS DOUBLE) AS t0, trig_id FROM ev WHERE code = 90""")
 def t4_trials_around_triggers(spark, sf):
-    ev = table(spark, sf, "trigger_mark").where("trigger_code = 90 AND trigger_sample IS NOT NULL").dropDuplicates(["trig_id"])
-    return ev.select("recording_id", (F.col("trigger_sample") - 20).alias("start"), (F.col("trigger_sample") + 40).alias("stop"), F.lit(-20.0).alias("t0"), "trig_id")
-
-
-@query()
+    ev = table(spark, sf, "trigger_mark").dropDuplicates(["trig_id"]).select("recording_id", F.col("trigger_sample").alias("sample"), F.col("trigger_code").alias("eventid"), "trig_id")
+    return tr.trials_around(ev, 90, 0.5, 1.0, 40.0, ("recording_id", "trig_id")).select("recording_id", "start", "stop", "t0", "trig_id")
+
+
+@query("""WITH RECURSIVE ev AS (SELECT trig_id, min(recording_id) AS rec, min(trigger_sample) AS s, min(trigger_code) AS c FROM trigger_mark WHERE trigger_code IS NOT NULL AND trigger_sample IS NOT NULL GROUP BY trig_id),
+o AS (SELECT rec, s, c, row_number() OVER (PARTITION BY rec ORDER BY s, c, trig_id) AS p FROM ev WHERE c IN (12, 90, 230)),
+l AS (SELECT rec, list(p ORDER BY p) FILTER (c = 12) AS a, list(p ORDER BY p) FILTER (c = 90) AS b, list(p ORDER BY p) FILTER (c = 230) AS e FROM o GROUP BY rec),
+m AS (
+  SELECT rec, a, b, e, 0 AS k, CAST(0 AS BIGINT) AS i, CAST(0 AS BIGINT) AS j, CAST(0 AS BIGINT) AS h FROM l
+  UNION ALL
+  SELECT rec, a, b, e, k + 1, i2, j2, list_min(list_filter(e, lambda x: x > i2 AND x > h)) FROM (
+    SELECT rec, a, b, e, k, h, i2, list_min(list_filter(b, lambda x: x > i2 AND x > j)) AS j2 FROM (
+      SELECT rec, a, b, e, k, j, h, a[k + 1] AS i2 FROM m WHERE k < len(a) AND j IS NOT NULL AND h IS NOT NULL))),
+f AS (SELECT m.rec, x.s - 20 AS start, z.s AS stop, CAST(x.s - 20 - y.s AS DOUBLE) AS t0 FROM m JOIN o x ON x.rec = m.rec AND x.p = i JOIN o y ON y.rec = m.rec AND y.p = j JOIN o z ON z.rec = m.rec AND z.p = h WHERE k > 0)
+SELECT rec AS recording_id, CAST(row_number() OVER (PARTITION BY rec ORDER BY start, stop) - 1 AS INT) AS trial_id, start, stop, t0, CAST(90 AS DOUBLE) AS code FROM f""")
 def t4_matched_events(spark, sf):
     ev = table(spark, sf, "trigger_mark").where("trigger_code IS NOT NULL AND trigger_sample IS NOT NULL").dropDuplicates(["trig_id"])
     slim = ev.select("recording_id", F.col("trigger_sample").alias("sample"), F.col("trigger_code").alias("eventid"))
-    return tr.match_events(slim, 40.0, 40.0, pre=0.5, start=12, trigger=90, stop=230, recording="recording_id")
-
-
-@query(f"WITH {SPANS} SELECT trial_id, greatest(start, 20000) AS start, least(stop, 200000) AS stop FROM sp WHERE greatest(start, 20000) < least(stop, 200000)")
-def t5_clipped(spark, sf):
-    t = spikes(spark, sf).trials.where("stop > 20000 AND start < 200000")
-    shifted = t.select("trial_id", (F.col("start") - 20000).alias("start"), (F.col("stop") - 20000).alias("stop"), "t0", "info")
-    return tr.clip(shifted, 180000).select("trial_id", (F.col("start") + 20000).alias("start"), (F.col("stop") + 20000).alias("stop"))
+    found = tr.match_events(slim, 40.0, 40.0, pre=0.5, start=12, trigger=90, stop=230, recording="recording_id")
+    return found.select("recording_id", "trial_id", "start", "stop", "t0", F.col("info")[0].alias("code"))
 
 
 @query(f"""WITH {TRIALS}, len AS (SELECT recording_id, max(n_samples) AS n FROM recording GROUP BY recording_id)
 SELECT trial_id, t.recording_id, greatest(start, 0) AS start, least(stop, n) AS stop, t0 + greatest(start, 0) - start AS t0 FROM trials t LEFT JOIN len l ON l.recording_id = t.recording_id""")
-def t5_clipped_recordings(spark, sf):
-    """Every trial cut to its own recording; ``t5_clipped`` keeps to its SQL's window of ids."""
+def t5_clipped(spark, sf):
+    """Every trial cut to its own recording."""
     lengths = table(spark, sf, "recording").groupBy("recording_id").agg(F.max("n_samples").alias("n"))
     t = spans(spark, sf).join(lengths, "recording_id", "left").withColumn("info", F.array(F.col("recording_id").cast("double")))
     return tr.clip(t, "n").select("trial_id", F.col("info")[0].cast("int").alias("recording_id"), "start", "stop", "t0")
@@ -320,10 +338,10 @@ def t7_minlength_offset(spark, sf):
 # --- arithmetic (M) ------------------------------------------------------------------------------------------------
 
 
-@query(f"WITH {READINGS} SELECT channel_id, round(sum(3 - 2 * value), 2) AS total, round(max(abs(3 - 2 * value)), 4) AS top, count(*) AS n FROM readings GROUP BY channel_id")
+@query(f"WITH {READINGS} SELECT channel_id, {big_sql('sum(3 - 2 * value)', 2)} AS total, {big_sql('max(abs(3 - 2 * value))')} AS top, count(*) AS n FROM readings GROUP BY channel_id")
 def m2_scalar(spark, sf):
     x = 3 - recordings(spark, sf) * 2
-    return x.facts.groupBy("channel_id").agg(r(F.sum("value"), 2).alias("total"), r(F.max(F.abs("value"))).alias("top"), F.count(F.lit(1)).alias("n"))
+    return x.facts.groupBy("channel_id").agg(big(F.sum("value"), 2).alias("total"), big(F.max(F.abs("value"))).alias("top"), F.count(F.lit(1)).alias("n"))
 
 
 @query(f"WITH {EMB8} SELECT trial_id, sample, channel_id, round(value * (channel_id + 1), 6) AS value FROM e")
@@ -359,22 +377,22 @@ def m6_equal(spark, sf):
 
 
 def _axis_sql(expr: str) -> str:
-    return f"WITH {READINGS} SELECT recording_id AS trial_id, channel_id, round({expr}, 4) AS value FROM readings GROUP BY recording_id, channel_id"
+    return f"WITH {READINGS} SELECT recording_id AS trial_id, channel_id, {big_sql(expr)} AS value FROM readings GROUP BY recording_id, channel_id"
 
 
 @query(_axis_sql("avg(value)"))
 def a1_mean_time(spark, sf):
-    return st.mean.plain(recordings(spark, sf), "time").facts.select("trial_id", "channel_id", r("value").alias("value"))
+    return st.mean.plain(recordings(spark, sf), "time").facts.select("trial_id", "channel_id", big("value").alias("value"))
 
 
 @query(_axis_sql("stddev_pop(value)"))
 def a2_std_time(spark, sf):
-    return st.std.plain(recordings(spark, sf), "time").facts.select("trial_id", "channel_id", r("value").alias("value"))
+    return st.std.plain(recordings(spark, sf), "time").facts.select("trial_id", "channel_id", big("value").alias("value"))
 
 
 @query(_axis_sql("median(value)"))
 def a4_median_time(spark, sf):
-    return st.median.plain(recordings(spark, sf), "time").facts.select("trial_id", "channel_id", r("value").alias("value"))
+    return st.median.plain(recordings(spark, sf), "time").facts.select("trial_id", "channel_id", big("value").alias("value"))
 
 
 @query(f"WITH {EMB8} SELECT sample, channel_id, round(var_pop(value), 6) AS value FROM e GROUP BY sample, channel_id")
@@ -439,14 +457,21 @@ def a11_a12_psth_rates(spark, sf):
     return full.groupBy("channel", "unit", "bin").agg(r(F.avg("rate"), 6).alias("rate"), r(F.var_pop("rate"), 6).alias("var"), F.count(F.lit(1)).alias("trials"))
 
 
-@query()
+@query(f"""WITH {SPIKES}, {SPANS},
+c AS (SELECT channel, unit, CAST(row_number() OVER (ORDER BY channel, unit) - 1 AS INT) AS channel_id FROM (SELECT DISTINCT channel, unit FROM spk WHERE channel IS NOT NULL)), b AS (SELECT unnest(range(0, {_BINS})) AS bin),
+h AS (SELECT t.trial_id, k.channel, k.unit, CAST(floor(((k.sample - t.start + t.t0) / 40.0 - ({_LO})) / {_WIDTH}) AS INT) AS raw, (k.sample - t.start + t.t0) / 40.0 AS time FROM spk k JOIN sp t ON k.sample >= t.start AND k.sample < t.stop),
+n AS (SELECT trial_id, channel, unit, CASE WHEN time = {_LO + _BINS * _WIDTH} THEN {_BINS - 1} ELSE raw END AS bin, count(*) AS n FROM h GROUP BY ALL),
+g AS (SELECT b.bin, c.channel_id, CASE WHEN {_LO} + b.bin * {_WIDTH} >= sp.t0 / 40 - 1e-9 AND {_LO} + (b.bin + 1) * {_WIDTH} <= (sp.stop - sp.start + sp.t0) / 40 + 1e-9 THEN coalesce(n.n, 0) / {_WIDTH} END AS rate
+  FROM sp CROSS JOIN c CROSS JOIN b LEFT JOIN n ON n.trial_id = sp.trial_id AND n.channel = c.channel AND n.unit = c.unit AND n.bin = b.bin)
+SELECT bin AS sample, channel_id, round(avg(rate), 6) AS rate FROM g GROUP BY bin, channel_id""")
 def a11_psth_frontend(spark, sf):
-    return st.spike_psth.plain(spikes(spark, sf), binsize=0.25, latency=[-0.25, 1.75]).extras["avg"]
+    found = st.spike_psth.plain(spikes(spark, sf), binsize=_WIDTH, latency=[_LO, _LO + _BINS * _WIDTH]).extras["avg"]
+    return found.select("sample", "channel_id", r("avg", 6).alias("rate"))
 
 
 @query(f"WITH {SPIKES} SELECT DISTINCT channel, unit FROM spk")
 def a13_channel_units(spark, sf):
-    return spikes(spark, sf).facts.select("channel", "unit").distinct()
+    return st.channel_units(spikes(spark, sf))
 
 
 @query("SELECT 63 AS edges, 32 AS rice, 64 AS root")
@@ -467,7 +492,7 @@ def a15_a16_jackknife(spark, sf):
 
 @query(f"WITH {EVENTS} SELECT DISTINCT eventid FROM ev")
 def a17_event_codes(spark, sf):
-    return events(spark, sf).facts.select("eventid").distinct()
+    return st.event_codes(events(spark, sf))
 
 
 # --- preprocessing (F) ---------------------------------------------------------------------------------------------
@@ -477,12 +502,12 @@ _W = "OVER (PARTITION BY recording_id, channel_id)"
 
 def _series_sql(expr: str, extra: str = "") -> str:
     return f"""WITH {READINGS}, d AS (SELECT recording_id, channel_id, sample, {expr} AS v FROM readings)
-SELECT recording_id AS trial_id, channel_id, count(*) AS n, round(min(v), 3) AS lo, round(max(v), 3) AS hi, round(avg(v * v), 2) AS power FROM d {extra} GROUP BY recording_id, channel_id"""
+SELECT recording_id AS trial_id, channel_id, count(*) AS n, {big_sql('min(v)', 3)} AS lo, {big_sql('max(v)', 3)} AS hi, {big_sql('avg(v * v)', 2)} AS power FROM d {extra} GROUP BY recording_id, channel_id"""
 
 
 def _series(df: DataFrame) -> DataFrame:
     v = F.col("value")
-    return df.groupBy("trial_id", "channel_id").agg(F.count(F.lit(1)).alias("n"), r(F.min(v), 3).alias("lo"), r(F.max(v), 3).alias("hi"), r(F.avg(v * v), 2).alias("power"))
+    return df.groupBy("trial_id", "channel_id").agg(F.count(F.lit(1)).alias("n"), big(F.min(v), 3).alias("lo"), big(F.max(v), 3).alias("hi"), big(F.avg(v * v), 2).alias("power"))
 
 
 @query(_series_sql(f"value - avg(value) {_W}"))
@@ -513,10 +538,10 @@ def f9_nan_trials(spark, sf):
     return pp.nan_trials(x)
 
 
-@query(f"WITH {READINGS} SELECT recording_id AS trial_id, sample // 5 AS sample, channel_id, round(value, 4) AS value FROM readings WHERE sample % 5 = 0")
+@query(f"WITH {READINGS} SELECT recording_id AS trial_id, sample // 5 AS sample, channel_id, {big_sql('value')} AS value FROM readings WHERE sample % 5 = 0")
 def f11_downsampled(spark, sf):
     x = pp.resampledata.plain(recordings(spark, sf), 8.0, method="downsample")
-    return x.facts.select("trial_id", "sample", "channel_id", r("value").alias("value"))
+    return x.facts.select("trial_id", "sample", "channel_id", big("value").alias("value"))
 
 
 @query("SELECT recording_id AS trial_id, CAST(0 AS BIGINT) AS start, CAST(ceil(n_samples * 0.625 - 1e-9) AS BIGINT) AS stop FROM recording")
@@ -534,7 +559,17 @@ def f2_butterworth(spark, sf):
     return by_rate(spark, sf, filtered)
 
 
-@query()
+_SERIES = f"""{READINGS}, s AS (SELECT recording_id, channel_id, CAST(row_number() OVER (PARTITION BY recording_id, channel_id ORDER BY sample) - 1 AS INT) AS i, value, samplerate AS fs
+  FROM readings JOIN (SELECT recording_id, max(samplerate) AS samplerate FROM recording WHERE samplerate > 0 GROUP BY recording_id) USING (recording_id)),
+len AS (SELECT recording_id, channel_id, max(fs) AS fs, CAST(count(*) AS INT) AS n FROM s GROUP BY recording_id, channel_id)"""
+
+
+@query(f"""WITH {_SERIES},
+k0 AS (SELECT fs, lag, CASE WHEN lag = 0 THEN 16 / fs ELSE sin(2 * pi() * 8 / fs * lag) / (pi() * lag) END * (0.54 + 0.46 * cos(2 * pi() * lag / 40)) AS w FROM (SELECT DISTINCT fs FROM s), (SELECT unnest(range(-20, 21)) AS lag)),
+k AS (SELECT fs, lag, w / sum(w) OVER (PARTITION BY fs) AS w FROM k0),
+once AS (SELECT s.recording_id, s.channel_id, s.fs, s.i + k.lag AS i, sum(s.value * k.w) AS v FROM s JOIN k ON k.fs = s.fs JOIN len l ON l.recording_id = s.recording_id AND l.channel_id = s.channel_id WHERE s.i + k.lag BETWEEN 0 AND l.n - 1 GROUP BY ALL),
+d AS (SELECT o.recording_id, o.channel_id, o.fs, o.i + k.lag AS i, sum(o.v * k.w) AS v FROM once o JOIN k ON k.fs = o.fs JOIN len l ON l.recording_id = o.recording_id AND l.channel_id = o.channel_id WHERE o.i + k.lag BETWEEN 0 AND l.n - 1 GROUP BY ALL)
+SELECT recording_id AS trial_id, channel_id, count(*) AS n, {big_sql('min(v)', 3)} AS lo, {big_sql('max(v)', 3)} AS hi, {big_sql('avg(v * v)', 2)} AS power, fs AS samplerate FROM d GROUP BY recording_id, channel_id, fs""")
 def f3_f4_windowed_sinc(spark, sf):
     return by_rate(spark, sf, lambda rate: _series(pp.preprocessing.plain(recordings(spark, sf, rate), filter_class="firws", filter_type="lp", freq=8, order=40).facts))
 
@@ -546,7 +581,12 @@ def f3_short_kernel(spark, sf):
     return x.facts.select("trial_id", "sample", r("value", 6).alias("value"))
 
 
-@query()
+@query(f"""WITH {READINGS}, s AS (SELECT recording_id, channel_id, CAST(row_number() OVER (PARTITION BY recording_id, channel_id ORDER BY sample) - 1 AS INT) AS i, value FROM readings),
+len AS (SELECT recording_id, channel_id, CAST(count(*) AS INT) AS n FROM s GROUP BY recording_id, channel_id),
+h AS (SELECT n, m, CASE WHEN n % 2 = 0 THEN (1 - cos(pi() * m)) / (n * tan(pi() * m / n)) ELSE (1 / tan(pi() * m / n) - cos(pi() * m) / sin(pi() * m / n)) / n END AS w FROM (SELECT DISTINCT n FROM len), LATERAL (SELECT unnest(range(1, n)) AS m)),
+im AS (SELECT s.recording_id, s.channel_id, (s.i + h.m) % l.n AS i, sum(s.value * h.w) AS v FROM s JOIN len l USING (recording_id, channel_id) JOIN h ON h.n = l.n GROUP BY ALL),
+d AS (SELECT s.recording_id, s.channel_id, sqrt(s.value * s.value + coalesce(im.v, 0) * coalesce(im.v, 0)) AS v FROM s LEFT JOIN im ON im.recording_id = s.recording_id AND im.channel_id = s.channel_id AND im.i = s.i)
+SELECT recording_id AS trial_id, channel_id, count(*) AS n, {big_sql('min(v)', 3)} AS lo, {big_sql('max(v)', 3)} AS hi, {big_sql('avg(v * v)', 2)} AS power FROM d GROUP BY recording_id, channel_id""")
 def f8_hilbert(spark, sf):
     return _series(pp.preprocessing.plain(recordings(spark, sf), filter_class=None, hilbert="abs").facts)
 
@@ -605,29 +645,67 @@ def q1_q3_multitaper(spark, sf):
     return by_rate(spark, sf, powers)
 
 
-@query()
+_WINDOWS = f"""{_SERIES}, rate AS (SELECT DISTINCT fs, CAST(round(2 * fs) AS INT) AS w FROM s),
+hann AS (SELECT fs, w, k, 0.5 - 0.5 * cos(2 * pi() * k / (w - 1)) AS h FROM rate, LATERAL (SELECT unnest(range(0, w)) AS k)),
+taper AS (SELECT fs, w, k, h * sqrt(w / sum(h) OVER (PARTITION BY fs)) * sqrt(4 / 3.0) AS h FROM hann),
+bin AS (SELECT fs, w, k, f, h * cos(2 * pi() * ((f * k) % w) / w) AS c, h * sin(2 * pi() * ((f * k) % w) / w) AS q FROM taper, LATERAL (SELECT unnest(range(0, w // 2 + 1)) AS f)),
+flat AS (SELECT fs, f, sum(c) AS c, sum(q) AS q FROM bin GROUP BY fs, f),
+centre AS (SELECT l.recording_id, l.channel_id, l.fs, r.w, t FROM len l JOIN rate r ON r.fs = l.fs, LATERAL (SELECT unnest(range(0, l.n, greatest(1, r.w - r.w // 2))) AS t)),
+cell AS (SELECT c.recording_id, c.channel_id, c.fs, c.w, c.t, s.i - c.t + c.w // 2 AS k, s.value FROM centre c JOIN s ON s.recording_id = c.recording_id AND s.channel_id = c.channel_id AND s.i >= c.t - c.w // 2 AND s.i < c.t - c.w // 2 + c.w),
+level AS (SELECT recording_id, channel_id, t, sum(value) / max(w) AS m FROM cell GROUP BY ALL),
+z AS (SELECT x.recording_id, x.channel_id, x.fs, x.w, x.t, b.f, sum(x.value * b.c) AS c, sum(x.value * b.q) AS q FROM cell x JOIN bin b ON b.fs = x.fs AND b.k = x.k GROUP BY ALL),
+p AS (SELECT z.recording_id, z.channel_id, z.fs, z.f, ((z.c - l.m * e.c) * (z.c - l.m * e.c) + (z.q - l.m * e.q) * (z.q - l.m * e.q)) * 2.0 / (z.w * z.w) AS power
+  FROM z JOIN level l ON l.recording_id = z.recording_id AND l.channel_id = z.channel_id AND l.t = z.t JOIN flat e ON e.fs = z.fs AND e.f = z.f)
+SELECT recording_id AS trial_id, channel_id, f AS freq_id, {big_sql('avg(power)')} AS power, fs AS samplerate FROM p GROUP BY recording_id, channel_id, f, fs"""
+
+
+def _powers(df: DataFrame) -> DataFrame:
+    return df.groupBy("trial_id", "channel_id", "freq_id").agg(big(F.avg("re")).alias("power"))
+
+
+@query(f"WITH {_WINDOWS}")
 def q5_mtmconvol(spark, sf):
-    return by_rate(spark, sf, lambda rate: sp.freqanalysis.plain(recordings(spark, sf, rate), method="mtmconvol", t_ftimwin=2.0, toi=0.5, taper="hann").facts.groupBy("trial_id", "channel_id", "freq_id").agg(F.avg("re").alias("power")))
+    return by_rate(spark, sf, lambda rate: _powers(sp.freqanalysis.plain(recordings(spark, sf, rate), method="mtmconvol", t_ftimwin=2.0, toi=0.5, taper="hann").facts))
 
 
-@query()
+@query(f"WITH {_WINDOWS}")
 def q6_welch(spark, sf):
-    return by_rate(spark, sf, lambda rate: sp.freqanalysis.plain(recordings(spark, sf, rate), method="welch", t_ftimwin=2.0, toi=0.5, taper="hann").facts)
+    return by_rate(spark, sf, lambda rate: _powers(sp.freqanalysis.plain(recordings(spark, sf, rate), method="welch", t_ftimwin=2.0, toi=0.5, taper="hann").facts))
 
 
-@query()
+def _transform_sql(scales: str, span: str, re: str, im: str, last: str) -> str:
+    """Convolution of the 64 samples of each trial, less their mean, with one filter for each row of ``scales`` (freq_id, s); t is a tap's time."""
+    return f"""WITH {EMB64}, x AS (SELECT trial_id, sample, value - avg(value) OVER (PARTITION BY trial_id) AS v FROM e), sc AS ({scales}),
+tap AS (SELECT *, CAST(ceil({span} - 1e-9) AS INT) AS taps, {span} AS span FROM sc), tt AS (SELECT tap.*, j, (j - (span - 1) / 2) / 64 AS t, j - (taps - 1) // 2 AS lag FROM tap, LATERAL (SELECT unnest(range(0, taps)) AS j)),
+k AS (SELECT * EXCLUDE (j, t, taps, span), {re} AS re, {im} AS im FROM tt WHERE abs(lag) < 64),
+z AS (SELECT x.trial_id, x.sample + k.lag AS time_idx, k.* EXCLUDE (lag, re, im), sum(x.v * k.re) AS re, sum(x.v * k.im) AS im FROM x JOIN k ON x.sample + k.lag BETWEEN 0 AND 63 GROUP BY ALL)
+{last}"""
+
+
+_POWER = "SELECT trial_id, time_idx, freq_id, round(re * re + im * im, 6) AS power FROM z"
+
+
+def _cells(x: Trials) -> DataFrame:
+    return x.facts.select("trial_id", "time_idx", "freq_id", r("re", 6).alias("power"))
+
+
+@query(_transform_sql("SELECT * FROM (SELECT unnest(range(0, 4)) AS freq_id, unnest([4, 8, 16, 24]) AS f), LATERAL (SELECT 1 / (f * 4 * pi() / (6 + sqrt(38))) AS s)", "10 * s * 64",
+    "pow(pi(), -0.25) * (cos(6 * t / s) - exp(-18)) * exp(-0.5 * (t / s) * (t / s)) / (8 * pi() * s * 8)", "pow(pi(), -0.25) * sin(6 * t / s) * exp(-0.5 * (t / s) * (t / s)) / (8 * pi() * s * 8)", _POWER))
 def q7_q8_wavelet(spark, sf):
-    return sp.freqanalysis.plain(emb64(spark, sf), method="wavelet", foi=[4, 8, 16, 24]).facts
+    return _cells(sp.freqanalysis.plain(emb64(spark, sf), method="wavelet", foi=[4, 8, 16, 24]))
 
 
-@query()
+@query(_transform_sql("SELECT n - 1 - i AS freq_id, s0 * pow(2, i / 4.0) AS s FROM (SELECT s0, CAST(floor(4 * log2(1 / s0)) AS INT) + 1 AS n FROM (SELECT 2 / 64.0 * sqrt(2.5) / (2 * pi()) AS s0)), LATERAL (SELECT unnest(range(0, n)) AS i)", "10 * s * 64",
+    "(1 - (t / s) * (t / s)) * exp(-0.5 * (t / s) * (t / s)) / sqrt(gamma(2.5)) / (8 * pi() * s * 8)", "0.0", _POWER))
 def q9_wavelet_default_scales(spark, sf):
-    return sp.freqanalysis.plain(emb64(spark, sf), method="wavelet", wavelet="Ricker").facts
+    return _cells(sp.freqanalysis.plain(emb64(spark, sf), method="wavelet", wavelet="Ricker"))
 
 
-@query()
+@query(_transform_sql("SELECT freq_id, f, o, 1.0 / (freq_id + 1) AS part, 3.0 * o / (5 * f) AS s FROM (SELECT unnest(range(0, 4)) AS freq_id, unnest([8, 12, 16, 20]) AS f), LATERAL (SELECT unnest(range(1, freq_id + 2)) AS o)", "10 * 3 * o * 64 / (2 * pi() * f)",
+    "cos(2 * pi() * f * t) * exp(-0.5 * (t / s) * (t / s)) / (4 * pi() * sqrt(2 * pi() * 64) * s)", "sin(2 * pi() * f * t) * exp(-0.5 * (t / s) * (t / s)) / (4 * pi() * sqrt(2 * pi() * 64) * s)",
+    "SELECT trial_id, time_idx, freq_id, round(exp(sum(part * ln(re * re + im * im))), 6) AS power FROM z GROUP BY trial_id, time_idx, freq_id"))
 def q11_superlet(spark, sf):
-    return sp.freqanalysis.plain(emb64(spark, sf), method="superlet", foi=[8, 12, 16, 20], order_max=4, adaptive=True).facts
+    return _cells(sp.freqanalysis.plain(emb64(spark, sf), method="superlet", foi=[8, 12, 16, 20], order_max=4, adaptive=True))
 
 
 @query()

@@ -109,18 +109,24 @@ def salted_rank(df: DataFrame, group: list[str], order: list[str], rank: str, sa
 CHUNK = 65_536
 
 
-def running_total(df: DataFrame, order: str, value: Column | str, name: str, width: int = CHUNK) -> DataFrame:
-    """Add ``name``: the sum of ``value`` over the rows before, by the whole number ``order`` (null first).
+def running_total(df: DataFrame, order: str, value: Column | str, name: str, width: int = CHUNK, keys: list[str] | None = None) -> DataFrame:
+    """Add ``name``: the sum of ``value`` over the rows before, by the whole number ``order`` (null first), within ``keys`` if given.
 
     Rows are cut into chunks of ``width`` orders; only the chunks' totals meet
     in one place.  Rows of equal order follow one another in an unspecified way.
     """
     from pyspark.sql import Window as W
 
+    keys = keys or []
     value = F.col(value) if isinstance(value, str) else value
     cut = df.withColumn("__chunk", F.coalesce(F.floor(F.col(order) / width), F.lit(-(2**62)))).withColumn("__value", value)
-    totals = cut.groupBy(F.col("__chunk").alias("__c")).agg(F.sum("__value").alias("__t"))
-    before = totals.select("__c", F.coalesce(F.sum("__t").over(W.orderBy("__c").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__from"))
-    inner = W.partitionBy("__chunk").orderBy(order).rowsBetween(W.unboundedPreceding, -1)
+    totals = cut.groupBy(*[F.col(c).alias(f"__k{i}") for i, c in enumerate(keys)], F.col("__chunk").alias("__c")).agg(F.sum("__value").alias("__t"))
+    names = [f"__k{i}" for i in range(len(keys))]
+    earlier = W.partitionBy(*names).orderBy("__c").rowsBetween(W.unboundedPreceding, -1)
+    before = totals.select(*names, "__c", F.coalesce(F.sum("__t").over(earlier), F.lit(0)).alias("__from"))
+    inner = W.partitionBy(*keys, "__chunk").orderBy(order).rowsBetween(W.unboundedPreceding, -1)
     local = cut.withColumn("__local", F.coalesce(F.sum("__value").over(inner), F.lit(0)))
-    return local.join(before, F.col("__chunk") == F.col("__c")).select(*df.columns, (F.col("__from") + F.col("__local")).cast("long").alias(name))
+    on = F.col("__chunk") == F.col("__c")
+    for c, k in zip(keys, names):
+        on = on & F.col(c).eqNullSafe(F.col(k))
+    return local.join(before, on).select(*df.columns, (F.col("__from") + F.col("__local")).cast("long").alias(name))

@@ -7,11 +7,11 @@ import re
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from trialloom.errors import DataError
 from trialloom.model import Trials
+from trialloom.plans.tables import running_total
 
 HEADER = 40  # bytes
 
@@ -47,14 +47,17 @@ def raw_channels(spark: SparkSession, path: str, pattern: str = "*.sev", subtrac
     return long, names
 
 
-def paired_trials(marks: DataFrame, start_code: int, end_code: int, samplerate: float) -> DataFrame:
-    """Trials of marks (time in s, code): the i-th start with the i-th end, as far as both lists go."""
-    order = W.partitionBy("code").orderBy("time")
-    n = marks.where(F.col("code").isin([start_code, end_code]) & F.col("time").isNotNull()).withColumn("i", F.row_number().over(order))
-    a = n.where(F.col("code") == start_code).select("i", F.round(F.col("time") * samplerate).cast("long").alias("start"))
-    b = n.where(F.col("code") == end_code).select("i", F.round(F.col("time") * samplerate).cast("long").alias("stop"))
-    both = a.join(b, "i").select((F.col("i") - 1).cast("int").alias("trial_id"), "start", "stop", F.lit(0.0).alias("t0"), F.array(F.lit(float(start_code))).alias("info"))
-    return both
+def paired_trials(marks: DataFrame, start_code: int, end_code: int, samplerate: float, keys: list[str] | None = None) -> DataFrame:
+    """Trials of marks (time in s, code): the i-th start with the i-th end, as far as both lists go, within ``keys`` if given.
+
+    Marks are numbered by time in chunks, so a recording of any length is many tasks.
+    """
+    keys = keys or []
+    timed = marks.where(F.col("code").isin([start_code, end_code]) & F.col("time").isNotNull() & ~F.isnan("time")).select(*keys, "code", "time", F.round(F.col("time") * 1e6).cast("long").alias("us"))
+    n = running_total(timed, "us", F.lit(1), "i", 600_000_000, [*keys, "code"])
+    a = n.where(F.col("code") == start_code).select(*keys, "i", F.round(F.col("time") * samplerate).cast("long").alias("start"))
+    b = n.where(F.col("code") == end_code).select(*keys, "i", F.round(F.col("time") * samplerate).cast("long").alias("stop"))
+    return a.join(b, [*keys, "i"]).select(*keys, F.col("i").cast("int").alias("trial_id"), "start", "stop", F.lit(0.0).alias("t0"), F.array(F.lit(float(start_code))).alias("info"))
 
 
 def load_raw(spark: SparkSession, path: str, samplerate: float, marks: DataFrame | None = None, start_code: int | None = None, end_code: int | None = None, subtract_median: bool = False, pattern: str = "*.sev") -> Trials:
