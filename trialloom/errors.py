@@ -53,6 +53,36 @@ def vector(value, name: str, n: int | None = None, lo: float | None = None, hi:
     return a.tolist()
 
 
+def data_object(value, name: str = "data", kind: str | tuple[str, ...] | None = None, empty: bool | None = None):
+    """``value`` if it is a data object, of a kind if one is asked for, and empty or not, if that is."""
+    from trialloom.model import Trials
+
+    if not isinstance(value, Trials):
+        raise ParameterTypeError(f"{name} must be a data object")
+    kinds = (kind,) if isinstance(kind, str) else kind
+    if kinds is not None and value.kind not in kinds:
+        raise DataError(f"{name} must be {' or '.join(kinds)} data, not {value.kind}")
+    if empty is not None and value.trials.isEmpty() != empty:
+        raise DataError(f"{name} must {'be empty' if empty else 'have trials'}")
+    return value
+
+
+def object_path(path: str) -> dict:
+    """Parts of the path of a saved object or a container: folder, container, basename, tag and kind."""
+    import os
+
+    if not isinstance(path, str):
+        raise ParameterTypeError("a path must be a text")
+    if not path.strip("/"):
+        raise ParameterError("the path is empty")
+    folder, name = os.path.split(path.rstrip("/"))
+    stem, _, kind = name.rpartition(".")
+    holder = os.path.basename(folder)
+    if not stem or kind not in ("analog", "spectral", "cross", "timelock", "spike", "event"):
+        return {"folder": folder, "container": name, "basename": None, "tag": None, "kind": None}
+    return {"folder": os.path.dirname(folder), "container": holder, "basename": name, "tag": stem, "kind": kind}
+
+
 def ineffective(given: dict, used: set[str], what: str) -> None:
     """Warn of parameters that were set but do nothing for ``what``."""
     for name in sorted(set(given) - used):

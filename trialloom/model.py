@@ -22,6 +22,8 @@ from __future__ import annotations
 import copy as _copy
 from dataclasses import dataclass, field, replace
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -105,6 +107,28 @@ class Trials:
         t = self.trials.select("trial_id", "t0")
         return self.facts.join(t, "trial_id").withColumn("time", (F.col(axis) + F.col("t0")) / self.samplerate).drop("t0")
 
+    # P14: single trials on the driver
+    @property
+    def array(self) -> TrialIndexer:
+        """``data.array[k]``: the values of one trial, (sample x channel) for analog data, rows of columns for discrete data."""
+        return TrialIndexer(self)
+
+    @property
+    def time(self) -> TimeIndexer:
+        """``data.time[k]``: the times of one trial's samples (or events) in seconds."""
+        return TimeIndexer(self)
+
+    def save(self, container: str | None = None, tag: str | None = None, overwrite: bool = False) -> Trials:
+        """Save the object; without a place, again where it was saved or loaded last.  Returns the saved object."""
+        from trialloom.sources import container as files
+
+        place = self.cfg.get("saved", {})
+        if container is None:
+            if not place:
+                raise DataError("the object was not saved before: name a container")
+            container, tag, overwrite = place["container"], tag or place["tag"], True
+        return files.load(self.spark, files.save(self, container, tag, overwrite))
+
     # operators of M1 to M4
     def __add__(self, other):
         return self._arith("+", other)
@@ -149,6 +173,54 @@ class Trials:
         return equal(self, other)
 
 
+class TrialIndexer:
+    """Values of single trials by id, or of all one after another; each is collected by itself."""
+
+    def __init__(self, data: Trials):
+        self.data = data
+
+    def ids(self) -> list[int]:
+        return [r[0] for r in self.data.trials.select("trial_id").orderBy("trial_id").collect()]
+
+    def __len__(self) -> int:
+        return self.data.trials.count()
+
+    def __iter__(self):
+        return (self[k] for k in self.ids())
+
+    def _one(self, k: int) -> int:
+        if isinstance(k, bool) or not isinstance(k, (int, np.integer)):
+            raise TypeError("a trial is chosen by its id")
+        if self.data.trials.where(F.col("trial_id") == int(k)).isEmpty():
+            raise IndexError(f"there is no trial {k}")
+        return int(k)
+
+    def __getitem__(self, k: int) -> np.ndarray:
+        k, data = self._one(k), self.data
+        if data.kind in ("spike", "event"):
+            columns = [c for c in data.facts.columns if c != "trial_id"]
+            return data.timed().where(F.col("trial_id") == k).select(*columns).orderBy(*columns).toPandas().to_numpy()
+        axes = [c for c in data.axes if c in data.facts.columns]
+        pdf = data.facts.where(F.col("trial_id") == k).select(*axes, *data.values).toPandas()
+        # time and frequency count from 0; channels and tapers are those that occur
+        levels = [np.arange(pdf[c].max() + 1) if c in ("sample", "time_idx", "freq_id") and len(pdf) else np.unique(pdf[c]) for c in axes]
+        out = np.full([len(x) for x in levels], np.nan, complex if "im" in data.values else float)
+        at = tuple(np.searchsorted(x, pdf[c]) for x, c in zip(levels, axes))
+        out[at] = pdf["re"] + 1j * pdf["im"] if "im" in data.values else pdf[data.values[0]]
+        return out
+
+
+class TimeIndexer(TrialIndexer):
+    """Times of single trials."""
+
+    def __getitem__(self, k: int) -> np.ndarray:
+        k, data = self._one(k), self.data
+        if data.kind in ("spike", "event"):
+            return np.array([r[0] for r in data.timed().where(F.col("trial_id") == k).select("time").orderBy("time").collect()])
+        r = data.trials.where(F.col("trial_id") == k).first()
+        return (np.arange(r["stop"] - r["start"]) + r["t0"]) / data.samplerate
+
+
 def copy(data: Trials) -> Trials:
     """An independent object on the same immutable tables."""
     return replace(data, labels=_copy.deepcopy(data.labels), info=_copy.deepcopy(data.info), cfg=_copy.deepcopy(data.cfg), extras=dict(data.extras))
@@ -177,25 +249,70 @@ def trial_table(spark: SparkSession, rows: list[tuple]) -> DataFrame:
 
 def analog_from_arrays(spark: SparkSession, arrays, samplerate: float, channel: list[str] | None = None, t0: float | None = None) -> Trials:
     """Trials given as (sample x channel) arrays; they lie one after another and start at -1 s by default."""
-    import numpy as np
-
-    rows, defs, at, n_ch = [], [], 0, None
+    ids, series, defs, at, n_ch = [], [], [], 0, None
     for k, a in enumerate(arrays):
         a = np.asarray(a, float)
         a = a[:, None] if a.ndim == 1 else a
         if n_ch not in (None, a.shape[1]):
             raise DataError("all trials need the same channels")
         n_ch = a.shape[1]
-        rows += [(k, c, a[:, c].tolist()) for c in range(n_ch)]
+        ids += [(k, c) for c in range(n_ch)]
+        series += [np.ascontiguousarray(a[:, c]) for c in range(n_ch)]
         defs.append((at, at + len(a), -samplerate if t0 is None else t0))
         at += len(a)
-    blocks = spark.createDataFrame(rows, "trial_id int, channel_id int, samples array<double>")
+    # values go to Spark as Arrow columns, not as Python numbers
+    whole = np.concatenate(series) if series else np.zeros(0)
+    cuts = np.concatenate(([0], np.cumsum([len(x) for x in series]))).astype(np.int64)
+    samples = pa.LargeListArray.from_arrays(pa.array(cuts), pa.array(whole))
+    trial, ch = (pa.array([x[i] for x in ids], pa.int32()) for i in range(2))
+    blocks = spark.createDataFrame(pa.table([trial, ch, samples], ["trial_id", "channel_id", "samples"]), "trial_id int, channel_id int, samples array<double>")
     labels = {"channel": list(channel) if channel else default_labels("channel", n_ch or 0)}
     if n_ch is not None and len(labels["channel"]) != n_ch:
         raise DataError("as many channel labels as channels, please")
     return Trials("analog", to_long(blocks, ["trial_id", "channel_id"]), trial_table(spark, defs), samplerate, labels)
 
 
+def make(spark: SparkSession, source, samplerate: float | None = None, trialdefinition=None, kind: str = "analog", **options) -> Trials:
+    """An object from what there is: arrays (or a generator of them), a table of facts, a saved object's path, objects to join, or nothing.
+
+    Discrete facts need a ``trialdefinition`` (rows of start, stop, t0, ...) or
+    become one trial; ``options`` go to ``analog_from_arrays``, or are further
+    fields of the object.
+    """
+    if isinstance(source, str):
+        from trialloom.sources.container import load
+
+        return load(spark, source)
+    if source is None:
+        columns = {"analog": "trial_id int, sample int, channel_id int, value double", "spike": "sample long, channel int, unit int", "event": "sample long, eventid int"}
+        return Trials(kind, spark.createDataFrame([], columns[kind]), spark.createDataFrame([], TRIAL_SCHEMA), samplerate or 1.0, **options)
+    if isinstance(source, DataFrame):
+        from trialloom.operators.trials import definetrial
+
+        if samplerate is None:
+            raise DataError("facts need a sampling rate")
+        x = Trials(kind, source, spark.createDataFrame([], TRIAL_SCHEMA), samplerate, **options)
+        if trialdefinition is not None:
+            return definetrial.plain(x, trialdefinition)
+        if kind in ("spike", "event"):
+            return definetrial.plain(x)
+        n = source.groupBy("trial_id").agg((F.max("sample") + 1).cast("long").alias("n")).select("trial_id", F.lit(0.0).alias("t0"), F.array().cast("array<double>").alias("info"), "n")
+        return x.having(trials=restack(n).select("trial_id", "start", "stop", "t0", "info"))
+    if isinstance(source, np.ndarray) and source.ndim <= 2:
+        source = [source]
+    source = list(source)
+    if source and all(isinstance(x, Trials) for x in source):
+        return concat_trials(source)
+    if samplerate is None:
+        raise DataError("arrays need a sampling rate")
+    x = analog_from_arrays(spark, source, samplerate, **options)
+    if trialdefinition is None:
+        return x
+    from trialloom.operators.trials import redefinetrial
+
+    return redefinetrial.plain(x, trl=trialdefinition)
+
+
 def concat_trials(parts: list[Trials]) -> Trials:
     """Objects of one kind one after another along trials (M8); labels and rates must agree."""
     first = parts[0]

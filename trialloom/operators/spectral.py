@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trialloom.errors import DataError, ParameterError, choice, ineffective
+from trialloom.errors import DataError, ParameterError, choice, ineffective, log
 from trialloom.frontend import frontend
 from trialloom.kernels import spectra, wavelets
 from trialloom.kernels.windows import slepian_options
@@ -100,6 +100,18 @@ def pick_frequencies(freqs: np.ndarray, foi=None, foilim=None) -> np.ndarray:
     return np.arange(len(freqs))
 
 
+def mismatched_frequencies(spec: Trials) -> Trials:
+    """The object, with the trials whose frequency bins differ from the first trial's named in its info and in a warning."""
+    bins = spec.facts.groupBy("trial_id").agg(F.array_sort(F.collect_set("freq_id")).alias("bins"))
+    first = bins.agg(F.min_by("bins", "trial_id")).first()[0] or []
+    other = [r[0] for r in bins.where(F.col("bins") != F.array(*[F.lit(b) for b in first])).select("trial_id").orderBy("trial_id").collect()]
+    if not other:
+        return spec
+    note = f"the frequencies of {len(other)} trials differ from those of the first"
+    log.warning("%s: %s", note, other[:20])
+    return spec.having(note, info={**spec.info, "mismatched freq. axis trial ids": other})
+
+
 def _taper(taper, taper_opt, tapsmofrq, n_taper, n, fs):
     if tapsmofrq is not None:
         if not tapsmofrq > 0:

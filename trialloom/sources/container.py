@@ -5,6 +5,7 @@ from __future__ import annotations
 import fnmatch
 import hashlib
 import json
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -48,7 +49,9 @@ def save(data: Trials, container: str, tag: str | None = None, overwrite: bool =
     """Write an object to ``container``/<tag>.<kind>; returns the folder.
 
     Facts of continuous data lie in one folder per trial bucket, so that a
-    selection of trials prunes files.
+    selection of trials prunes files.  Everything is written beside the folder
+    and takes its place at the end, so an object may be saved over the files
+    it is read from.
     """
     from pyspark.sql import functions as F
 
@@ -57,20 +60,26 @@ def save(data: Trials, container: str, tag: str | None = None, overwrite: bool =
     fs, path_of = _fs(spark, folder)
     if fs.exists(path_of(folder)) and not overwrite:
         raise DataError(f"{folder} exists; overwrite=True replaces it")
+    beside = f"{folder}.{uuid.uuid4().hex}.part"
     writer = data.facts
     if "trial_id" in data.facts.columns:
-        writer = data.facts.withColumn("trial_bucket", F.floor(F.col("trial_id") / 64)).write.mode("overwrite").partitionBy("trial_bucket")
+        writer = data.facts.withColumn("trial_bucket", F.floor(F.col("trial_id") / 64)).write.partitionBy("trial_bucket")
     else:
-        writer = writer.write.mode("overwrite")
-    writer.parquet(f"{folder}/facts")
-    data.trials.write.mode("overwrite").parquet(f"{folder}/trials")
+        writer = writer.write
+    writer.parquet(f"{beside}/facts")
+    data.trials.write.parquet(f"{beside}/trials")
     for name, df in data.extras.items():
-        df.write.mode("overwrite").parquet(f"{folder}/extras/{name}")
+        df.write.parquet(f"{beside}/extras/{name}")
+    written = data.having(facts=spark.read.schema(data.facts.schema).parquet(f"{beside}/facts").select(*data.facts.columns))
+    cfg = {**data.cfg, "saved": {"container": container, "tag": tag or "data"}}
     side = {
-        "version": VERSION, "kind": data.kind, "samplerate": data.samplerate, "labels": data.labels, "info": data.info, "cfg": data.cfg, "log": list(data.log),
-        "extras": sorted(data.extras), "columns": data.facts.columns, "checksum": checksum(data),
+        "version": VERSION, "kind": data.kind, "samplerate": data.samplerate, "labels": data.labels, "info": data.info, "cfg": cfg, "log": list(data.log),
+        "extras": sorted(data.extras), "columns": data.facts.columns, "checksum": checksum(written),
     }
-    _write_text(spark, f"{folder}/{SIDE}", json.dumps(side, indent=1, default=str))
+    _write_text(spark, f"{beside}/{SIDE}", json.dumps(side, indent=1, default=str))
+    fs.delete(path_of(folder), True)
+    if not fs.rename(path_of(beside), path_of(folder)):
+        raise DataError(f"{folder} could not be written")
     return folder
 
 
@@ -103,3 +112,27 @@ def load(spark: SparkSession, path: str, tag: str | None = None, kind: str | lis
     if not found:
         raise ParameterError(f"no object in {path} matches")
     return next(iter(found.values())) if len(found) == 1 and tag is not None else found
+
+
+def clear(data: Trials) -> None:
+    """Release cached tables of an object."""
+    for df in (data.facts, data.trials, *data.extras.values()):
+        df.unpersist()
+
+
+def cleanup(spark: SparkSession, older_than_hours: float = 24.0) -> list[str]:
+    """Delete intermediate tables that ended processes left in the shared folder; returns their paths."""
+    import time
+
+    from trialloom.plans.tables import remove, shared_folder
+
+    folder = shared_folder(spark)
+    fs, path_of = _fs(spark, folder)
+    gone = []
+    if fs.exists(path_of(folder)):
+        for status in fs.listStatus(path_of(folder)):
+            name, age = status.getPath().getName(), time.time() - status.getModificationTime() / 1000
+            if name.startswith("trialloom-") and age >= older_than_hours * 3600:
+                gone.append(status.getPath().toString())
+                remove(spark, gone[-1])
+    return gone

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import importlib.util
 import re
 
 import numpy as np
@@ -9,9 +10,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trialloom.errors import DataError
+from trialloom.errors import DataError, ParameterError
 from trialloom.model import Trials
 from trialloom.plans.tables import running_total
+from trialloom.sources import foreign
 
 HEADER = 40  # bytes
 
@@ -79,43 +81,95 @@ READERS: dict = {}
 
 
 def register_reader(name: str, reader) -> None:
-    """Add a reader ``(spark, path, **options) -> Trials`` for a further format."""
+    """Add a reader ``(spark, path, **options)`` of one or several objects for a further format."""
     READERS[name] = reader
 
 
-def load_foreign(spark: SparkSession, name: str, path: str, **options) -> Trials:
+def load_foreign(spark: SparkSession, name: str, path: str, **options):
     """A file of a registered format; formats whose libraries are missing are not registered."""
     if name not in READERS:
         raise DataError(f"no reader for {name!r}; register_reader adds one (known: {', '.join(sorted(READERS)) or 'none'})")
     return READERS[name](spark, path, **options)
 
 
-def _nwb(spark: SparkSession, path: str, **options) -> Trials:
-    import pynwb
+for _name, _module, _reader in (("nwb", "pynwb", foreign.load_nwb), ("mat", "scipy", foreign.load_mat), ("mat", "h5py", foreign.load_mat)):
+    if importlib.util.find_spec(_module):
+        register_reader(_name, _reader)
 
-    with pynwb.NWBHDF5IO(path, "r") as io:
-        nwb = io.read()
-        series = next(s for s in nwb.acquisition.values() if isinstance(s, pynwb.ecephys.ElectricalSeries))
-        from trialloom.model import analog_from_arrays
 
-        return analog_from_arrays(spark, [series.data[:]], float(series.rate), t0=0.0)
+# --- the index of a recording block ----------------------------------------------------------------------------------
 
+# Fixed values of the format: records of 40 bytes, codes of the block's start and stop, kinds of stores.
+INDEX = np.dtype([("size", "<i4"), ("kind", "<u4"), ("code", "<u4"), ("channel", "<u2"), ("sort", "<u2"), ("time", "<f8"), ("value", "<f8"), ("format", "<u4"), ("rate", "<f4")])
+START_BLOCK, STOP_BLOCK = 1, 2
+STROBE_ON, STROBE_OFF, SCALAR, STREAM, SNIP, MARK = 0x101, 0x102, 0x201, 0x8101, 0x8201, 0x8801
+KIND_MASK = 0xFF0F
+INDEX_COLUMNS = "code long, name string, store string, channel int, sort int, time double, value double, size int, format int, rate double"
 
-def _mat(spark: SparkSession, path: str, **options) -> Trials:
-    from scipy.io import loadmat
 
-    from trialloom.model import analog_from_arrays
+def _store_of(kind: np.ndarray) -> np.ndarray:
+    return np.select(
+        [np.isin(kind, (STROBE_ON, STROBE_OFF, MARK)), kind == SNIP, (kind & KIND_MASK) == STREAM, kind == SCALAR],
+        [np.where(kind == STROBE_OFF, "offsets", "epocs"), "snips", "streams", "scalars"], "unknown",
+    )
 
-    raw = loadmat(path, simplify_cells=True)
-    raw = next(v for k, v in raw.items() if isinstance(v, dict) and "trial" in v)
-    times = np.atleast_1d(raw["time"][0] if isinstance(raw["time"], list) else raw["time"])
-    fs = 1 / float(np.mean(np.diff(times)))
-    arrays = [np.asarray(t).T for t in (raw["trial"] if isinstance(raw["trial"], list) else [raw["trial"]])]
-    return analog_from_arrays(spark, arrays, fs, list(raw["label"]), t0=float(times[0]) * fs)
 
+def block_index(spark: SparkSession, path: str) -> DataFrame:
+    """Records of a block's index file (one ``*.tsq`` in ``path``): code, name, kind of store, channel, time and value.
 
-for _name, _module, _reader in (("nwb", "pynwb", _nwb), ("mat", "scipy", _mat)):
-    import importlib.util
+    The file is read in splits of whole records, so it may be of any size.
+    value is the strobe's code of an epoc, and the offset of other records'
+    data.  Records without a code are left out; the block's start and stop
+    are records with the codes 1 and 2.
+    """
+    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.tsq").load(path).select("path").limit(2).collect()
+    if len(found) != 1:
+        raise DataError(f"{path} holds {'no' if not found else 'more than one'} *.tsq")
+    records = spark.createDataFrame(spark.sparkContext.binaryRecords(found[0][0], INDEX.itemsize).map(lambda b: (bytearray(b),)), "record binary")
 
-    if importlib.util.find_spec(_module):
-        register_reader(_name, _reader)
+    def run(batches):
+        for pdf in batches:
+            x = np.frombuffer(b"".join(map(bytes, pdf["record"])), INDEX)
+            x = x[x["code"] > 0]
+            names = [c.tobytes().decode("cp437").rstrip("\0") for c in x["code"].astype("<u4").reshape(-1, 1)]
+            value = np.where(_store_of(x["kind"]) == "epocs", x["value"], x["value"].view("<i8"))
+            yield pd.DataFrame({"code": x["code"].astype("int64"), "name": names, "store": _store_of(x["kind"]).astype(str), "channel": x["channel"].astype("int32"), "sort": x["sort"].astype("int32"), "time": x["time"], "value": value.astype(float), "size": x["size"], "format": x["format"].astype("int32"), "rate": x["rate"].astype(float)})
+
+    return records.mapInPandas(run, INDEX_COLUMNS)
+
+
+def block_info(index: DataFrame) -> dict:
+    """Start and stop of a block (seconds since 1970, stop null if it did not end cleanly), its duration, and its stores."""
+    ends = {r["code"]: r["t"] for r in index.where(F.col("code").isin(START_BLOCK, STOP_BLOCK)).groupBy("code").agg(F.max("time").alias("t")).collect()}
+    if START_BLOCK not in ends:
+        raise DataError("the index has no start of the block")
+    stores = index.where("store <> 'unknown' AND store <> 'offsets'").groupBy("name", "store").agg(F.max("rate").alias("rate"), F.countDistinct("channel").alias("channels"), F.count(F.lit(1)).alias("records"), F.min("time").alias("first"), F.max("time").alias("last"))
+    start, stop = ends[START_BLOCK], ends.get(STOP_BLOCK)
+    return {
+        "start_time": start, "stop_time": stop, "duration": None if stop is None else stop - start,
+        "stores": {r["name"]: {"type": r["store"], "rate": r["rate"], "channels": r["channels"], "records": r["records"]} for r in stores.orderBy("name").limit(10_000).collect()},
+    }
+
+
+def epocs(index: DataFrame, name: str, start: float) -> DataFrame:
+    """(time, code) of an epoc store's onsets, in seconds since the block's start."""
+    return index.where((F.col("name") == name) & (F.col("store") == "epocs")).select((F.col("time") - start).alias("time"), F.col("value").cast("int").alias("code"))
+
+
+def load_block(spark: SparkSession, path: str, start_code: int | None = None, end_code: int | None = None, subtract_median: bool = False, stream: str | None = None, marks: str = "Mark", onsets: str = "PDio") -> Trials:
+    """A recording block: its channel files as analog data at the rate that the index states, cut by its marks, if codes are given.
+
+    Triggers (``marks``) and photodiode onsets (``onsets``) are registered as
+    tables ``triggers`` and ``onsets`` with times, samples and codes; info holds
+    what the index says about the block.
+    """
+    index = block_index(spark, path)
+    info = block_info(index)
+    streams = {n: s for n, s in info["stores"].items() if s["type"] == "streams"}
+    if stream is None and len(streams) != 1:
+        raise ParameterError(f"name one stream of {', '.join(sorted(streams)) or 'none'}")
+    rate = streams[stream or next(iter(streams))]["rate"]
+    triggers = epocs(index, marks, info["start_time"])
+    out = load_raw(spark, path, rate, triggers if start_code is not None else None, start_code, end_code, subtract_median)
+    at = F.round(F.col("time") * rate).cast("long").alias("sample")
+    return out.having("read from a block", info=info).register("triggers", triggers.select("time", at, "code")).register("onsets", epocs(index, onsets, info["start_time"]).select("time", at, "code"))
