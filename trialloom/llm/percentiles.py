@@ -26,6 +26,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,6 +37,7 @@ PROPOSALS = 16  # local quantiles that a block, or a partition, proposes for an
 FAN = 128  # sets of proposals that are merged at once
 MERGED = 128  # quantiles kept of merged proposals within a task: an error of 1/256 a level
 BROADCAST_BYTES = 32 << 20  # states up to this size are broadcast; larger ones are joined
+MOST_AT_ONCE = 512  # blocks that are searched together
 MARGIN = 0.03  # of the range, on either side of the target, between the pivots
 
 
@@ -143,11 +145,22 @@ STATE = "k array<long>, lo array<double>, hi array<double>, p1 array<double>, p2
 FIELDS = ("k", "lo", "hi", "p1", "p2", "value")
 
 
-def _count(v: np.ndarray, lo, hi, p1, p2):
-    """Of the sorted values: where the open range and the pivots lie, by target."""
-    a = np.where(np.isnan(lo), 0, np.searchsorted(v, lo, "right"))
-    b = np.where(np.isnan(hi), len(v), np.searchsorted(v, hi, "left"))
-    cuts = [np.clip(np.searchsorted(v, p, side), a, b) for p, side in ((p1, "left"), (p1, "right"), (p2, "left"), (p2, "right"))]
+def _places(v: np.ndarray, first: np.ndarray, last: np.ndarray, x: np.ndarray, right: bool) -> np.ndarray:
+    """Where each ``x`` belongs in its own ordered stretch v[first:last], all searched at once."""
+    lo, hi = first.copy(), last.copy()
+    for _ in range(int((hi - lo).max(initial=0)).bit_length()):
+        mid = (lo + hi) >> 1
+        at = v[np.minimum(mid, len(v) - 1)]
+        up = (lo < hi) & ((at <= x) if right else (at < x))
+        lo, hi = np.where(up, mid + 1, lo), np.where(up, hi, mid)
+    return lo
+
+
+def _count(v: np.ndarray, first: np.ndarray, last: np.ndarray, lo, hi, p1, p2):
+    """Of ordered stretches: where the open range and the pivots lie, by stretch and target."""
+    a = np.where(np.isnan(lo), first, _places(v, first, last, lo, True))
+    b = np.where(np.isnan(hi), last, _places(v, first, last, hi, False))
+    cuts = [np.clip(_places(v, first, last, p, right), a, b) for p, right in ((p1, False), (p1, True), (p2, False), (p2, True))]
     none = np.isnan(p1)
     l1, e1, l2, e2 = (np.where(none, x, c) for x, c in zip((a, a, b, b), cuts))
     return a, b, l1, e1, l2, e2
@@ -205,7 +218,6 @@ def _report(scopes: list[list[int]], keys: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple, list] = {}
-        limits: dict[tuple, tuple] = {}
 
         def emit() -> pa.RecordBatch:
             rows = [(*key, counts.astype("<i8").tobytes(), _quantiles(props.all(), PROPOSALS)[0].astype("<f8").tobytes()) for key, (counts, props) in held.items()]
@@ -214,29 +226,29 @@ def _report(scopes: list[list[int]], keys: int):
             return pa.RecordBatch.from_arrays([*[pa.array(c, pa.int32()) for c in cols[: keys + 1]], *[pa.array(c, pa.binary()) for c in cols[keys + 1 :]]], ["scope", *[f"k{i}" for i in range(keys)], "counts", "props"])
 
         for batch in batches:
-            cols = list(zip(*(batch.column(i).to_pylist() for i in range(keys))))
+            cols = [batch.column(i).to_numpy() for i in range(keys)]
             vals = batch.column(keys)
-            states = [batch.column(keys + 1 + scope) for scope in range(len(scopes))]
-            for i, own in enumerate(cols):
-                groups = tuple((scope, *(k if j in used else NONE for j, k in enumerate(own))) for scope, used in enumerate(scopes) if states[scope][i].is_valid)
-                if groups not in limits:
-                    if len(limits) > 20_000:
-                        limits.clear()
-                    rows = [states[g[0]][i].as_py() for g in groups]
-                    cuts = np.cumsum([0, *(len(r["lo"]) for r in rows)])
-                    limits[groups] = [np.concatenate([np.array(r[f], float) for r in rows]) for f in ("lo", "hi", "p1", "p2")], cuts
-                limit, cuts = limits[groups]
-                v = np.frombuffer(vals[i].as_buffer(), "<f8")
-                a, b, l1, e1, l2, e2 = _count(v, *limit)
-                counts = np.stack([b - a, l1 - a, e1 - a, l2 - a, e2 - a])
-                size = _sizes(counts)
-                at = np.stack([a, e1, e2])[..., None] + np.floor(GRID * size[..., None]).astype(np.int64)  # left, middle, right: targets x 3
-                prop, weight = v[np.minimum(at, len(v) - 1)], np.repeat(size[..., None] / PROPOSALS, PROPOSALS, axis=2)
-                for key, x, y in zip(groups, cuts, cuts[1:]):
-                    if key not in held:
-                        held[key] = [np.zeros((5, y - x), np.int64), Ladder()]
-                    held[key][0] += counts[:, x:y]
-                    held[key][1].add((prop[:, x:y], weight[:, x:y]))
+            wide = 8 if pa.types.is_large_binary(vals.type) else 4
+            offset = np.frombuffer(vals.buffers()[1], f"<i{wide}", len(vals) + 1, wide * vals.offset).astype(np.int64) // 8
+            v = np.frombuffer(vals.buffers()[2], "<f8", offset[-1])
+            for scope, used in enumerate(scopes):
+                states = batch.column(keys + 1 + scope)
+                there = np.flatnonzero(states.is_valid().to_numpy(zero_copy_only=False))
+                for i in (there[x : x + MOST_AT_ONCE] for x in range(0, len(there), MOST_AT_ONCE)):
+                    state = states.take(pa.array(i))
+                    limits = [pc.list_flatten(state.field(f)).to_numpy().reshape(len(i), -1) for f in ("lo", "hi", "p1", "p2")]
+                    first, last = (np.broadcast_to(x[:, None], limits[0].shape) for x in (offset[i], offset[i + 1]))
+                    a, b, l1, e1, l2, e2 = _count(v, first, last, *limits)
+                    counts = np.stack([b - a, l1 - a, e1 - a, l2 - a, e2 - a])
+                    size = _sizes(counts)
+                    at = np.stack([a, e1, e2])[..., None] + np.floor(GRID * size[..., None]).astype(np.int64)  # left, middle, right: blocks x targets x 3
+                    prop, weight = v[np.minimum(at, last[..., None] - 1)], np.broadcast_to(size[..., None] / PROPOSALS, at.shape)
+                    own = [cols[j][i].tolist() if j in used else [NONE] * len(i) for j in range(keys)]
+                    for k, key in enumerate(zip([scope] * len(i), *own)):
+                        if key not in held:
+                            held[key] = [np.zeros(counts.shape[::2], np.int64), Ladder()]
+                        held[key][0] += counts[:, k]
+                        held[key][1].add((prop[:, k], weight[:, k]))
             if len(held) > 5_000:
                 yield emit()
         if held:
