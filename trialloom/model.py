@@ -93,6 +93,16 @@ class Trials:
         r = self.trials.agg(F.countDistinct("t0").alias("a"), F.countDistinct(F.col("stop") - F.col("start")).alias("b")).first()
         return r["a"] <= 1 and r["b"] <= 1
 
+    def shape_tail(self) -> tuple[int, ...] | None:
+        """Lengths of the axes after time, from the labels; None if an axis has no labels."""
+        names = {"channel_id": "channel", "freq_id": "freq", "taper_id": "taper", "channel_i": "channel_i", "channel_j": "channel_j"}
+        found = [self.labels.get(names[a]) for a in self.axes[1:]]
+        return None if any(not x for x in found) else tuple(len(x) for x in found)
+
+    def lengths(self) -> DataFrame:
+        """(trial_id, n): samples of each trial by the trial table, without a look at the facts."""
+        return self.trials.select("trial_id", (F.col("stop") - F.col("start")).alias("n"))
+
     def intervals(self) -> DataFrame:
         """(trial_id, first, last): times of the first and last sample of each trial, in seconds."""
         return self.trials.select("trial_id", (F.col("t0") / self.samplerate).alias("first"), ((F.col("stop") - F.col("start") - 1 + F.col("t0")) / self.samplerate).alias("last"))

@@ -77,9 +77,12 @@ def _apply(data: Trials, op: str, re: Column, im: Column | None, swapped: bool,
 
 
 def _with_array(data: Trials, op: str, array: np.ndarray, swapped: bool) -> Trials:
-    sizes = data.facts.groupBy("trial_id").agg(*[F.countDistinct(a).alias(a) for a in data.axes]).select(*data.axes).distinct().collect()
-    for r in sizes:
-        shape = tuple(r)
+    tail = data.shape_tail()
+    if tail is None:
+        sizes = [tuple(r) for r in data.facts.groupBy("trial_id").agg(*[F.countDistinct(a).alias(a) for a in data.axes]).select(*data.axes).distinct().collect()]
+    else:  # by the trial table and the labels, which are small
+        sizes = [(r["n"], *tail) for r in data.lengths().select("n").distinct().collect()]
+    for shape in sizes:
         try:
             fits = np.broadcast_shapes(array.shape, shape) == shape
         except ValueError:
@@ -109,9 +112,13 @@ def _with_object(data: Trials, op: str, other: Trials, swapped: bool) -> Trials:
     if data.kind != other.kind or data.samplerate != other.samplerate or data.values != other.values:
         raise DataError("objects differ in kind, sampling rate, or are real and complex")
     keys = ["trial_id", *data.axes]
-    shape = [F.count(F.lit(1)).alias("n"), *[F.max(a).alias(a) for a in data.axes]]
-    a, b = (x.facts.groupBy("trial_id").agg(*shape) for x in (data, other))
-    if not a.exceptAll(b).isEmpty() or not b.exceptAll(a).isEmpty():
+    tails = data.shape_tail(), other.shape_tail()
+    if None in tails:
+        shape = [F.count(F.lit(1)).alias("n"), *[F.max(a).alias(a) for a in data.axes]]
+        a, b = (x.facts.groupBy("trial_id").agg(*shape) for x in (data, other))
+    else:
+        a, b = data.lengths(), other.lengths()
+    if tails[0] != tails[1] or not a.exceptAll(b).isEmpty() or not b.exceptAll(a).isEmpty():
         raise DataError("objects differ in the number or shape of their trials")
     names = {v: f"{v}_" for v in data.values}
     right = other.facts.select(*keys, *[F.col(v).alias(n) for v, n in names.items()])

@@ -14,6 +14,7 @@ from trialloom.model import Trials, to_blocks
 from trialloom.operators.selection import positions
 from trialloom.operators.spectral import converted, freqanalysis
 from trialloom.operators.statistics import bias_variance, leave_one_out
+from trialloom.plans.tables import materialise
 
 METHODS = ("csd", "coh", "ppc", "granger", "corr")
 OUTPUTS = ("abs", "pow", "complex", "fourier", "angle", "real", "imag")
@@ -120,6 +121,7 @@ def granger_causality(csd: DataFrame, keys: list[str], n_freq: int, pairs: list[
     kinds = dict(groups.dtypes)
     schema = "".join(f"{k} {kinds[k]}, " for k in keys) + "pair int, freq_id int, channel_i int, channel_j int, re double, error double, loading double, condition double"
     out = groups.select(*keys, "pair", "freq_id", "channel_i", "channel_j", "re", "im").groupBy(*keys, "pair").applyInPandas(run, schema)
+    out = materialise(out)  # influence and side output come from one factorisation
     if pairs is not None:
         wanted = csd.sparkSession.createDataFrame([(k, i, j) for k, (i, j) in enumerate(pairs)], "pair int, channel_i int, channel_j int")
         out = out.join(F.broadcast(wanted), ["pair", "channel_i", "channel_j"], "left_semi")
@@ -174,7 +176,7 @@ def connectivityanalysis(data: Trials, method: str = "coh", keeptrials: bool = F
     if method == "csd":
         return made(average.select(F.lit(0).alias("trial_id"), *CELL, "re", "im"), one)
     if jackknife:
-        single = single.persist()  # read for the estimate and its replicates
+        single = materialise(single)  # read for the estimate and its replicates
 
     def estimate(csd, keys):
         """The measure of averaged cross spectra per ``keys`` (time, and the left-out trial)."""
@@ -185,13 +187,17 @@ def connectivityanalysis(data: Trials, method: str = "coh", keeptrials: bool = F
             return c
         return c.select(*keys, "freq_id", "channel_i", "channel_j", converted(F.col("re"), F.col("im"), output).alias("re"))
 
-    direct = estimate(average, ["time_idx"])
+    factorisation = None
+    if method == "granger":
+        direct, factorisation = granger_causality(average, ["time_idx"], len(spec.labels["freq"]), pairs)
+    else:
+        direct = estimate(average, ["time_idx"])
     values = [v for v in ("re", "im") if v in direct.columns]
     if restrict is not None:
         direct = direct.join(restrict, ["channel_i", "channel_j"], "left_semi")
     out = made(direct.select(F.lit(0).alias("trial_id"), *CELL, *values), one)
     if method == "granger":
-        out = out.register("factorisation", granger_causality(average, ["time_idx"], len(spec.labels["freq"]), pairs)[1])
+        out = out.register("factorisation", factorisation)
     if jackknife:
         without = leave_one_out(single, "trial_id", CELL, ["re", "im"])
         jack = bias_variance(estimate(without, ["trial_id", "time_idx"]), direct, CELL, values)

@@ -46,10 +46,12 @@ AS_REAL = {
 }
 
 
-def _map_blocks(data: Trials, kernel, output: str, average: bool) -> DataFrame:
+def _map_blocks(data: Trials, kernel, output: str, average: bool, over_trials: bool = False) -> DataFrame:
     """``kernel`` takes (series x time) and each series' trial start, and gives complex (series, time, taper, frequency).
 
-    The output is made and tapers are averaged in the worker, before values become rows.
+    The output is made and tapers are averaged in the worker, before values
+    become rows.  ``over_trials`` adds the trials of a channel up there, too, so
+    that only sums of batches become rows; the result is their mean, as trial 0.
     """
     t0 = data.trials.select("trial_id", F.col("t0").alias("t0_"))
     blocks = to_blocks(data.facts, ["trial_id", "channel_id"], "sample", "value").join(t0, "trial_id")
@@ -65,6 +67,12 @@ def _map_blocks(data: Trials, kernel, output: str, average: bool) -> DataFrame:
                     z = z.mean(axis=2, keepdims=True) if average else z
                 s, t, k, f = z.shape
                 flat = z.reshape(s, -1)
+                if over_trials:
+                    ids, of = np.unique(g["channel_id"], return_inverse=True)
+                    sums = np.zeros((len(ids), flat.shape[1]), flat.dtype)
+                    np.add.at(sums, of, flat)
+                    yield pd.DataFrame({"trial_id": np.bincount(of), "channel_id": ids, "nk": k, "nf": f, "re": list(sums.real), **({"im": list(sums.imag)} if len(parts) > 1 else {})})
+                    continue
                 yield pd.DataFrame({"trial_id": g["trial_id"], "channel_id": g["channel_id"], "nk": k, "nf": f, "re": list(flat.real), **({"im": list(flat.imag)} if len(parts) > 1 else {})})
 
     z = blocks.mapInPandas(run, "trial_id int, channel_id int, nk int, nf int, " + ", ".join(f"{c} array<double>" for c in parts))
@@ -74,10 +82,15 @@ def _map_blocks(data: Trials, kernel, output: str, average: bool) -> DataFrame:
     else:
         long = z.select("trial_id", "channel_id", "nk", "nf", F.posexplode(F.arrays_zip("re", "im")).alias("p", "z"))
         values = [F.col("z.re").alias("re"), F.col("z.im").alias("im")]
-    return long.select(
+    out = long.select(
         "trial_id", F.expr("p div (nk * nf)").cast("int").alias("time_idx"), F.expr("(p div nf) % nk").cast("int").alias("taper_id"), (F.col("p") % F.col("nf")).cast("int").alias("freq_id"),
         "channel_id", *values,
     )
+    if not over_trials:
+        return out
+    cell = ["time_idx", "taper_id", "freq_id", "channel_id"]
+    sums = out.groupBy(*cell).agg(*[(F.sum(c) / F.sum("trial_id")).alias(c) for c in parts])  # trial_id holds how many trials a sum has
+    return sums.select(F.lit(0).alias("trial_id"), *cell, *parts)
 
 
 def pick_frequencies(freqs: np.ndarray, foi=None, foilim=None) -> np.ndarray:
@@ -218,16 +231,17 @@ def freqanalysis(data: Trials, method: str = "mtmfft", output: str = "pow", keep
             return np.swapaxes(z, -1, -2)[:, np.asarray(centres(x.shape[-1], start))][:, :, None, :]
 
         times_per_trial = centres
-    facts = _map_blocks(data, kernel, output, not keeptapers)
+    facts = _map_blocks(data, kernel, output, not keeptapers, over_trials=not keeptrials)
     n_tapers = len(spectra.tapers(name, nper if method == "mtmconvol" else longest, longest, opts)) if method in ("mtmfft", "mtmconvol") else 1
     names = [f"taper{i + 1}" for i in range(n_tapers if keeptapers or output in ("fourier", "complex") else 1)]
     trials, new_rate = _spectral_trials(data, times_per_trial, rate, toi)
     labels = {"channel": data.labels.get("channel", []), "freq": [float(f) for f in out_freqs], "taper": names}
     out = Trials("spectral", facts, trials, new_rate, labels, dict(data.info), dict(data.cfg), (*data.log, f"{method} {output}"))
     if not keeptrials:
-        from trialloom.operators.statistics import _statistic
+        from trialloom.operators.statistics import check_equal_shapes, first_trial
 
-        out = _statistic(out, "mean", "trials", True)
+        check_equal_shapes(out)
+        out = out.having("mean over trials", trials=first_trial(out))
     return out
 
 

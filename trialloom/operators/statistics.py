@@ -41,9 +41,8 @@ def _columns(data: Trials, op: str, skip: bool) -> list[Column]:
 
 
 def check_equal_shapes(data: Trials) -> None:
-    axis = data.axes[0]
-    n = data.facts.groupBy("trial_id").agg(F.max(axis).alias("m"), F.count(F.lit(1)).alias("k")).select("m", "k").distinct().limit(2).count()
-    if n > 1:
+    """All trials have one length, by the trial table; their other axes are the labels'."""
+    if data.lengths().select("n").distinct().limit(2).count() > 1:
         raise DataError("the trials differ in shape")
 
 
@@ -52,6 +51,12 @@ def reduce_axis(facts: DataFrame, keys: list[str], value: str, op: str) -> DataF
     return facts.groupBy(*keys).agg(F.coalesce(_reduce(op, value, True), F.lit(float("nan"))).alias(value))
 
 
+def first_trial(data: Trials) -> DataFrame:
+    """The trial table of a statistic over trials: one, as long as the first."""
+    first = data.trials.agg(F.min_by("t0", "trial_id").alias("t0"), F.min_by(F.col("stop") - F.col("start"), "trial_id").alias("n"))
+    return first.select(F.lit(0).alias("trial_id"), F.lit(0).cast("long").alias("start"), F.col("n").cast("long").alias("stop"), "t0", F.array().cast("array<double>").alias("info"))
+
+
 def _statistic(data: Trials, op: str, dim: str, keeptrials: bool) -> Trials:
     if data.kind not in CONTINUOUS:
         raise DataError("statistics need continuous data")
@@ -61,9 +66,7 @@ def _statistic(data: Trials, op: str, dim: str, keeptrials: bool) -> Trials:
             raise NotImplementedError("there is no median over trials")
         check_equal_shapes(data)
         facts = data.facts.groupBy(*axes).agg(*_columns(data, op, False)).select(F.lit(0).alias("trial_id"), *axes, *data.values)
-        first = data.trials.agg(F.min_by("t0", "trial_id").alias("t0"), F.min_by(F.col("stop") - F.col("start"), "trial_id").alias("n"))
-        trials = first.select(F.lit(0).alias("trial_id"), F.lit(0).cast("long").alias("start"), F.col("n").cast("long").alias("stop"), "t0", F.array().cast("array<double>").alias("info"))
-        return data.having(f"{op} over trials", facts=facts, trials=trials)
+        return data.having(f"{op} over trials", facts=facts, trials=first_trial(data))
     axis = axes[0] if dim == "time" else DIMS.get(dim)
     if axis not in axes:
         raise ParameterError(f"{data.kind} data has no axis {dim!r}")
@@ -121,9 +124,11 @@ def itc(data: Trials) -> Trials:
 
 def covariance(facts: DataFrame, keys: list[str], ddof: int = 1) -> DataFrame:
     """(keys, channel_i, channel_j, cov) across samples; each pair is computed once and mirrored."""
-    a = facts.select(*keys, "sample", F.col("channel_id").alias("channel_i"), F.col("value").alias("x"))
-    b = facts.select(*keys, "sample", F.col("channel_id").alias("channel_j"), F.col("value").alias("y"))
-    met = a.join(b, [*keys, "sample"]).where("channel_i <= channel_j")
+    # the values of one sample meet in one array, so each is shuffled once; pairs are formed there and added up at once
+    z = F.array_sort(F.collect_list(F.struct(F.col("channel_id").alias("c"), F.col("value").cast("double").alias("v"))))
+    cells = facts.groupBy(*keys, "sample").agg(z.alias("z"))
+    each = cells.select(*keys, F.explode("z").alias("a"), "z").select(*keys, "a", F.explode(F.filter("z", lambda x: x["c"] >= F.col("a.c"))).alias("b"))
+    met = each.select(*keys, F.col("a.c").alias("channel_i"), F.col("b.c").alias("channel_j"), F.col("a.v").alias("x"), F.col("b.v").alias("y"))
     n = F.count(F.lit(1))
     half = met.groupBy(*keys, "channel_i", "channel_j").agg(F.try_divide(F.covar_pop("x", "y") * n, n - ddof).alias("cov"))
     return half.unionByName(half.where("channel_i < channel_j").select(*keys, F.col("channel_j").alias("channel_i"), F.col("channel_i").alias("channel_j"), "cov"))

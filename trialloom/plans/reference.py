@@ -311,7 +311,7 @@ def t4_matched_events(spark, sf):
 
 @query(f"""WITH {TRIALS}, len AS (SELECT recording_id, max(n_samples) AS n FROM recording GROUP BY recording_id)
 SELECT trial_id, t.recording_id, greatest(start, 0) AS start, least(stop, n) AS stop, t0 + greatest(start, 0) - start AS t0 FROM trials t LEFT JOIN len l ON l.recording_id = t.recording_id""")
-def t5_clipped(spark, sf):
+def t5_clipped_recordings(spark, sf):
     """Every trial cut to its own recording."""
     lengths = table(spark, sf, "recording").groupBy("recording_id").agg(F.max("n_samples").alias("n"))
     t = spans(spark, sf).join(lengths, "recording_id", "left").withColumn("info", F.array(F.col("recording_id").cast("double")))
@@ -639,8 +639,8 @@ def q1_q2_hann_power(spark, sf):
 @query()
 def q1_q3_multitaper(spark, sf):
     def powers(rate):
-        x = sp.freqanalysis.plain(recordings(spark, sf, rate), tapsmofrq=0.5, pad="nextpow2")
-        return x.facts.groupBy("channel_id", "freq_id").agg(F.avg("re").alias("power")).withColumn("freq", F.col("freq_id") * float(x.labels["freq"][1]))
+        x = sp.freqanalysis.plain(recordings(spark, sf, rate), tapsmofrq=0.5, pad="nextpow2", keeptrials=False)
+        return x.facts.select("channel_id", "freq_id", F.col("re").alias("power")).withColumn("freq", F.col("freq_id") * float(x.labels["freq"][1]))
 
     return by_rate(spark, sf, powers)
 
@@ -668,9 +668,13 @@ def q5_mtmconvol(spark, sf):
     return by_rate(spark, sf, lambda rate: _powers(sp.freqanalysis.plain(recordings(spark, sf, rate), method="mtmconvol", t_ftimwin=2.0, toi=0.5, taper="hann").facts))
 
 
-@query(f"WITH {_WINDOWS}")
+@query(f"WITH {_WINDOWS}".replace("AS freq_id,", "AS freq_id, 0 AS time_idx, 0 AS taper_id,").replace("AS power, fs", "AS re, fs"))
 def q6_welch(spark, sf):
-    return by_rate(spark, sf, lambda rate: _powers(sp.freqanalysis.plain(recordings(spark, sf, rate), method="welch", t_ftimwin=2.0, toi=0.5, taper="hann").facts))
+    def averaged(rate):
+        x = sp.freqanalysis.plain(recordings(spark, sf, rate), method="welch", t_ftimwin=2.0, toi=0.5, taper="hann")
+        return x.facts.select("trial_id", "time_idx", "taper_id", "freq_id", "channel_id", big("re").alias("re"))
+
+    return by_rate(spark, sf, averaged)
 
 
 def _transform_sql(scales: str, span: str, re: str, im: str, last: str) -> str:
