@@ -72,9 +72,13 @@ EMB64 = "e AS (SELECT vec_id AS trial_id, i - 1 AS sample, CAST(embedding[i] AS
 EMB8 = "e AS (SELECT vec_id AS trial_id, (i - 1) % 8 AS sample, (i - 1) // 8 AS channel_id, CAST(embedding[i] AS DOUBLE) AS value FROM embeddings, unnest(range(1, 65)) AS u(i))"
 
 
-def readings(spark: SparkSession, sf: str) -> DataFrame:
+def readings(spark: SparkSession, sf: str, series: bool = False) -> DataFrame:
+    """Readings, each key once; with ``series`` those of one series in one place, for kernels that take it whole."""
     ok = F.col("value").isNotNull() & ~F.isnan("value") & (F.abs("value") != float("inf"))
-    return table(spark, sf, "analog_long").where(ok).groupBy("recording_id", "channel_id", "sample").agg(F.max("value").alias("value"))
+    rows = table(spark, sf, "analog_long").where(ok)
+    if series:  # one shuffle for the keys and for the series
+        rows = rows.select("recording_id", "channel_id", "sample", "value").repartition("recording_id", "channel_id")
+    return rows.groupBy("recording_id", "channel_id", "sample").agg(F.max("value").alias("value"))
 
 
 def spans(spark: SparkSession, sf: str) -> DataFrame:
@@ -117,10 +121,10 @@ def by_rate(spark: SparkSession, sf: str, of) -> DataFrame:
     return reduce(DataFrame.unionByName, [of(x).withColumn("samplerate", F.lit(x)) for x in sorted(r[0] for r in rates)])
 
 
-def recordings(spark: SparkSession, sf: str, rate: float | None = None) -> Trials:
+def recordings(spark: SparkSession, sf: str, rate: float | None = None, series: bool = False) -> Trials:
     """Each recording at ``rate`` as one trial; without it all, for what does not depend on the rate."""
     rec = _at(spark, sf, table(spark, sf, "recording"), rate).select(F.col("recording_id").cast("int").alias("trial_id"), F.lit(0).cast("long").alias("start"), F.col("n_samples").alias("stop"), F.lit(0.0).alias("t0"), F.array().cast("array<double>").alias("info"))
-    facts = _at(spark, sf, readings(spark, sf), rate).select(F.col("recording_id").alias("trial_id"), "sample", "channel_id", "value")
+    facts = _at(spark, sf, readings(spark, sf, series), rate).select(F.col("recording_id").alias("trial_id"), "sample", "channel_id", "value")
     return Trials("analog", facts, rec, rate or 40.0, {"channel": default_labels("channel", 32)})
 
 
@@ -554,7 +558,7 @@ def f2_butterworth(spark, sf):
     def filtered(rate):
         # nothing lies above the Nyquist rate: a band that reaches it is a high-pass
         band = {"filter_type": "bp", "freq": [2, 10]} if rate > 20 else {"filter_type": "hp", "freq": 2}
-        return _series(pp.preprocessing.plain(recordings(spark, sf, rate), filter_class="but", polyremoval=0, **band).facts)
+        return _series(pp.preprocessing.plain(recordings(spark, sf, rate, series=True), filter_class="but", polyremoval=0, **band).facts)
 
     return by_rate(spark, sf, filtered)
 
@@ -571,7 +575,7 @@ once AS (SELECT s.recording_id, s.channel_id, s.fs, s.i + k.lag AS i, sum(s.valu
 d AS (SELECT o.recording_id, o.channel_id, o.fs, o.i + k.lag AS i, sum(o.v * k.w) AS v FROM once o JOIN k ON k.fs = o.fs JOIN len l ON l.recording_id = o.recording_id AND l.channel_id = o.channel_id WHERE o.i + k.lag BETWEEN 0 AND l.n - 1 GROUP BY ALL)
 SELECT recording_id AS trial_id, channel_id, count(*) AS n, {big_sql('min(v)', 3)} AS lo, {big_sql('max(v)', 3)} AS hi, {big_sql('avg(v * v)', 2)} AS power, fs AS samplerate FROM d GROUP BY recording_id, channel_id, fs""")
 def f3_f4_windowed_sinc(spark, sf):
-    return by_rate(spark, sf, lambda rate: _series(pp.preprocessing.plain(recordings(spark, sf, rate), filter_class="firws", filter_type="lp", freq=8, order=40).facts))
+    return by_rate(spark, sf, lambda rate: _series(pp.preprocessing.plain(recordings(spark, sf, rate, series=True), filter_class="firws", filter_type="lp", freq=8, order=40).facts))
 
 
 @query(f"""WITH {EMB64}, k AS (SELECT * FROM (VALUES {', '.join(f'({i - 2}, {float(x)!r})' for i, x in enumerate(__import__('trialloom.kernels.filters', fromlist=['x']).sinc_kernel('hamming', 4, 0.2, 'lp')))}) k(lag, w))
@@ -586,15 +590,16 @@ len AS (SELECT recording_id, channel_id, CAST(count(*) AS INT) AS n FROM s GROUP
 h AS (SELECT n, m, CASE WHEN n % 2 = 0 THEN (1 - cos(pi() * m)) / (n * tan(pi() * m / n)) ELSE (1 / tan(pi() * m / n) - cos(pi() * m) / sin(pi() * m / n)) / n END AS w FROM (SELECT DISTINCT n FROM len), LATERAL (SELECT unnest(range(1, n)) AS m)),
 im AS (SELECT s.recording_id, s.channel_id, (s.i + h.m) % l.n AS i, sum(s.value * h.w) AS v FROM s JOIN len l USING (recording_id, channel_id) JOIN h ON h.n = l.n GROUP BY ALL),
 d AS (SELECT s.recording_id, s.channel_id, sqrt(s.value * s.value + coalesce(im.v, 0) * coalesce(im.v, 0)) AS v FROM s LEFT JOIN im ON im.recording_id = s.recording_id AND im.channel_id = s.channel_id AND im.i = s.i)
-SELECT recording_id AS trial_id, channel_id, count(*) AS n, {big_sql('min(v)', 3)} AS lo, {big_sql('max(v)', 3)} AS hi, {big_sql('avg(v * v)', 2)} AS power FROM d GROUP BY recording_id, channel_id""")
+SELECT recording_id AS trial_id, channel_id, count(*) AS n, {big_sql('max(v)', 3)} AS hi, {big_sql('avg(v * v)', 2)} AS power FROM d GROUP BY recording_id, channel_id""")
 def f8_hilbert(spark, sf):
-    return _series(pp.preprocessing.plain(recordings(spark, sf), filter_class=None, hilbert="abs").facts)
+    """Largest value and power of the envelopes; beside a reading of 1e30 the least is below the transform's rounding."""
+    return _series(pp.preprocessing.plain(recordings(spark, sf, series=True), filter_class=None, hilbert="abs").facts).drop("lo")
 
 
 @query()
 def f12_resampled(spark, sf):
     def resampled(rate):
-        x = recordings(spark, sf, rate)
+        x = recordings(spark, sf, rate, series=True)
         # the operator lowers rates only; its kernel raises them, too
         return _series(pp.resampledata.plain(x, 25.0).facts if rate >= 25 else pp.map_series(x, lambda v: filters.resample(v, rate, 25.0)))
 
@@ -639,7 +644,7 @@ def q1_q2_hann_power(spark, sf):
 @query()
 def q1_q3_multitaper(spark, sf):
     def powers(rate):
-        x = sp.freqanalysis.plain(recordings(spark, sf, rate), tapsmofrq=0.5, pad="nextpow2", keeptrials=False)
+        x = sp.freqanalysis.plain(recordings(spark, sf, rate, series=True), tapsmofrq=0.5, pad="nextpow2", keeptrials=False)
         return x.facts.select("channel_id", "freq_id", F.col("re").alias("power")).withColumn("freq", F.col("freq_id") * float(x.labels["freq"][1]))
 
     return by_rate(spark, sf, powers)
@@ -665,13 +670,13 @@ def _powers(df: DataFrame) -> DataFrame:
 
 @query(f"WITH {_WINDOWS}")
 def q5_mtmconvol(spark, sf):
-    return by_rate(spark, sf, lambda rate: _powers(sp.freqanalysis.plain(recordings(spark, sf, rate), method="mtmconvol", t_ftimwin=2.0, toi=0.5, taper="hann").facts))
+    return by_rate(spark, sf, lambda rate: _powers(sp.freqanalysis.plain(recordings(spark, sf, rate, series=True), method="mtmconvol", t_ftimwin=2.0, toi=0.5, taper="hann").facts))
 
 
 @query(f"WITH {_WINDOWS}".replace("AS freq_id,", "AS freq_id, 0 AS time_idx, 0 AS taper_id,").replace("AS power, fs", "AS re, fs"))
 def q6_welch(spark, sf):
     def averaged(rate):
-        x = sp.freqanalysis.plain(recordings(spark, sf, rate), method="welch", t_ftimwin=2.0, toi=0.5, taper="hann")
+        x = sp.freqanalysis.plain(recordings(spark, sf, rate, series=True), method="welch", t_ftimwin=2.0, toi=0.5, taper="hann")
         return x.facts.select("trial_id", "time_idx", "taper_id", "freq_id", "channel_id", big("re").alias("re"))
 
     return by_rate(spark, sf, averaged)
