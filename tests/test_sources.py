@@ -183,6 +183,8 @@ def test_range_join_of_unequal_spans(spark):
     met = range_join(spark.createDataFrame(points, "at long"), "at", spark.createDataFrame(spans, "k int, start long, stop long"))
     want = sorted((p, k) for (p,) in points for k, a, b in spans if None not in (p, a, b) and a <= p < b)
     assert sorted((r["at"], r["k"]) for r in met.collect()) == want
+    few = range_join(spark.createDataFrame(points, "at long"), "at", spark.createDataFrame(spans[:297], "k int, start long, stop long"))
+    assert sorted((r["at"], r["k"]) for r in few.collect()) == sorted((p, k) for (p,) in points for k, a, b in spans[:297] if p is not None and a <= p < b)
     assert range_join(spark.createDataFrame(points, "at long"), "at", spark.createDataFrame([], "k int, start long, stop long")).count() == 0
 
 

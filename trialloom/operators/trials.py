@@ -14,8 +14,10 @@ from trialloom.model import Trials, trial_table
 from trialloom.plans.tables import running_total
 
 
+USUAL = 8  # spans up to so many widths are of the first class
 SIZE_STEP = 16  # ratio of lengths of neighbouring size classes
 MOST_CLASSES = 15
+MOST_TOUCHED = 16  # buckets that spans may touch on average without classes
 
 
 def range_join(points: DataFrame, at: str, spans: DataFrame, lo: str = "start", hi: str = "stop", keys: list[str] | None = None, width: int | None = None) -> DataFrame:
@@ -23,26 +25,33 @@ def range_join(points: DataFrame, at: str, spans: DataFrame, lo: str = "start",
 
     Spans are put into all buckets that they touch, so that the join is an
     equi-join on bucket, whatever the number of spans.  Buckets are ``width``
-    wide (by default the median length) for spans up to that length, and 16
-    times as wide for each class of longer ones: a span touches 17 buckets at
-    most, and a point looks into one bucket of each class that there is.  Nulls
-    match nothing.
+    wide, by default the median length.  Where spans touch more than 16 of them
+    on average, those of more than 8 widths are in classes 16 times as long, with
+    buckets as wide as the longest span of the class before: a span then touches
+    17 buckets at most, and a point looks into one bucket of each class that
+    there is.  Nulls match nothing.
     """
     keys = keys or []
     length = F.col(hi) - F.col(lo)
     valid = spans.where(length > 0)
-    if width is None:
-        width = max(1, int(valid.agg(F.percentile_approx(length, 0.5)).first()[0] or 1))
-    size = F.ceil(F.log(F.greatest(length / width, F.lit(1.0))) / F.log(F.lit(float(SIZE_STEP))) - 1e-9)
-    classed = valid.withColumn("class_", F.least(size, F.lit(MOST_CLASSES)).cast("int"))
-    present = sorted(r[0] for r in classed.select("class_").distinct().collect())  # at most MOST_CLASSES + 1
+    stats = valid.agg(F.percentile_approx(length, 0.5).alias("usual"), F.avg(length.cast("double")).alias("mean")).first()
+    width = width or max(1, int(stats["usual"] or 1))
+    size = F.ceil(F.log(F.greatest(length / (USUAL * width), F.lit(1.0))) / F.log(F.lit(float(SIZE_STEP))) - 1e-9)
+    classed, present = valid.withColumn("class_", F.lit(0)), [0]
+    if (stats["mean"] or 0) > MOST_TOUCHED * width:
+        classed = valid.withColumn("class_", F.least(size, F.lit(MOST_CLASSES)).cast("int"))
+        present = sorted(r[0] for r in classed.select("class_").distinct().collect())  # at most MOST_CLASSES + 1
 
     def wide(c):
-        return F.lit(width) * F.pow(F.lit(float(SIZE_STEP)), c).cast("long")
+        return F.when(c == 0, F.lit(width).cast("long")).otherwise(F.lit(USUAL * width) * F.pow(F.lit(float(SIZE_STEP)), c - 1).cast("long"))
 
     s = classed.withColumn("bucket_", F.explode(F.sequence(F.floor(F.col(lo) / wide(F.col("class_"))), F.floor((F.col(hi) - 1) / wide(F.col("class_"))))))
-    looks = F.array(*[F.struct(F.lit(c).alias("class_"), F.floor(F.col(at) / wide(F.lit(c))).alias("bucket_")) for c in present or [0]])
-    p = points.where(F.col(at).isNotNull()).withColumn("look_", F.explode(looks)).select(*points.columns, "look_.class_", "look_.bucket_")
+    there = points.where(F.col(at).isNotNull())
+    if present == [0]:
+        p = there.select("*", F.lit(0).alias("class_"), F.floor(F.col(at) / width).alias("bucket_"))
+    else:
+        looks = F.array(*[F.struct(F.lit(c).alias("class_"), F.floor(F.col(at) / wide(F.lit(c))).alias("bucket_")) for c in present])
+        p = there.withColumn("look_", F.explode(looks)).select(*points.columns, "look_.class_", "look_.bucket_")
     met = p.join(s, [*keys, "class_", "bucket_"])
     return met.where((F.col(at) >= F.col(lo)) & (F.col(at) < F.col(hi))).drop("class_", "bucket_")
 
