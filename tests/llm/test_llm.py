@@ -123,6 +123,21 @@ def test_missed_brackets_take_the_median():
     assert new["hi"] == [v[3000]] and new["p1"] == new["p2"] and 1300 < np.searchsorted(v, new["p1"][0]) < 1700
 
 
+def test_blocks_without_values_in_the_range_propose_no_pivot():
+    """The target is the least of the open range, and a block of another task lies wholly below it."""
+    report, step = percentiles._report([[0]], 1), percentiles._decide(1)
+    blocks = [np.arange(10.0), np.arange(10.0, 1010.0)]
+    state = {"scope": 0, "k0": 1, "k": [3], "lo": [9.5], "hi": [float("nan")], "p1": [12.0], "p2": [900.0], "value": [float("nan")], "open": True}
+    while state["open"]:
+        limits = {f: state[f] for f in ("lo", "hi", "p1", "p2")}
+        reports = [r for v in blocks for b in report(iter([language.pa.RecordBatch.from_pylist([{"k0": 1, "vals": v.tobytes(), "state0": limits}])])) for r in b.to_pylist()]
+        rows = [state | {"counts": None, "props": None}, *[dict.fromkeys(percentiles.FIELDS) | r for r in reports]]
+        (out,) = step(iter([language.pa.RecordBatch.from_pylist(rows)]))
+        (state,) = out.to_pylist()
+        assert not state["open"] or state["p1"] > state["lo"]
+    assert state["value"] == [13.0]
+
+
 def test_ladder_errors_do_not_grow_with_the_number_of_blocks():
     rng = np.random.default_rng(1)
     ladder, values = percentiles.Ladder(), []

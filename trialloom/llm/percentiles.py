@@ -289,7 +289,8 @@ def _decide(keys: int):
                 else:
                     lo[t], k[t] = p2[t], k[t] - e2[t]
             left = _sizes(counts)[side, t]
-            o = np.argsort(v[side, t], kind="stable")
+            there = np.flatnonzero(w[side, t] > 0)  # without values in the range, a block proposes one from outside
+            o = there[np.argsort(v[side, t][there], kind="stable")]
             x, upto = v[side, t][o], np.cumsum(w[side, t][o])
             share = (k[t] + 0.5) / max(left, 1)
             wanted = (0.5, 0.5) if missed else (share - MARGIN, share + MARGIN)
